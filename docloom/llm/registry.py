@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup
+from docloom.llm import bpe, exact_dedup, packing
 
 
 def queries() -> dict:
     return {
+        "op1_packing": packing.op1_packing,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_bpe": bpe.op7_bpe,
     }
 
 
