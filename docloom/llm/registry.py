@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, exact_dedup, packing
+from docloom.llm import binary_output, bpe, exact_dedup, license_scan, near_dedup, packing, quality, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_token_counts": token_counts.op2_token_counts,
+        "op4_license_scan": license_scan.op4_license_scan,
+        "op5_token_files": binary_output.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_bpe": bpe.op7_bpe,
+        "op8_quality": quality.op8_quality,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
