@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import binary_output, bpe, exact_dedup, license_scan, near_dedup, packing, quality, token_counts, url_filter
+from docloom.llm import ann, binary_output, bpe, exact_dedup, license_scan, near_dedup, packing, quality, token_counts, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_packing": packing.op1_packing,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_nearest": ann.op3_nearest,
         "op4_license_scan": license_scan.op4_license_scan,
         "op5_token_files": binary_output.op5_token_files,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
