@@ -1,26 +1,4 @@
-"""Registered queries of the engine's own operators, each with its DuckDB oracle."""
+"""All registered queries of the engine's own operators."""
 
-from __future__ import annotations
-
-_QUERIES: dict = {}
-_ORACLES: dict = {}
-
-
-def query(name: str, oracle: str | None = None):
-    """Register a query function (spark, sf_dir) under a name, with its oracle SQL."""
-
-    def keep(f):
-        _QUERIES[name] = f
-        if oracle is not None:
-            _ORACLES[name] = oracle
-        return f
-
-    return keep
-
-
-def queries() -> dict:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict:
-    return dict(_ORACLES)
+from docloom.plans import queries_documents, queries_quality, queries_search, queries_stream, queries_text  # noqa: F401
+from docloom.plans.registry import oracle_sql, queries  # noqa: F401
