@@ -14,8 +14,6 @@ tokenizers library. Rows are kept as they are, null or repeated doc_ids too.
 from __future__ import annotations
 
 import hashlib
-import re
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -25,12 +23,9 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from docloom.llm import common, tokenizers_
 
-#: Entries of the pair-compatibility table and of the table of words; a full table starts anew.
-PAIRS, WORDS = 1 << 20, 1 << 19
+#: Entries of the pair-compatibility table; a full table starts anew.
+PAIRS = 1 << 19
 NEVER = 1 << 60
-#: From here on, character classes differ between Unicode versions, and the
-#: library's own normaliser and word pattern cut the text into words.
-NEWER = "\u0530"
 
 
 class Backtracking:
@@ -69,7 +64,6 @@ class Backtracking:
             self.whole[symbols] = i
             self.automaton.add_word(symbols, (len(symbols), i))
         self.automaton.make_automaton()
-        self.words: dict[str, list[int]] = {}
         self.lengths = {i: len(s) for s, i in self.whole.items()}
 
     def _symbols(self, token: str) -> str:
@@ -122,13 +116,7 @@ class Backtracking:
             chars = chars[:-1] + chr(0xE000 + ord(chars[-1]))
         if (i := self.whole.get(chars)) is not None:
             return [i]
-        if (got := self.words.get(chars)) is None:
-            got = self._backtrack(chars)
-            if len(chars) <= tokenizers_.CACHE_CHARS:
-                if len(self.words) >= WORDS:
-                    self.words.clear()
-                self.words[chars] = got
-        return got
+        return self._backtrack(chars)
 
     def _backtrack(self, chars: str) -> list[int]:
         n = len(chars)
@@ -193,53 +181,10 @@ class OffsetTable:
 
 
 @lru_cache(maxsize=2)
-def word_codec(file: str) -> tuple[tokenizers_.ChunkEncoder, OffsetTable]:
-    """Encoder and decoder of a word-level BPE file (normalised to NFC and lower
-    case; words by its own pattern; white space dropped)."""
-    import regex
-
+def word_codec(file: str) -> tuple[tokenizers_.WordEncoder, OffsetTable]:
+    """Encoder and decoder of a word-level BPE file."""
     spec = tokenizers_.load(file)
-    model = Backtracking(spec)
-    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-    cut = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else lambda c: [c]
-    words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+").findall
-    shown = {b: c for c, b in tokenizers_._byte_chars().items()}
-    as_chars = {b: shown[b] for b in range(256)}
-    library = None
-
-    def by_library(part: str) -> list[str]:
-        nonlocal library
-        if library is None:
-            from tokenizers import Tokenizer
-
-            library = Tokenizer.from_file(file)
-        return [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))]
-
-    def ids_of(part: str) -> list[int]:
-        if not part.isascii() and max(part) >= NEWER:
-            return [i for w in by_library(part) for i in model.word(w)]
-        if not unicodedata.is_normalized("NFC", part):
-            part = unicodedata.normalize("NFC", part)
-        part = part.replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        out: list[int] = []
-        for w in words(part):
-            out += model.word(w.encode().decode("latin-1").translate(as_chars))
-        return out
-
-    def encode(chunks: list[str]) -> list[list[int]]:
-        out = []
-        for chunk in chunks:
-            if "<|" not in chunk:
-                out.append(ids_of(chunk))
-                continue
-            ids: list[int] = []
-            for part in cut(chunk):
-                ids += [special[part]] if part in special else ids_of(part) if part else []
-            out.append(ids)
-        return out
-
-    dtype = "<u2" if max(spec["model"]["vocab"].values()) < 1 << 16 and max(special.values(), default=0) < 1 << 16 else "<u4"
-    return tokenizers_.ChunkEncoder(encode, dtype), OffsetTable(spec)
+    return tokenizers_.WordEncoder(file, Backtracking(spec).word), OffsetTable(spec)
 
 
 CODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])

@@ -83,18 +83,19 @@ class CountingViterbi:
     def __call__(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """(pieces, words, score) of each text."""
         cut = [self.cut(t) for t in texts]
-        kept = self.kept
-        new = {w for words in cut for w in words}.difference(kept)
-        if len(kept) + len(new) > tokenizers_.CACHE_CHUNKS:
-            needed = {w for words in cut for w in words} - new
-            kept = self.kept = {w: kept[w] for w in needed}
-        listed, more = list(new), {}
-        for w, got in zip(listed, self.words(listed), strict=True):
-            (kept if len(w) <= tokenizers_.CACHE_CHARS else more)[w] = got
+        every = set().union(*cut)
+        new = every.difference(self.kept)
+        full = len(self.kept) + len(new) > tokenizers_.CACHE_CHUNKS
+        if full and len(new) > len(every) // 2:  # other texts than those it was filled with
+            self.kept, new, full = {}, every, False
+        kept, listed = self.kept, list(new)
+        kept.update(zip(listed, self.words(listed), strict=True))
         out = []
         for words in cut:
-            got = [kept[w] if w in kept else more[w] for w in words]
+            got = list(map(kept.__getitem__, words))
             out.append((sum(n for n, _ in got), len(got), sum(s for _, s in got)))
+        for w in new if full else [w for w in new if len(w) > tokenizers_.CACHE_CHARS]:
+            del kept[w]
         return out
 
     @staticmethod
