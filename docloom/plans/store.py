@@ -20,6 +20,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docloom import schema
 
@@ -76,8 +77,12 @@ class Store:
     # --------------------------------------------------------------- tables
 
     def table(self, name: str) -> DataFrame | None:
-        parts = self.manifest["tables"].get(name)
-        return None if not parts else self.spark.read.option("basePath", str(self.root / name)).parquet(*[str(self.root / p) for p in parts.values()]).drop("bucket")
+        m = self.manifest
+        parts = m["tables"].get(name)
+        if not parts:
+            kind = m.get("schemas", {}).get(name)
+            return self.spark.createDataFrame([], StructType.fromJson(kind)) if kind else None
+        return self.spark.read.option("basePath", str(self.root / name)).parquet(*[str(self.root / p) for p in parts.values()]).drop("bucket", "version")
 
     def write(self, changes: dict[str, DataFrame], deleted: DataFrame | None = None) -> None:
         """Replace the documents of ``changes`` in all tables (those of ``deleted``
@@ -91,25 +96,25 @@ class Store:
             ids = ids.union(g)
         ids = ids.distinct()
         touched = {r[0] for r in ids.select(bucket(F.col("document_id"), self.buckets)).distinct().collect()}  # at most the buckets
-        tables = dict(m["tables"])
+        tables, schemas = dict(m["tables"]), dict(m.get("schemas", {}))
         for name in {*TABLES, *changes}:
             old = tables.get(name, {})
             keep = {b: p for b, p in old.items() if int(b) not in touched}
             parts = []
             if rest := {b: p for b, p in old.items() if int(b) in touched}:
-                df = self.spark.read.option("basePath", str(self.root / name)).parquet(*[str(self.root / p) for p in rest.values()]).drop("bucket")
+                df = self.spark.read.option("basePath", str(self.root / name)).parquet(*[str(self.root / p) for p in rest.values()]).drop("bucket", "version")
                 parts.append(df.join(ids, "document_id", "left_anti"))
             if name in changes:
                 parts.append(changes[name])
             if not parts:
                 continue
             df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-            version = uuid.uuid4().hex[:12]
+            version = f"version={uuid.uuid4().hex[:12]}"
             out = self.root / name / version
             df.withColumn("bucket", bucket(F.col("document_id"), self.buckets)).repartition("bucket").write.partitionBy("bucket").parquet(str(out))
             made = {p.name.removeprefix("bucket="): f"{name}/{version}/{p.name}" for p in out.glob("bucket=*")}
-            tables[name] = keep | made
-        self._commit(m | {"tables": tables})
+            tables[name], schemas[name] = keep | made, df.schema.jsonValue()
+        self._commit(m | {"tables": tables, "schemas": schemas})
 
     def delete(self, ids: DataFrame) -> None:
         self.write({}, ids)
@@ -124,7 +129,7 @@ class Store:
     def reset(self) -> None:
         """Empty all tables and index settings; the status log and embedding cache stay."""
         m = self.manifest
-        self._commit(m | {"tables": {}, "settings": {k: v for k, v in m["settings"].items() if not k.startswith("index.")}, "frozen": False})
+        self._commit(m | {"tables": {}, "schemas": {}, "settings": {k: v for k, v in m["settings"].items() if not k.startswith("index.")}, "frozen": False})
         self.vacuum()
 
     def vacuum(self) -> None:

@@ -19,7 +19,8 @@ FILES = "path string, name string, length long, content binary"
 
 
 def discover(spark: SparkSession, paths: list[str], with_content: bool = True) -> DataFrame:
-    """path, name, length, content of all files below the paths."""
+    """path, name, length, content of all files below the paths. Spark's scan leaves
+    out files of no length, except those inside of archives."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
     df = df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", *(["content"] if with_content else []))
     return df
@@ -60,8 +61,7 @@ def expand_archives(files: DataFrame, max_mb: int = MAX_ARCHIVE_MB, max_files: i
     return files.select("path", "name", "length", "content").mapInPandas(run, FILES + ", error_code string")
 
 
-@F.pandas_udf("string")
-def _package_error(content: pd.Series) -> pd.Series:
+def _package_error(content: Column) -> Column:
     """corrupted_file of content that should be a ZIP package, else null."""
 
     def one(raw: bytes | None) -> str | None:
@@ -71,7 +71,11 @@ def _package_error(content: pd.Series) -> pd.Series:
         except zipfile.BadZipFile:
             return "corrupted_file"
 
-    return content.map(one)
+    @F.pandas_udf("string")
+    def run(content: pd.Series) -> pd.Series:
+        return content.map(one)
+
+    return run(content)
 
 
 def validate(files: DataFrame, max_mb: int = MAX_FILE_MB) -> DataFrame:
@@ -88,7 +92,7 @@ def validate(files: DataFrame, max_mb: int = MAX_FILE_MB) -> DataFrame:
         .when(ext.isin(OOXML) & is_ole, "encrypted_file")
         .when(ext.isin(OOXML) & ~is_zip, "invalid_signature")
         .when((ext == ".xls") & ~is_ole, "invalid_signature")
-        .when(ext.isin(OOXML), _package_error("content"))
+        .when(ext.isin(OOXML), _package_error(F.col("content")))
     )
     return files.withColumns({"extension": ext, "has_macros": ext.isin(".xlsm", ".xltm"), "content_hash": F.sha2("content", 256), "error_code": F.coalesce("error_code", error) if "error_code" in files.columns else error})
 

@@ -185,11 +185,14 @@ def sheets(content: bytes, include_hidden: bool = False) -> Iterator[tuple[str,
 def _grid(root: ET.Element, shared: list[str], formats: list[str], include_hidden: bool) -> list[list[str]]:
     hidden = set() if include_hidden else {c for x in root.iter(S + "col") if x.get("hidden") in ("1", "true") for c in range(int(x.get("min")), int(x.get("max")) + 1)}
     cells: dict[tuple[int, int], str] = {}
+    at = (0, 0)
     for row in root.iter(S + "row"):
+        at = (int(row.get("r") or at[0] + 1), 0)
         if row.get("hidden") in ("1", "true") and not include_hidden:
             continue
         for c in row.iter(S + "c"):
-            at, kind, raw = _index(c.get("r")), c.get("t"), c.findtext(S + "v")
+            at = _index(c.get("r")) if c.get("r") else (at[0], at[1] + 1)
+            kind, raw = c.get("t"), c.findtext(S + "v")
             code = formats[int(c.get("s"))] if c.get("s") and int(c.get("s")) < len(formats) else ""
             if kind == "inlineStr":
                 value = "".join(t.text or "" for t in c.iter(S + "t"))

@@ -55,10 +55,10 @@ def test_office_files(spark, tmp_path):
         z.writestr("word/document.xml", DOCX)
     store.write_workbook([["Báo cáo", ""], ["", ""], ["Chi nhánh", "Doanh thu"], ["CN1", "100"], ["CN2", "=1+1"]], str(folder / "b.xlsx"))
     (folder / "c.docx").write_bytes(b"PK\x03\x04broken")
-    (folder / "d.pdf").write_bytes(b"")
     with zipfile.ZipFile(folder / "e.zip", "w") as z:
         z.write(folder / "a.docx", "sub/a2.docx")
         z.writestr("~$tmp.docx", "x")
+        z.writestr("d.pdf", "")
     found = files.expand_archives(files.discover(spark, [str(folder)]))
     found = found.withColumn("skip", files.skip_reason()).where("skip is null")
     checked = files.validate(found)
