@@ -43,7 +43,7 @@ def section_asof(spark, sf_dir):
 
 @query(
     "gaps_islands_runs",
-    """SELECT conv_id, turn, sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (
+    """SELECT conv_id, turn, CAST(sum(s) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM (
   SELECT conv_id, turn, CASE WHEN role <> 'user' AND lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS s FROM conversations)""",
 )
 def gaps_islands_runs(spark, sf_dir):
@@ -210,7 +210,7 @@ def point_lookup(spark, sf_dir):
     return read(spark, sf_dir, "documents").where(F.col("doc_id") == 42).select("doc_id", "lang", "source")
 
 
-@query("blocks_in_order", "SELECT pos, doc_id, lang FROM (SELECT unnest([5, 3, 999999, 7, 3]) AS doc_id, unnest([0, 1, 2, 3, 4]) AS pos) JOIN documents USING (doc_id)")
+@query("blocks_in_order", "SELECT pos, doc_id, lang FROM (SELECT unnest([5, 3, 999999, 7, 3]::BIGINT[]) AS doc_id, unnest([0, 1, 2, 3, 4]) AS pos) JOIN documents USING (doc_id)")
 def blocks_in_order(spark, sf_dir):
     """Lookup of a list of ids that keeps the list's order; missing ids drop out."""
     ids = spark.createDataFrame([([5, 3, 999999, 7, 3],)], "ids array<long>").select(F.posexplode("ids").alias("pos", "doc_id"))

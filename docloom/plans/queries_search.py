@@ -253,7 +253,7 @@ def embedding_cache_misses(spark, sf_dir):
 
 @query(
     "entity_ledger",
-    """SELECT CAST(d AS VARCHAR) AS document_id, lower(k) AS key, sum(n) AS count, count(*) - 1 AS n_aliases FROM (
+    """SELECT CAST(d AS VARCHAR) AS document_id, lower(k) AS key, CAST(sum(n) AS BIGINT) AS count, count(*) - 1 AS n_aliases FROM (
   SELECT d, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || ' Group' AS k, CASE WHEN c_custkey % 4 = 0 THEN 'e' ELSE 'é' END AS spell, count(*) AS n
   FROM (SELECT c_nationkey AS d, c_mktsegment, c_custkey FROM customer) GROUP BY ALL) GROUP BY ALL""",
 )
