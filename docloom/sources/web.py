@@ -27,41 +27,49 @@ def visible_text(html: Column | str) -> Column:
     return F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " "))
 
 
-class _Tables(HTMLParser):
-    def __init__(self):
+class _Events(HTMLParser):
+    """The stream of (kind, tag or text, attributes) of a document."""
+
+    def __init__(self, html: str):
         super().__init__()
-        self.rows: list[list[str]] = []
-        self.row: list[str] | None = None
-        self.cell: list[str] | None = None
-        self.span = 1
+        self.seen: list[tuple[str, str, dict]] = []
+        self.feed(html)
 
     def handle_starttag(self, tag, attrs):
-        if tag == "tr":
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            self.cell = []
-            span = dict(attrs).get("colspan") or "1"
-            self.span = max(1, int(span)) if span.isdigit() else 1
+        self.seen.append(("open", tag, dict(attrs)))
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.row is not None and self.cell is not None:
-            text = "\n".join(filter(None, (" ".join(x.split()) for x in "".join(self.cell).split("\n"))))
-            self.row += [text] * self.span
-            self.cell = None
-        elif tag == "tr":
-            if self.row and any(self.row):
-                self.rows.append(self.row)
-            self.row = None
+        self.seen.append(("close", tag, {}))
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+        self.seen.append(("text", data, {}))
+
+
+def _one_line_each(text: str) -> str:
+    return "\n".join(filter(None, (" ".join(x.split()) for x in text.split("\n"))))
 
 
 def table_rows_py(html: str | None) -> list[list[str]]:
-    p = _Tables()
-    p.feed(html or "")
-    return p.rows
+    """Rows between <tr> and </tr>; cells between <td> or <th> and its end, repeated by colspan."""
+    out: list[list[str]] = []
+    cells: list[str] | None = None  # of the open row
+    start: int | None = None  # where the open cell begins
+    seen = _Events(html or "").seen
+    for at, (kind, name, _) in enumerate(seen):
+        if (kind, name) == ("open", "tr"):
+            cells = []
+        elif (kind, name) == ("close", "tr"):
+            out += [cells] if cells and any(cells) else []
+            cells = None
+        elif kind != "text" and name in ("td", "th") and cells is not None:
+            if kind == "open":
+                start = at
+            elif start is not None:
+                span = seen[start][2].get("colspan") or "1"
+                text = _one_line_each("".join(x for k, x, _ in seen[start:at] if k == "text"))
+                cells += [text] * (max(1, int(span)) if span.isdigit() else 1)
+                start = None
+    return out
 
 
 def table_rows(html: Column | str) -> Column:

@@ -34,12 +34,11 @@ def tail_py(text: str, limit: int) -> str:
     """The last characters of a text, from a sentence start in their first half, else a word start."""
     import re
 
-    if limit <= 0 or len(text) <= limit:
-        return text if limit > 0 else ""
-    tail = text[-limit:]
-    if m := re.search(r"[.!?…]\s+", tail[: len(tail) // 2]):
-        return tail[m.end() :]
-    return tail.split(" ", 1)[1] if " " in tail else tail
+    if len(text) <= limit:
+        return text
+    tail = text[len(text) - max(0, limit) :]
+    starts = [m.end() for m in re.finditer(r"[.!?…]\s+", tail[: limit // 2])] or [tail.find(" ") + 1]
+    return tail[starts[0] :]
 
 
 def sound(raw: str, new: str) -> bool:
