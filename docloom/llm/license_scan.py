@@ -133,7 +133,7 @@ class Rule:
 
 
 def _compile(pattern: str) -> re.Pattern:
-    return re.compile(r"(?<![a-z0-9])" + pattern.replace(" ", r"\s+") + r"(?![a-z0-9])")
+    return re.compile(r"(?<![a-z0-9])" + pattern.replace(" ?", r"\s*").replace(" ", r"\s+") + r"(?![a-z0-9])")
 
 
 def build_rules() -> list[Rule]:
@@ -250,7 +250,7 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, id_col: str = "doc
             [{"start": a, "end": z, "label": label, "confidence": c} for a, z, label, c in spans],
         )
 
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(run, from_arrow_schema(FOUND))
+    return common.map_arrow(common.ids_and_texts(docs, id_col, text_col), run, FOUND)
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
