@@ -85,29 +85,32 @@ def page_outcomes(host: Column, html: Column, words: list[str] = WORDS, mark_sha
     return F.when(named | (marks > mark_share * F.length(bare)), 1).otherwise(0)
 
 
-def _strength(rates: DataFrame, mean: str, n: str, bad: str) -> Column:
+def _strength(groups: DataFrame, mean: Column, n: str, bad: str) -> float:
     """Prior strength by moments over groups with counts n and bad around their
-    mean: the spread beyond binomial noise. Between 1 and 1000."""
-    m, size = F.col(mean), F.col(n)
-    noise = F.sum(m * (1 - m))  # n times the binomial variance of a rate
-    spread = F.sum(size * (F.col(bad) / size - m) ** 2)
-    beyond = (spread - noise) / F.sum(size)
-    return F.when(F.sum(size) > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), F.sum(size * m * (1 - m)) / F.sum(size) / F.greatest(beyond, F.lit(1e-9)) - 1))).otherwise(F.lit(1.0))
+    mean: the spread beyond binomial noise. Between 1 and 1000; one number to the driver."""
+    size = F.col(n)
+    noise = F.sum(mean * (1 - mean))  # n times the binomial variance of a rate
+    spread = F.sum(size * (F.col(bad) / size - mean) ** 2)
+    beyond = F.greatest((spread - noise) / F.sum(size), F.lit(1e-9))
+    strength = groups.agg((F.sum(size * mean * (1 - mean)) / F.sum(size) / beyond - 1).alias("k")).first()["k"]
+    return min(1000.0, max(1.0, strength or 1.0))
 
 
 def reputations(hosts: DataFrame, z: float = 1.96) -> DataFrame:
-    """hosts: host, n, bad. Adds domain, suffix, the posterior mean and the lower bound of the bad share."""
+    """hosts: host, n, bad (a written table; each level reads it). Adds domain, suffix,
+    the posterior mean and the lower bound of the bad share."""
     h = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     domains = h.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
-    every = suffixes.agg(((F.sum("sbad") + 1) / (F.sum("sn") + 2)).alias("m0"))  # one row
-    s = suffixes.join(F.broadcast(every))
-    s = s.join(F.broadcast(s.agg(_strength(s, "m0", "sn", "sbad").alias("k0")))).withColumn("ms", (F.col("sbad") + F.col("k0") * F.col("m0")) / (F.col("sn") + F.col("k0")))
+    every = F.lit(hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("m")).first()["m"] or 0.5)
+    k0 = _strength(suffixes, every, "sn", "sbad")
+    s = suffixes.withColumn("ms", (F.col("sbad") + k0 * every) / (F.col("sn") + k0))
     d = domains.join(s.select("suffix", "ms"), "suffix")
-    d = d.join(F.broadcast(d.agg(_strength(d, "ms", "dn", "dbad").alias("k1")))).withColumn("md", (F.col("dbad") + F.col("k1") * F.col("ms")) / (F.col("dn") + F.col("k1")))
+    k1 = _strength(d, F.col("ms"), "dn", "dbad")
+    d = d.withColumn("md", (F.col("dbad") + k1 * F.col("ms")) / (F.col("dn") + k1))
     g = h.join(d.select("domain", "md"), "domain")
-    g = g.join(F.broadcast(g.agg(_strength(g, "md", "n", "bad").alias("k2"))))
-    a, b = F.col("bad") + F.col("k2") * F.col("md"), F.col("n") - F.col("bad") + F.col("k2") * (1 - F.col("md"))
+    k2 = _strength(g, F.col("md"), "n", "bad")
+    a, b = F.col("bad") + k2 * F.col("md"), F.col("n") - F.col("bad") + k2 * (1 - F.col("md"))
     mean = a / (a + b)
     bound = F.greatest(F.lit(0.0), mean - z * F.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))))
     return g.select("host", "domain", "suffix", "n", "bad", mean.alias("bad_mean"), bound.alias("bad_bound"))
