@@ -165,7 +165,7 @@ def entries(vectors: DataFrame, keep: int, id_col: str, vec_col: str) -> DataFra
 
     slim = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("v"))
     least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
-    return slim.mapInArrow(fold, _schema(ENTRY)).groupBy("vec").agg(least.alias("ids"))
+    return common.map_arrow(slim, fold, ENTRY).groupBy("vec").agg(least.alias("ids"))
 
 
 @dataclass
@@ -205,7 +205,7 @@ def build(vectors: DataFrame, k: int = 10, list_size: int = 256, max_lists: int
             r, j = np.nonzero((near >= 0) & (d <= closure * d[:, :1] + 1e-12))
             yield common.record(POSTING, list=near[r, j].astype(np.int32), vec=[vec[rows[i]] for i in r], ids=[ids[rows[i]] for i in r])
 
-    postings = common.saved(known.mapInArrow(assign, _schema(POSTING)), "postings")
+    postings = common.saved_map(known, assign, POSTING, "postings")
     return Index(graph, postings, dim)
 
 
@@ -235,7 +235,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int = 48, rati
             r, j = np.nonzero((near >= 0) & (d <= ratio * d[:, :1] + 1e-12))
             yield common.record(PROBE, list=near[r, j].astype(np.int32), query=[q[i] for i in r])
 
-    probed = asked.select("query").distinct().mapInArrow(probe, _schema(PROBE))
+    probed = common.map_arrow(asked.select("query").distinct(), probe, PROBE)
 
     def compare(postings: pa.Table, wanted: pa.Table) -> pa.Table:
         """The k + 1 nearest entries of one list for each of its queries."""

@@ -93,7 +93,7 @@ def _write(fs, path: str, parts) -> None:
     with fs.open_output_stream(mine) as f:
         for p in parts:
             f.write(p)
-    fs.move(mine, path)
+    common.put(fs, mine, path)
 
 
 def _index(keys: np.ndarray, nulls: int, counts: np.ndarray, tokens: int, dtype: str) -> list[bytes]:
@@ -204,7 +204,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
 
     slim = common.ids_and_texts(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")).withColumn("row", common.row_key())
     order = ["doc_id", "tie", "row"]  # a hot key spreads over shards by its texts, and these by their rows
-    written = slim.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(write, _schema(MANIFEST))
+    written = common.map_arrow(slim.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text"), write, MANIFEST)
     written.write.parquet(f"{folder}/manifest")
     return spark.read.schema(_schema(MANIFEST)).parquet(f"{folder}/manifest")
 
@@ -238,7 +238,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
                 keys = pa.array(s.keys, pa.int64(), mask=np.arange(n) < nulls)
                 yield common.record(READ, doc_id=keys, start=starts, n_tokens=np.diff(s.ends, prepend=0), ids_crc32=crc)
 
-    return tasks.mapInArrow(read, _schema(READ))
+    return common.map_arrow(tasks, read, READ)
 
 
 def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
                 if ids := open_[shard].get(key):
                     yield common.record(out, doc_id=[key] * len(ids), ids=[x.astype(np.int32) for x in ids])
 
-    return wanted.repartition("shard").sortWithinPartitions("shard").mapInArrow(get, _schema(out))
+    return common.map_arrow(wanted.repartition("shard").sortWithinPartitions("shard"), get, out)
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:

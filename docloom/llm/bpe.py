@@ -212,7 +212,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
             else:
                 yield common.record(schema, doc_id=b["doc_id"], ids=[x.astype(np.int32) for x in raw], decoded=[table.decode(x).decode() for x in raw])
 
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(code, from_arrow_schema(schema))
+    return common.map_arrow(common.ids_and_texts(docs, id_col, text_col), code, schema)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -9,11 +9,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to Python code at a time, so that a batch of very long texts stays small.
 SLICE_ROWS = 256
+#: Rows of an Arrow batch between Spark and Python.
+BATCH_ROWS = 1000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -42,20 +45,83 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def save(df: DataFrame, what: str, partition_by: str | None = None) -> str:
-    """Write a table into the shared folder and return its path."""
-    path = scratch_path(df.sparkSession, what)
-    w = df.write
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+def _folder(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def saved(df: DataFrame, what: str, light: bool = False) -> DataFrame:
+    """Cut the lineage: write a table into the shared folder and read it back. A
+    light one (a few numbers a row) is written by fewer tasks, into larger files."""
+    if light:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 8))
+    return saved_map(df, lambda batches: batches, df.schema, what)
+
+
+def saved_map(df: DataFrame, run, schema, what: str, after=None) -> DataFrame:
+    """The written table of map_arrow(df, run, schema). The Python workers write it
+    themselves, so that what Python has made need not go through the JVM. A task
+    writes to a name of its own and renames at the end: a lost or repeated one
+    leaves one whole file."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, what)
+    _folder(spark, path)
+
+    def write(batches):
+        from pyarrow import parquet as pq
+        from pyspark import TaskContext
+
+        fs, base = open_fs(path)
+        rows, out, writer = 0, f"{base}/part-{TaskContext.get().partitionId():06d}.parquet", None
+        mine = f"{base}/.{uuid.uuid4().hex}"
+        for b in run(batches):
+            if not b.num_rows:
+                continue
+            if writer is None:
+                sink = fs.open_output_stream(mine)
+                writer = pq.ParquetWriter(sink, b.schema)
+            writer.write_batch(b)
+            rows += b.num_rows
+        if writer is not None:
+            writer.close()
+            sink.close()
+            put(fs, mine, out)
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["n"])
+
+    map_arrow(df, write, "n long", after).agg(F.sum("n")).collect()
+    return spark.read.schema(_spark_schema(schema)).parquet(path)
+
+
+def saved_by(df: DataFrame, key: str, what: str) -> str:
+    """Write a small table into a folder for each value of an integer column, named
+    key=value, for map tasks to read; returns the path above. df must have all rows
+    of a value in one partition."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, what)
+    _folder(spark, path)
+
+    def write(batches):
+        from pyarrow import parquet as pq
+
+        fs, base = open_fs(path)
+        if parts := list(batches):
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            for value in whole[key].unique().to_pylist():
+                fs.create_dir(f"{base}/{key}={value}")
+                mine = f"{base}/{key}={value}/.{uuid.uuid4().hex}"
+                with fs.open_output_stream(mine) as sink:
+                    pq.write_table(whole.filter(pa.compute.equal(whole[key], value)), sink)
+                put(fs, mine, f"{base}/{key}={value}/part-0.parquet")
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["n"])
+
+    map_arrow(df, write, "n long").agg(F.sum("n")).collect()
     return path
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write a table into the shared folder and read it back."""
-    path = save(df, what)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _spark_schema(schema):
+    if isinstance(schema, pa.Schema):
+        from pyspark.sql.pandas.types import from_arrow_schema
+
+        return from_arrow_schema(schema)
+    return schema
 
 
 def release() -> None:
@@ -88,6 +154,15 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def put(fs, mine: str, out: str) -> None:
+    """Rename a finished file into place, over one of an earlier attempt."""
+    from pyarrow.fs import FileType, LocalFileSystem
+
+    if not isinstance(fs, LocalFileSystem) and fs.get_file_info(out).type == FileType.File:
+        fs.delete_file(out)
+    fs.move(mine, out)
+
+
 def read_side(uri: str, columns: list[str] | None = None) -> pa.Table | None:
     """All part files below a folder as one table; None where the folder is absent."""
     from pyarrow import fs as pafs
@@ -128,6 +203,35 @@ def row_key() -> Column:
     return F.monotonically_increasing_id()
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the system; workers live on."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema, after=None) -> DataFrame:
+    """df.mapInArrow with small batches, so that very long texts don't pile up, and
+    memory given back at a task's end. ``after`` is called then, too."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if after:
+                after()
+            tidy()
+
+    return df.mapInArrow(tidied, _spark_schema(schema))
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without the rows whose row_key() is in dropped.row_key.
 
@@ -137,11 +241,7 @@ def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     dropped place raises.
     """
     src = F.shiftright("row_key", 33).cast("int")
-    side = save(
-        dropped.select(src.alias("src"), F.col("row_key").bitwiseAND((1 << 33) - 1).alias("pos")).repartition("src"),
-        "dropped",
-        "src",
-    )
+    side = saved_by(dropped.select(src.alias("src"), F.col("row_key").bitwiseAND((1 << 33) - 1).alias("pos")).repartition("src"), "src", "dropped")
     schema = docs.schema
 
     def keep(batches):
@@ -163,4 +263,4 @@ def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
         if len(gone) and gone[-1] >= seen:
             raise RuntimeError("the input gave other partitions than before; write it to a table first")
 
-    return docs.mapInArrow(keep, schema)
+    return map_arrow(docs, keep, schema)

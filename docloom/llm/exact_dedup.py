@@ -121,14 +121,14 @@ def _schema(arrow: pa.Schema):
 
 
 def marked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
-    """Every row as (row_key, doc_id, sha256, suspect, norm): norm is the
+    """A written table of every row as (row_key, doc_id, sha256, suspect, norm): norm is the
     normalised text where another row has the same fingerprint, else null."""
     spark = docs.sparkSession
     owners = owners or max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
     slim = common.ids_and_texts(docs, id_col, text_col)
-    sent = common.saved(slim.mapInArrow(lambda it: _send(it, owners), _schema(_SENT)), "sent")
+    sent = common.saved_map(slim, lambda it: _send(it, owners), _SENT, "sent")
     marks = sent.select("src", "owner", "n", "blob").groupBy("owner").applyInArrow(_own, _schema(_MARKS))
-    side = common.save(sent.join(marks, ["src", "owner"]).repartition("src"), "marks", "src")
+    side = common.saved_by(sent.join(marks, ["src", "owner"]).repartition("src"), "src", "marks")
     out = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("sha256", pa.string()), ("suspect", pa.bool_()), ("norm", pa.binary())])
 
     def again(batches):
@@ -163,7 +163,7 @@ def marked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if mine is not None and pos != mine["rows"][0].as_py():
             raise RuntimeError("the input gave other partitions than before; write it to a table first")
 
-    return slim.mapInArrow(again, _schema(out))
+    return common.saved_map(slim, again, out, "rows")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
@@ -172,7 +172,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``owners`` is the number of hash ranges (at most 4096 by default); an owner
     holds the distinct fingerprints of its range, never the repeats of a hot one.
     """
-    rows = common.saved(marked_rows(docs, id_col, text_col, owners), "rows")
+    rows = marked_rows(docs, id_col, text_col, owners)
     suspects = rows.where("suspect")
     # Grouping by the bytes verifies them; partial aggregation folds a hot text to a row per task first.
     groups = (

@@ -39,7 +39,7 @@ def cut(total: int, size: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_ids: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token pieces of all documents: part and rank are the scan task and the
+    """A written table of the token pieces of all documents: part and rank are the scan task and the
     piece's number among that task's pieces of its length; ids are little-endian
     unsigned 32-bit, or null without ``with_ids``."""
 
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, with_ids: bo
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(encode, from_arrow_schema(PIECES))
+    return common.saved_map(common.ids_and_texts(docs, id_col, text_col), encode, PIECES, "pieces")
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
@@ -147,7 +147,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 20
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, ids (null
     without ``with_ids``), offset and sequence_id. Group by sequence_id and order
     by offset for the packed sequences; see sequences()."""
-    made = common.saved(pieces(docs, tokenizer or tokenizers_.path("byte_bpe_50k.json"), end_id, size, with_ids, id_col, text_col), "pieces")
+    made = pieces(docs, tokenizer or tokenizers_.path("byte_bpe_50k.json"), end_id, size, with_ids, id_col, text_col)
     return pack(made, size)
 
 
@@ -170,7 +170,7 @@ def sequences(packed: DataFrame, size: int, pad_id: int = 0) -> DataFrame:
                 rows[1].append(np.concatenate([*seg, np.zeros(pad, np.int32)]))
             yield common.record(out, sequence_id=b["sequence_id"], ids=rows[0], segments=rows[1])
 
-    return packed.groupBy("sequence_id").agg(items.alias("items")).mapInArrow(lay, from_arrow_schema(out))
+    return common.map_arrow(packed.groupBy("sequence_id").agg(items.alias("items")), lay, out)
 
 
 def digest(packed: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: st
         for b in common.slices(batches):
             yield common.record(_STATS_Q, doc_id=b["doc_id"], q=b["q"], stats=[statistics(t) for t in common.texts(b["text"])])
 
-    found = wanted.select("doc_id", "q", "text").mapInArrow(collect, from_arrow_schema(_STATS_Q)).groupBy("doc_id").agg(F.min("q").alias("q"), F.min("stats").alias("stats"))
+    found = common.map_arrow(wanted.select("doc_id", "q", "text"), collect, _STATS_Q).groupBy("doc_id").agg(F.min("q").alias("q"), F.min("stats").alias("stats"))
     rows = sorted(found.collect(), key=lambda r: r["doc_id"])  # at most max_rows
     x = np.array([r["stats"] for r in rows], float).reshape(len(rows), len(NAMES))
     return fit(x, np.array([r["q"] for r in rows], float), **params)
@@ -222,7 +222,7 @@ def score(docs: DataFrame, forest: Forest, threshold: float = 0.7, id_col: str =
             s = forest.score(np.array([statistics(t) for t in common.texts(b["text"])], float))
             yield common.record(SCORES, doc_id=b["doc_id"], held_out=[held_out(i) for i in b["doc_id"].to_pylist()], score=s, predicted=(s >= threshold).astype(np.int32))
 
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(walk, from_arrow_schema(SCORES))
+    return common.map_arrow(common.ids_and_texts(docs, id_col, text_col), walk, SCORES)
 
 
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -236,7 +236,7 @@ def keep_good(docs: DataFrame, forest: Forest, threshold: float = 0.7, text_col:
             if len(out := b.filter(pa.array(s >= threshold))):
                 yield out
 
-    return docs.mapInArrow(keep, docs.schema)
+    return common.map_arrow(docs, keep, docs.schema)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

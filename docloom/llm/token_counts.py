@@ -134,7 +134,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, id_col: str = "doc_i
             tokens, words, scores = zip(*of(common.texts(b["text"])), strict=True)
             yield common.record(COUNTS, doc_id=b["doc_id"], n_tokens=tokens, n_words=words, score=np.array(scores, float))
 
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(count, from_arrow_schema(COUNTS))
+    return common.map_arrow(common.ids_and_texts(docs, id_col, text_col), count, COUNTS)
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
