@@ -183,7 +183,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
 
         def payload():
             nonlocal nulls
-            for b in common.slices(batches):
+            for b in common.slices_by_size(batches):
                 raw = encoder(common.texts(b["text"]))
                 nulls += b["doc_id"].null_count
                 keys.append(b["doc_id"].fill_null(0).to_numpy())

@@ -183,6 +183,20 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield b.slice(at, rows)
 
 
+def slices_by_size(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of text, or of one longer text."""
+    import numpy as np
+
+    for b in batches:
+        ends = np.cumsum(pa.compute.binary_length(b[column]).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings; null counts as the empty text."""
     return [x if x is not None else "" for x in column.to_pylist()]
