@@ -13,11 +13,12 @@
    offsets that can still reach the threshold, over the size of the union.
 4. Verified links make classes (least-label propagation with pointer jumps).
    Where a bucket still holds heads of several classes, the pairs between its
-   classes are verified as well, until nothing new links. Small buckets give all
-   these pairs. A large one, whose pairs would grow with the square of its size,
-   gives a star of another head in each of TURNS turns, so that the work stays
-   linear in the bucket entries. A link is lost only between two heads that meet in
-   large buckets alone, are no star there, and share no third head's class.
+   classes are verified as well. Small buckets give all these pairs. Large ones
+   give a star of another head in each of TURNS turns, which joins most classes
+   with linear work. What stays mixed is then dealt into blocks of bounded size,
+   and each pair of blocks of a bucket goes to a task that tests all pairs of heads
+   of different classes and fitting sizes. So all candidates are tested or in one
+   class, and only links and block members, never pairs of heads, are rows.
 
 The similarity of sequences a and b is m / (|a| + |b| - m) with m the length of
 the common subsequence: Jaccard's, for shingles that stand in the same order.
@@ -42,8 +43,10 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from docloom.llm import common
 
 K, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 2
-#: A bucket of up to SMALL heads gives all pairs between its classes, a larger one a star each turn.
-SMALL, TURNS = 16, 5
+#: A bucket of up to SMALL heads gives all pairs between its classes, a larger one a star each turn and then blocks.
+SMALL, TURNS = 16, 2
+#: Shingles that a block holds on average; a head counts as LIGHTEST at least.
+BLOCK, LIGHTEST = 40_000, 100
 #: Words whose hashes a worker keeps; a full cache starts anew.
 CACHE_WORDS = 300_000
 _WORDS = re.compile(r"\w+").findall
@@ -298,6 +301,96 @@ def _between(x: DataFrame, y: DataFrame, threshold: float, both_ways: bool = Fal
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def block_links(x: list[np.ndarray], y: list[np.ndarray] | None, x_labels: list[int], y_labels: list[int], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Places (i, j) of links between x and y, or within x where y is None, that
+    join all their linked labels. Every pair of different labels is tested, unless
+    links before it have joined them. Shingles that both hold, counted for all
+    pairs at once, bound the common subsequence as in similarity()."""
+    within = y is None
+    if within:
+        y, y_labels = x, x_labels
+    if not x or not y:
+        return []
+    every = np.concatenate([*x, *y])
+    if not len(every):
+        return []
+    # Equal shingles of one text count by their occurrence, so they can't match twice.
+    with np.errstate(over="ignore"):
+        marked = lambda s: s ^ (occurrences(s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) if len(s) else s
+        mx, my = [marked(s) for s in x], [marked(s) for s in y]
+    ny = np.array([len(s) for s in y])
+    flat = np.concatenate(my)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(y)), ny)[order]
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while (up := parent.get(i, i)) != i:
+            parent[i] = parent.get(up, up)
+            i = up
+        return i
+
+    labels, out = np.array(y_labels), []
+    for i, s in enumerate(mx):
+        n = len(s)
+        if not n:
+            continue
+        lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, side="right")
+        count = hi - lo
+        at = np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)
+        both = np.bincount(owner[at], minlength=len(y))
+        ok = (both >= threshold / (1 + threshold) * (n + ny) - 1e-9) & (np.minimum(n, ny) >= threshold * np.maximum(n, ny)) & (labels != x_labels[i])
+        if within:
+            ok[: i + 1] = False
+        for j in np.flatnonzero(ok).tolist():
+            a, b = root(x_labels[i]), root(y_labels[j])
+            if a != b and similarity(x[i], y[j], threshold) >= threshold:
+                parent[b] = a
+                out.append((i, j))
+    return out
+
+
+def blocks(mixed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the labels of each bucket of mixed (bucket, head, size,
+    label), from all pairs of heads of different labels and fitting sizes.
+
+    A label with more than a block's shingles in a bucket has blocks of its own,
+    which need no test against each other; other labels share blocks."""
+    weight = F.greatest("size", F.lit(LIGHTEST))
+    by_label = mixed.groupBy("bucket", "label").agg(F.sum(weight).alias("w"))
+    by_label = common.saved(by_label, "weights", light=True)
+    shared = by_label.where(F.col("w") <= BLOCK).groupBy("bucket").agg(F.ceil(F.sum("w") / BLOCK).alias("shared"))
+    placed = mixed.join(by_label, ["bucket", "label"]).join(shared, "bucket", "left")
+    alone = F.col("w") > BLOCK
+    # The block's name: its label (null for shared ones) and a number.
+    number = F.when(alone, F.pmod(F.xxhash64("head"), F.ceil(F.col("w") / BLOCK))).otherwise(F.pmod(F.xxhash64("label", "bucket"), F.col("shared")))
+    block = F.struct(F.coalesce(F.when(alone, F.col("label")), F.lit(-1)).alias("own"), number.alias("no"))
+    placed = common.saved(placed.select("bucket", "head", "size", "label", block.alias("block")), "blocks", light=True)
+    sizes = placed.groupBy("bucket", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    sizes = common.saved(sizes, "sizes", light=True)
+    one, two = (sizes.select("bucket", F.col("block").alias(b), F.col("low").alias(f"low_{b}"), F.col("high").alias(f"high_{b}")) for b in "xy")
+    tasks = one.join(two, "bucket").where("x <= y and (x.own = -1 or x.own <> y.own)").where((F.col("high_x") >= threshold * F.col("low_y")) & (F.col("high_y") >= threshold * F.col("low_x")))
+    tasks = common.saved(tasks.select("bucket", "x", "y"), "tasks", light=True)
+    ends = tasks.select("bucket", "x", "y", F.col("x").alias("block"), F.lit(False).alias("right")).unionByName(tasks.where("x <> y").select("bucket", "x", "y", F.col("y").alias("block"), F.lit(True).alias("right")))
+    rows = placed.join(ends, ["bucket", "block"]).select(F.xxhash64("bucket", "x", "y").alias("task"), "right", "head", "label", (F.col("x") == F.col("y")).alias("within"))
+    rows = rows.join(seqs.select(F.col("row_key").alias("head"), "seq"), "head")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def test(t: pa.Table) -> pa.Table:
+        right = np.array(t["right"].to_pylist(), bool)
+        heads, labels, seq = (np.array(t["head"].to_pylist(), np.int64), t["label"].to_pylist(), [np.frombuffer(s, np.uint64) for s in t["seq"].to_pylist()])
+        i, j = np.flatnonzero(~right), np.flatnonzero(right)
+        part = lambda of, at: [of[k] for k in at]
+        if t["within"][0].as_py():
+            found, j = block_links(part(seq, i), None, part(labels, i), [], threshold), i
+        else:
+            found = block_links(part(seq, i), part(seq, j), part(labels, i), part(labels, j), threshold)
+        pairs = [sorted((int(heads[i[p]]), int(heads[j[q]]))) for p, q in found]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())}, schema=out)
+
+    return common.saved(rows.groupBy("task").applyInArrow(test, _schema(out)), "links", light=False).distinct()
+
+
 def classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row as row_key, doc_id, class_id, class_size, kept."""
     slim = common.ids_and_texts(docs, id_col, text_col).withColumn("row_key", common.row_key())
@@ -312,22 +405,24 @@ def classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, n_bands:
     seqs = sequences(slim, posts.select(F.col("head").alias("row_key")).distinct(), k)
     links = verify(stars, seqs, threshold)
     labels = components(links)
-    for turn in range(1, TURNS + 1):
+    for turn in range(1, TURNS + 2):
         placed = posts.select("bucket", "head", "size").join(labels.withColumnRenamed("node", "head"), "head", "left").withColumn("label", F.coalesce("label", "head"))
         mixed = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
         mixed = common.saved(placed.join(mixed.select("bucket", (F.col("n") > SMALL).alias("large")), "bucket"), "mixed", light=True)
         few, many = mixed.where("not large"), mixed.where("large")
-        lead = many.groupBy("bucket").agg(F.min_by(F.struct("head", "size", "label"), F.xxhash64("head", "bucket", F.lit(turn))).alias("lead")).select("bucket", "lead.*")
-        pairs = _between(few, few, threshold).unionByName(_between(lead, many, threshold, both_ways=True))
-        more = common.saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "more", light=True)
-        fresh = verify(more, seqs, threshold)
-        new = not fresh.isEmpty()
-        if not new and many.isEmpty():
-            break
-        tested = tested.unionByName(more)
-        if new:
+        if turn > TURNS:  # all small buckets are done since the first turn
+            fresh = blocks(many, seqs, threshold)
+        else:
+            lead = many.groupBy("bucket").agg(F.min_by(F.struct("head", "size", "label"), F.xxhash64("head", "bucket", F.lit(turn))).alias("lead")).select("bucket", "lead.*")
+            pairs = _between(few, few, threshold).unionByName(_between(lead, many, threshold, both_ways=True))
+            more = common.saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "more", light=True)
+            fresh = verify(more, seqs, threshold)
+            tested = tested.unionByName(more)
+        if not fresh.isEmpty():
             labels = joined(labels, fresh)
-        posts = mixed
+        posts = many
+        if many.isEmpty():
+            break
     heads = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").select("head", "hi", "lo", F.coalesce("label", "head").alias("label"))
     placed = common.saved(sketch.drop("bands", "size").join(heads.drop("head"), ["hi", "lo"]).drop("hi", "lo"), "classes")
     # A null doc_id sorts last: ordered by (is null, doc_id, row_key).

@@ -209,6 +209,41 @@ def test_near_classes_equal_brute_force(spark):
     assert all(r.class_size == sizes[r.class_id] for r in got.values())
 
 
+def test_near_classes_of_thousands_of_copies(spark):
+    """Copies of one text, each with two edits of its own out of many: two are
+    similar only if they share an edit (or nearly), so classes are many and small
+    in buckets of hundreds."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for k in range(2000):
+        w = list(base)
+        for i in rng.choice(100, 2, replace=False):
+            w[i] = f"edit{i}x{rng.integers(60)}"
+        rows.append((k, " ".join(w)))
+    seq = [near_dedup.shingles(t) for _, t in rows]
+    codes = np.unique(np.concatenate(seq), return_inverse=True)[1].reshape(-1)
+    held = np.zeros((len(rows), codes.max() + 1), np.float32)
+    held[np.repeat(np.arange(len(rows)), [len(s) for s in seq]), codes] = 1
+    common_ = held @ held.T
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    size = held.sum(axis=1)
+    for a, b in zip(*np.nonzero(np.triu(common_ / (size[:, None] + size - common_) >= 0.79, 1)), strict=True):
+        if root(a) != root(b) and near_dedup.similarity(seq[a], seq[b]) >= 0.8:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = {i: root(i) for i in range(len(rows))}
+    assert len(set(want.values())) > 50
+    got = near_dedup.classes(helpers.docs(spark, [(i, t, "en", "s", i) for i, t in rows])).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_near_dedup_of_hard_rows(spark):
     docs = helpers.docs(spark)
     got = near_dedup.classes(docs).collect()
