@@ -4,8 +4,9 @@ Cluster centres come from a bounded sample of the vectors: median cuts give cell
 of equal size, a few rounds of means settle them. All vectors are indexed: each
 goes to the list of its nearest centre and, near a border, to those of other
 centres within a distance ratio. Centres are searched by a graph in memory (a
-beam along links between near centres); a query takes the lists whose centres lie
-within a ratio of the nearest's distance.
+beam along links between near centres, or all distances where the beam is no small
+share of the centres); a query takes the lists whose centres lie within a ratio of
+the nearest's distance, up to a number that grows with the number of lists.
 
 Equal vectors are one entry that carries its k + 1 least ids, which is all that a
 search for k can return of them, so a very common vector fills no list. Distances
@@ -69,6 +70,10 @@ def _nearest(x: np.ndarray, c: np.ndarray, rows: int = 4096) -> np.ndarray:
     return np.concatenate([(norm - 2 * x[a : a + rows] @ c.T).argmin(axis=1) for a in range(0, len(x), rows)])
 
 
+#: A beam of one in EXACT centres or more costs more than all distances.
+EXACT = 16
+
+
 @dataclass
 class CentreGraph:
     """Links between near centres, and a beam search along them for many vectors at once."""
@@ -93,6 +98,12 @@ class CentreGraph:
     def search(self, x: np.ndarray, k: int, beam: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """(centres, distances), nearest first, of about the k nearest for each row of x; -1 and inf where fewer."""
         n, beam = len(x), max(k, min(beam, len(self.c)))
+        if beam * EXACT >= len(self.c):
+            d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (self.c**2).sum(axis=1) - 2 * x @ self.c.T, 0))
+            k = min(k, len(self.c))
+            some = np.argpartition(d, k - 1, axis=1)[:, :k]
+            near = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
+            return near, np.take_along_axis(d, near, 1)
         seen = np.zeros((n, len(self.c)), bool)
         ids = np.full((n, beam), -1)
         dist = np.full((n, beam), np.inf)
@@ -213,11 +224,14 @@ PROBE = pa.schema([("list", pa.int32()), ("query", pa.binary())])
 HIT = pa.schema([("query", pa.binary()), ("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, probes: int = 48, ratio: float = 1.6, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 10, probes: int = 48, share: int = 10, ratio: float = 1.6, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, itself
-    left out. A query takes at most ``probes`` lists, those whose centres lie
-    within ``ratio`` times the nearest's distance."""
+    left out. A query takes the lists whose centres lie within ``ratio`` times the
+    nearest's distance, at most ``probes`` or one in ``share`` of all lists,
+    whichever is more: on vectors spread evenly a fixed number of lists finds ever
+    less as lists become more."""
     graph, dim = index.graph, index.dim
+    probes = max(probes, -(-len(graph.c) // share))
 
     def rows(batches: Iterator[pa.RecordBatch]):
         out = pa.schema([("query_id", pa.int64()), ("query", pa.binary())])

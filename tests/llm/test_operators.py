@@ -469,6 +469,24 @@ def test_recall(spark):
         assert [r["rank"] for r in rs] == list(range(1, 11)) and [(r.score, r.vec_id) for r in rs] == sorted((r.score, r.vec_id) for r in rs)
 
 
+def test_recall_with_many_lists(spark):
+    """Vectors spread evenly over the sphere, in far more lists than a query's least number of probes."""
+    x = np.random.default_rng(11).normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = ann.build(df, list_size=16)
+    assert len(index.graph.c) > 20 * 48
+    got: dict[int, set] = {}
+    for r in ann.search(index, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(got) == 200 and hits / 2000 >= 0.93
+
+
 def test_vectors_of_all_kinds(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
