@@ -42,3 +42,12 @@ def test_all_turns_are_corrected(spark, tmp_path, fixture):
             previous = tail_py(t.upper(), PREVIOUS_CHARS)
     got = catalog.queries()["stream_ordered_correction"](spark, folder).collect()
     assert len(got) == len(want) and {(r.document_id, r["index"], r["content"], r.previous_upper) for r in got} == want
+
+
+def test_interval_overlap_of_all_rows(spark):
+    span: dict[tuple, list] = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_linenumber", "l_shipdate").collect():
+        span.setdefault((r.l_suppkey, r.l_linenumber), []).append(r.l_shipdate)
+    want = {(s, n, m) for s, n in span for t, m in span if s == t and n < m and min(span[s, n]) <= max(span[t, m]) and min(span[t, m]) <= max(span[s, n])}
+    got = catalog.queries()["interval_overlap"](spark, SF).collect()
+    assert len(got) == len(want) and {(r.l_suppkey, r.n1, r.n2) for r in got} == want
