@@ -11,12 +11,12 @@ from docloom.plans.registry import query
 
 @query(
     "outside_tables",
-    """WITH b AS (SELECT l_orderkey % 50 AS document_id, l_linenumber AS page, l_quantity AS x0, l_quantity + 4 AS x1, l_discount * 100 AS y0, l_discount * 100 + 2 AS y1, l_orderkey, l_returnflag FROM lineitem WHERE l_orderkey < 600)
+    """WITH b AS (SELECT l_partkey AS document_id, l_linenumber AS page, l_quantity AS x0, l_quantity + 4 AS x1, l_discount * 100 AS y0, l_discount * 100 + 2 AS y1, l_orderkey, l_returnflag FROM lineitem)
 SELECT a.l_orderkey, a.page FROM b a WHERE a.l_returnflag = 'N' AND NOT EXISTS (SELECT 1 FROM b t WHERE t.l_returnflag = 'R' AND t.document_id = a.document_id AND t.page = a.page
   AND (a.x0 + a.x1) / 2 BETWEEN t.x0 - 2 AND t.x1 + 2 AND (a.y0 + a.y1) / 2 BETWEEN t.y0 - 2 AND t.y1 + 2)""",
 )
 def outside_tables(spark, sf_dir):
-    b = read(spark, sf_dir, "lineitem").where("l_orderkey < 600").selectExpr("l_orderkey % 50 as document_id", "l_linenumber as page", "l_quantity as x0", "l_quantity + 4 as x1", "l_discount * 100 as y0", "l_discount * 100 + 2 as y1", "l_orderkey", "l_returnflag")
+    b = read(spark, sf_dir, "lineitem").selectExpr("l_partkey as document_id", "l_linenumber as page", "l_quantity as x0", "l_quantity + 4 as x1", "l_discount * 100 as y0", "l_discount * 100 + 2 as y1", "l_orderkey", "l_returnflag")
     return layout.outside_tables(b.where("l_returnflag = 'N'"), b.where("l_returnflag = 'R'")).select("l_orderkey", "page")
 
 

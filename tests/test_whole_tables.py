@@ -51,3 +51,22 @@ def test_interval_overlap_of_all_rows(spark):
     want = {(s, n, m) for s, n in span for t, m in span if s == t and n < m and min(span[s, n]) <= max(span[t, m]) and min(span[t, m]) <= max(span[s, n])}
     got = catalog.queries()["interval_overlap"](spark, SF).collect()
     assert len(got) == len(want) and {(r.l_suppkey, r.n1, r.n2) for r in got} == want
+
+
+def test_outside_tables_of_all_rows(spark):
+    boxes: dict[tuple, list] = {}
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").collect()
+    box = lambda r: (float(r.l_quantity), float(r.l_quantity) + 4, float(r.l_discount) * 100, float(r.l_discount) * 100 + 2)
+    for r in rows:
+        if r.l_returnflag == "R":
+            boxes.setdefault((r.l_partkey, r.l_linenumber), []).append(box(r))
+
+    def inside(r):
+        a, b, c, d = box(r)
+        x, y = (a + b) / 2, (c + d) / 2
+        return any(x0 - 2 <= x <= x1 + 2 and y0 - 2 <= y <= y1 + 2 for x0, x1, y0, y1 in boxes.get((r.l_partkey, r.l_linenumber), []))
+
+    asked = [r for r in rows if r.l_returnflag == "N"]
+    want = sorted((r.l_orderkey, r.l_linenumber) for r in asked if not inside(r))
+    assert max(r.l_orderkey for r in rows) > 600 and len(want) < len(asked)
+    assert sorted((r.l_orderkey, r.page) for r in catalog.queries()["outside_tables"](spark, SF).collect()) == want
