@@ -6,6 +6,7 @@ the deterministic stand-in where no model is at hand."""
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,32 +79,51 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 30, max_queries: int = 10_000) -> DataFrame:
-    """query_id, chunk_id, score, rank: exact cosine search of a bounded batch of
-    queries (query_id, vector) over all vectors (chunk_id, vector), ties by
-    chunk_id. Each task keeps its own k best before anything is shuffled. For
-    large batches or corpora use an approximate index."""
-    q = [(r["query_id"], np.asarray(r["vector"], np.float64)) for r in queries.select("query_id", "vector").limit(max_queries + 1).collect()]
-    if len(q) > max_queries:
-        raise ValueError(f"more than {max_queries} queries; search in batches")
+#: Vectors that are compared with a block of queries at a time.
+SLICE_ROWS = 1024
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 30, block: int = 2048) -> DataFrame:
+    """query_id, chunk_id, score, rank: exact cosine search of all queries
+    (query_id, vector) over all vectors (chunk_id, vector), ties by chunk_id.
+    Queries go in blocks of bounded size, each against all vectors; a task keeps
+    its own k best of a block before anything is shuffled. For large corpora use
+    an approximate index."""
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
-    names = [i for i, _ in q]
-    matrix = np.stack([v / (np.linalg.norm(v) or 1) for _, v in q]) if q else np.zeros((0, 1))
+    slim, found = vectors.select("chunk_id", "vector"), None
+    rows = queries.select("query_id", "vector").toLocalIterator()
+    while q := [(r["query_id"], np.asarray(r["vector"], np.float64)) for r in itertools.islice(rows, block)]:
+        part = slim.mapInPandas(_scan([i for i, _ in q], np.stack([v / (np.linalg.norm(v) or 1) for _, v in q]), k), schema)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = slim.limit(0).mapInPandas(lambda batches: iter(()), schema)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _scan(names: list, matrix: np.ndarray, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The k best vectors of a task for each of a block of queries."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
+        least = np.full(len(names), -np.inf)  # what a score must reach to be among the k best
         for b in batches:
-            if not len(b) or not names:
-                continue
-            x = np.stack(b["vector"].to_numpy()).astype(np.float64)
-            s = matrix @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-            part = pd.DataFrame({"query_id": np.repeat(names, len(b)), "chunk_id": np.tile(b["chunk_id"].to_numpy(), len(names)), "score": s.ravel()})
-            best = part if best is None else pd.concat([best, part])
-            best["near"] = best.score.round(12)
-            best = best.sort_values(["near", "chunk_id"], ascending=[False, True]).groupby("query_id", sort=False).head(k).drop(columns="near")
+            for at in range(0, len(b), SLICE_ROWS):
+                part = b.iloc[at : at + SLICE_ROWS]
+                x = np.stack(part["vector"].to_numpy()).astype(np.float64)
+                s = matrix @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+                near = s.round(12)
+                if near.shape[1] >= k:
+                    least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k])
+                i, j = np.nonzero(near >= least[:, None])
+                new = pd.DataFrame({"i": i, "chunk_id": part["chunk_id"].to_numpy()[j], "score": s[i, j], "near": near[i, j]})
+                best = new if best is None else pd.concat([best, new])
+                best = best.sort_values(["near", "chunk_id"], ascending=[False, True]).groupby("i", sort=False).head(k)
+                full = best.groupby("i")["near"].agg(["size", "min"])
+                full = full[full["size"] == k]
+                least[full.index] = np.maximum(least[full.index], full["min"])
         if best is not None:
-            yield best
+            yield pd.DataFrame({"query_id": [names[i] for i in best["i"]], "chunk_id": best["chunk_id"].to_numpy(), "score": best["score"].to_numpy()})
 
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "chunk_id")
-    return vectors.select("chunk_id", "vector").mapInPandas(scan, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scan

@@ -69,11 +69,11 @@ def bm25_filtered(spark, sf_dir):
     """SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank
-  FROM embeddings q, embeddings e WHERE q.vec_id < 8) WHERE rank <= 10""",
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE rank <= 10""",
 )
 def dense_topk(spark, sf_dir):
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    hits = dense.search(v, v.where("chunk_id < 8").withColumnRenamed("chunk_id", "query_id"), 10)
+    hits = dense.search(v, v.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), 10)
     return hits.select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -81,13 +81,13 @@ def dense_topk(spark, sf_dir):
     "dense_filtered",
     """SELECT query_id, vec_id, rank FROM (
   SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank
-  FROM embeddings q, embeddings e WHERE q.vec_id < 8 AND e.label IN (1, 3)) WHERE rank <= 5""",
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.label IN (1, 3)) WHERE rank <= 5""",
 )
 def dense_filtered(spark, sf_dir):
     """The filter reaches the scan, before any distance is computed."""
     e = read(spark, sf_dir, "embeddings")
     v = retrieval.filter_chunks(e, {"label": [1, 3]}).select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    hits = dense.search(v, e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5)
+    hits = dense.search(v, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5)
     return hits.select("query_id", F.col("chunk_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -1,8 +1,11 @@
 """Queries take all rows of their tables: plain Python on the smallest tables and on small fixtures."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.functions.splitters import split_segments_py
+from docloom.operators import dense
 from docloom.plans import catalog
 from docloom.streaming.correction import PREVIOUS_CHARS, SEGMENT_CHARS, tail_py
 from tests.conftest import SF
@@ -70,3 +73,24 @@ def test_outside_tables_of_all_rows(spark):
     want = sorted((r.l_orderkey, r.l_linenumber) for r in asked if not inside(r))
     assert max(r.l_orderkey for r in rows) > 600 and len(want) < len(asked)
     assert sorted((r.l_orderkey, r.page) for r in catalog.queries()["outside_tables"](spark, SF).collect()) == want
+
+
+def test_dense_search_in_blocks(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    rows = {r.chunk_id: np.array(r.vector, float) / np.linalg.norm(r.vector) for r in e.collect()}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] for i in ids])
+    got: dict[int, list] = {}
+    for r in dense.search(e.repartition(3), e.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), 10, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert sorted(got) == [i for i in ids if i % 20 == 0] and len(got) > 7
+    for q, found in got.items():
+        assert found == ids[np.argsort(-(x @ rows[q]).round(12), kind="stable")[:10]].tolist()
+    none = e.limit(0).withColumnRenamed("chunk_id", "query_id")
+    assert dense.search(e, none, 10).count() == 0
+
+
+@pytest.mark.parametrize("name", ["dense_topk", "dense_filtered"])
+def test_dense_queries(spark, name):
+    asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
+    assert catalog.queries()[name](spark, SF).select("query_id").distinct().count() == asked
