@@ -74,13 +74,13 @@ def rerank(hits: DataFrame, score: Callable[[str, str], float] | None = token_ov
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def match_entities(queries: DataFrame, entities: DataFrame, longest: int = 8) -> DataFrame:
+def match_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """(query_id, document_id, canonical, norm_key) of entities named in a query.
-    The runs of up to ``longest`` words of a query meet the keys by a hash join
-    (a test for containment would compare every query with every key); longer
-    keys than that can't be in the table that callers build."""
+    The runs of words of a query, as long as keys are, meet the keys by a hash join
+    (a test for containment would compare every query with every key)."""
+    lengths = sorted(r["n"] for r in entities.where("norm_key is not null").select(F.size(F.split("norm_key", " ")).alias("n")).distinct().collect())
     words = F.split(T.normalize_key("query"), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words))), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
+    runs = F.flatten(F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.size(words)), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
     q = queries.where(F.length(T.normalize_key("query")) >= 3).select("query_id", F.explode(F.array_distinct(runs)).alias("norm_key"))
     return q.join(entities.select("document_id", "canonical", "norm_key"), "norm_key").select("query_id", "document_id", "canonical", "norm_key").distinct()
 

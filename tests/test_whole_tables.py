@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.splitters import split_segments_py
-from docloom.operators import dense
+from docloom.operators import dense, retrieval
 from docloom.plans import catalog
 from docloom.streaming.correction import PREVIOUS_CHARS, SEGMENT_CHARS, tail_py
 from tests.conftest import SF
@@ -94,3 +94,11 @@ def test_dense_search_in_blocks(spark):
 def test_dense_queries(spark, name):
     asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
     assert catalog.queries()[name](spark, SF).select("query_id").distinct().count() == asked
+
+
+def test_long_names_match(spark):
+    name = "uy ban nhan dan thanh pho ho chi minh quan nhat"
+    e = spark.createDataFrame([("d", name.title(), name), ("d", "An Binh", "an binh")], "document_id string, canonical string, norm_key string")
+    q = spark.createDataFrame([(1, f"Theo {name.title()} va An Binh"), (2, "An")], "query_id long, query string")
+    assert {(r.query_id, r.norm_key) for r in retrieval.match_entities(q, e).collect()} == {(1, name), (1, "an binh")}
+    assert retrieval.match_entities(q, e.limit(0)).count() == 0
