@@ -166,7 +166,7 @@ class Scanner:
 
     def __call__(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, label, confidence) of the detections that stay, in a lower-case text."""
-        spaced = " ".join(text.split()) if "\n" in text or "\t" in text or "  " in text else text
+        spaced = " ".join(text.split())  # any white space, as in the rules
         ready: set[int] = set()
         for _, ks in self.automaton.iter(spaced):
             ready.update(ks)
@@ -193,7 +193,7 @@ _BETWEEN = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _IN = rb"[0-9a-z\x80-\xff]"
 
 #: Any detection by a rule needs one of these in the lower-case text.
-_GATE = rb"licen|spdx|cc|creative|public|gpl|wtfpl|rights|permission|redistribution|mit no attribution"
+_GATE = rb"licen|spdx|cc|creative|public|gpl|wtfpl|rights|permission|redistribution|attribution"
 
 
 @lru_cache(maxsize=16)

@@ -374,6 +374,12 @@ def test_base_phrases_anywhere(text):
     assert (int(begins.sum()), len(numbers), numbers[0] if numbers else None, numbers[-1] if numbers else None) == (n, hits, first, last)
 
 
+@pytest.mark.parametrize("text, label", [("MIT No\nAttribution", "mit-0"), *[(f"the GNU{c}General{c}Public{c}License v3", "gpl-3.0") for c in "\r\f\xa0\n "]])
+def test_white_space_of_all_kinds(spark, text, label):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert label in license_scan.scan(docs).first().labels.split(",")
+
+
 def test_rules():
     rules = license_scan.build_rules()
     assert len(rules) > 300
