@@ -1,8 +1,9 @@
 """Token-id files with a minimal perfect hash index.
 
-Documents are range-partitioned by doc_id into shards. A shard is two files:
-``shard-N.bin`` holds the raw ids one document after the other (two bytes each
-where the vocabulary allows, else four); ``shard-N.idx`` holds the keys in order,
+Documents are encoded where they are scanned; what is range-partitioned by doc_id
+into shards are ids (two bytes each where the vocabulary allows, else four). A
+shard is two files: ``.bin`` holds the raw ids one document after the other;
+``.idx`` holds the keys in order,
 the offset table, and a minimal perfect hash of the keys, whose slots store a
 fingerprint and the key's first row. A key is looked up in constant time: hash,
 compare the fingerprint, read the offsets.
@@ -11,12 +12,13 @@ The hash is a cascade of bit arrays: at each level the keys that fall on a bit o
 their own take it, the others go to the next level; a key's slot is the number of
 bits set before its own.
 
-Tasks write to a name of their own attempt and rename at the end, so a lost or
-repeated task leaves whole files only.
+Every attempt of a task writes files of its own name, and the manifest, which
+Spark commits, names those of the attempt that counts.
 
 Defined results: a null text counts as empty (only the end id). Rows with equal
 doc_id lie one after the other, by text hash, and one key finds them all; rows
 with a null doc_id come first and have no key. Empty tables give no shard rows.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -87,15 +89,6 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys, 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
 
-def _write(fs, path: str, parts) -> None:
-    """Whole or not at all: a file of this attempt, then a rename."""
-    mine = f"{path}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(mine) as f:
-        for p in parts:
-            f.write(p)
-    common.put(fs, mine, path)
-
-
 def _index(keys: np.ndarray, nulls: int, counts: np.ndarray, tokens: int, dtype: str) -> list[bytes]:
     """The index file: magic, length of the header, the header (JSON: sections
     and their lengths), then the sections."""
@@ -112,11 +105,11 @@ def _index(keys: np.ndarray, nulls: int, counts: np.ndarray, tokens: int, dtype:
 
 
 class Shard:
-    """Reader of one shard."""
+    """Reader of one shard; ``file`` is its name in the manifest."""
 
-    def __init__(self, folder: str, shard: int):
+    def __init__(self, folder: str, file: str):
         self.fs, base = common.open_fs(folder)
-        self.path = f"{base}/shard-{shard:06d}"
+        self.path = f"{base}/{file}"
         with self.fs.open_input_file(self.path + ".idx") as f:
             raw = f.read()
         if raw[:8] != MAGIC:
@@ -140,72 +133,83 @@ class Shard:
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of all documents with that key."""
         (row,), (times,) = self.find(np.array([key], np.int64))
-        width, out = self.dtype.itemsize, []
-        with self.fs.open_input_file(self.path + ".bin") as f:
-            for r in range(row, row + int(times)):
-                a, z = (int(self.ends[r - 1]) if r else 0), int(self.ends[r])
-                out.append(np.frombuffer(f.read_at((z - a) * width, a * width), self.dtype))
-        return out
+        return [ids for _, ids in self.read(np.arange(row, row + int(times)))]
 
-    def scan(self):
-        """(row, ids) of all documents in order, by one sequential read."""
-        width, at = self.dtype.itemsize, 0
-        with self.fs.open_input_stream(self.path + ".bin", buffer_size=1 << 20) as f:
-            for row, end in enumerate(self.ends.tolist()):
-                yield row, np.frombuffer(f.read((end - at) * width), self.dtype)
-                at = end
+    def read(self, rows: np.ndarray, buffer: int = 4 << 20):
+        """(row, ids) of the given rows; neighbours share a read of ``buffer`` bytes."""
+        width, held, start = self.dtype.itemsize, b"", 0
+        with self.fs.open_input_file(self.path + ".bin") as f:
+            for row in rows.tolist():
+                a, z = (int(self.ends[row - 1]) if row else 0) * width, int(self.ends[row]) * width
+                if a < start or z > start + len(held):
+                    start, held = a, f.read_at(max(buffer, z - a), a)
+                yield row, np.frombuffer(held, self.dtype, (z - a) // width, a - start)
 
 
 def _schema(arrow: pa.Schema):
     return from_arrow_schema(arrow)
 
 
-MANIFEST = pa.schema([("shard", pa.int32()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
+CODED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("row", pa.int64()), ("ids", pa.binary())])
+MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
+
 
+def encode_ids(docs: DataFrame, file: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A written table of doc_id, tie (the text's hash), row and ids (raw bytes, end id included)."""
+    slim = common.ids_and_texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tie"), common.row_key().alias("row"), "text")
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 1, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def encode(batches):
+        encoder = tokenizers_.word_bpe(file)
+        end = np.array([end_id], encoder.dtype).tobytes()
+        for b in common.slices_by_size(batches):
+            yield common.record(CODED, doc_id=b["doc_id"], tie=b["tie"], row=b["row"], ids=[x + end for x in encoder(common.texts(b["text"]))])
+
+    return common.saved_map(slim, encode, CODED, "coded")
+
+
+def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 1, shards: int | None = None, shard_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents into shards in ascending doc_id order; returns the
     manifest, one row per shard, which is also written as Parquet beside them.
-    ``shards`` defaults to the session's number of shuffle partitions."""
+    ``shards`` defaults to the session's number of shuffle partitions, or more so
+    that a shard's payload is ``shard_bytes`` at most on average."""
     spark = docs.sparkSession
     file = tokenizer or tokenizers_.path("word_bpe_49k.json")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    dtype = tokenizers_.word_bpe(file).dtype
+    coded = encode_ids(docs, file, end_id, id_col, text_col)
+    if not shards:
+        total = coded.agg(F.sum(F.length("ids"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // shard_bytes))
 
     def write(batches):
         from pyspark import TaskContext
 
-        shard, encoder = TaskContext.get().partitionId(), tokenizers_.word_bpe(file)
+        shard, width = TaskContext.get().partitionId(), np.dtype(dtype).itemsize
         fs, base = common.open_fs(folder)
         fs.create_dir(base)
-        keys, nulls, counts = [], 0, []
-        end = np.array([end_id], encoder.dtype).tobytes()
-        width = len(end)
-
-        def payload():
-            nonlocal nulls
-            for b in common.slices_by_size(batches):
-                raw = encoder(common.texts(b["text"]))
+        name, keys, nulls, counts = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}", [], 0, []
+        sink = None
+        for b in batches:
+            if b.num_rows:
+                sink = sink or fs.open_output_stream(f"{base}/{name}.bin")
                 nulls += b["doc_id"].null_count
                 keys.append(b["doc_id"].fill_null(0).to_numpy())
-                counts.append(np.fromiter((len(x) // width + 1 for x in raw), np.int64, len(raw)))
-                for x in raw:
-                    yield x
-                    yield end
-
-        path = f"{base}/shard-{shard:06d}"
-        _write(fs, path + ".bin", payload())
-        if not keys:
-            fs.delete_file(path + ".bin")
+                counts.append(pa.compute.binary_length(b["ids"]).to_numpy().astype(np.int64) // width)
+                for x in b["ids"]:
+                    sink.write(x.as_buffer())
+        if sink is None:
             return
+        sink.close()
         keys, counts = np.concatenate(keys), np.concatenate(counts)
-        _write(fs, path + ".idx", _index(keys, nulls, counts, int(counts.sum()), encoder.dtype))
+        with fs.open_output_stream(f"{base}/{name}.idx") as f:
+            for part in _index(keys, nulls, counts, int(counts.sum()), dtype):
+                f.write(part)
         known = keys[nulls:]
-        yield common.record(MANIFEST, shard=[shard], documents=[len(keys)], tokens=[int(counts.sum())], first_key=[int(known[0]) if len(known) else None], last_key=[int(known[-1]) if len(known) else None])
+        yield common.record(MANIFEST, shard=[shard], file=[name], documents=[len(keys)], tokens=[int(counts.sum())], first_key=[int(known[0]) if len(known) else None], last_key=[int(known[-1]) if len(known) else None])
 
-    slim = common.ids_and_texts(docs, id_col, text_col).withColumn("tie", F.xxhash64("text")).withColumn("row", common.row_key())
     order = ["doc_id", "tie", "row"]  # a hot key spreads over shards by its texts, and these by their rows
-    written = common.map_arrow(slim.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text"), write, MANIFEST)
-    written.write.parquet(f"{folder}/manifest")
+    written = common.map_arrow(coded.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids"), write, MANIFEST)
+    with common.small_batches(spark):
+        written.write.parquet(f"{folder}/manifest")
     return spark.read.schema(_schema(MANIFEST)).parquet(f"{folder}/manifest")
 
 
@@ -214,29 +218,30 @@ READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document from the files: start (ids before it in all shards),
-    number of ids and their CRC-32 as little-endian unsigned 32-bit. Every key is
-    found through the index on the way; one that is not raises."""
+    number of ids and their CRC-32 as little-endian unsigned 32-bit. Documents with
+    a key are read by it: the perfect hash gives its rows, and the offset table
+    their place in the payload. A key that is not found raises."""
     manifest = spark.read.schema(_schema(MANIFEST)).parquet(f"{folder}/manifest")
     # One row per shard, so a single task can sum them up.
     based = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = [(r["shard"], r["base"]) for r in based.select("shard", "base").collect()]  # the number of shards bounds it
-    tasks = spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), "shard int, base long")
+    rows = [(r["file"], r["base"]) for r in based.select("file", "base").collect()]  # the number of shards bounds it
+    tasks = spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), "file string, base long")
 
     def read(batches):
         for b in batches:
-            for shard, base in zip(b["shard"].to_pylist(), b["base"].to_pylist(), strict=True):
-                s = Shard(folder, shard)
-                nulls, n = s.header["nulls"], len(s.keys)
-                first, times = s.find(s.keys[nulls:])
-                at = np.arange(nulls, n)
-                if ((at < first) | (at >= first + times)).any():
+            for file, base in zip(b["file"].to_pylist(), b["base"].to_pylist(), strict=True):
+                s = Shard(folder, file)
+                nulls = s.header["nulls"]
+                distinct = np.unique(s.keys[nulls:])
+                first, times = s.find(distinct)
+                if (first < nulls).any() or int(times.sum()) != len(s.keys) - nulls:
                     raise RuntimeError(f"{s.path}: the index does not find its own keys")
-                starts = np.concatenate([[0], s.ends[:-1]]) + base
-                crc = np.zeros(n, np.int64)
-                for row, ids in s.scan():
-                    crc[row] = zlib.crc32(ids.astype("<u4").tobytes())
-                keys = pa.array(s.keys, pa.int64(), mask=np.arange(n) < nulls)
-                yield common.record(READ, doc_id=keys, start=starts, n_tokens=np.diff(s.ends, prepend=0), ids_crc32=crc)
+                found = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+                known, rows = np.repeat(distinct, times), np.concatenate([np.arange(nulls), found]).astype(np.int64)
+                starts = np.concatenate([[0], s.ends[:-1]])[rows]
+                crc = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in s.read(rows)]
+                keys = pa.array(np.concatenate([np.zeros(nulls, np.int64), known]), pa.int64(), mask=np.arange(len(rows)) < nulls)
+                yield common.record(READ, doc_id=keys, start=starts + base, n_tokens=s.ends[rows] - starts, ids_crc32=crc)
 
     return common.map_arrow(tasks, read, READ)
 
@@ -246,19 +251,19 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     holds it (the manifest has one row per shard) and is found by its index."""
     manifest = spark.read.schema(_schema(MANIFEST)).parquet(f"{folder}/manifest")
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    ranges = F.broadcast(manifest.where("first_key is not null").select("shard", "first_key", "last_key"))
-    wanted = keys.select(F.col("doc_id").cast("long")).distinct().join(ranges, F.col("doc_id").between(F.col("first_key"), F.col("last_key"))).select("shard", "doc_id")
+    ranges = F.broadcast(manifest.where("first_key is not null").select("file", "first_key", "last_key"))
+    wanted = keys.select(F.col("doc_id").cast("long")).distinct().join(ranges, F.col("doc_id").between(F.col("first_key"), F.col("last_key"))).select("file", "doc_id")
 
     def get(batches):
         open_: dict[int, Shard] = {}
         for b in batches:
-            for shard, key in zip(b["shard"].to_pylist(), b["doc_id"].to_pylist(), strict=True):
-                if shard not in open_:
-                    open_ = {shard: Shard(folder, shard)}
-                if ids := open_[shard].get(key):
+            for file, key in zip(b["file"].to_pylist(), b["doc_id"].to_pylist(), strict=True):
+                if file not in open_:
+                    open_ = {file: Shard(folder, file)}
+                if ids := open_[file].get(key):
                     yield common.record(out, doc_id=[key] * len(ids), ids=[x.astype(np.int32) for x in ids])
 
-    return common.map_arrow(wanted.repartition("shard").sortWithinPartitions("shard"), get, out)
+    return common.map_arrow(wanted.repartition("file").sortWithinPartitions("file"), get, out)
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -26,21 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a
-    temporary folder is set only where that setting is absent (local tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is
+    unset, a temporary folder serves a local session; a cluster's executors would
+    each write to a disk of their own, so there it raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder; release() or the end of the process removes it."""
-    path = f"{scratch_root(spark)}/docloom-{what}-{uuid.uuid4().hex}"
-    if not path.startswith(("file:", "hdfs:", "s3", "gs:", "abfs", "viewfs:")):
-        path = f"file://{path}" if path.startswith("/") else path
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/docloom-{what}-{uuid.uuid4().hex}")
+    path = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
     _made.append((spark, path))
     return path
 
@@ -50,6 +54,30 @@ def _folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
 
 
+def _commit(path: str, names: list[tuple[str, str]]) -> None:
+    """Move the files that the successful attempt of each task has named to where
+    readers look, as Spark's committer does at a job's end. Files of lost, repeated or
+    late attempts keep their hidden names and are never read."""
+    fs, base = open_fs(path)
+    for folder in {out.rpartition("/")[0] for _, out in names if "/" in out}:
+        fs.create_dir(f"{base}/{folder}")
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda x: fs.move(f"{base}/{x[0]}", f"{base}/{x[1]}"), names))
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of few rows between Spark and Python, for what runs inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if int(before) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, what: str, light: bool = False) -> DataFrame:
     """Cut the lineage: write a table into the shared folder and read it back. A
     light one (a few numbers a row) is written by fewer tasks, into larger files."""
@@ -61,8 +89,8 @@ def saved(df: DataFrame, what: str, light: bool = False) -> DataFrame:
 def saved_map(df: DataFrame, run, schema, what: str, after=None) -> DataFrame:
     """The written table of map_arrow(df, run, schema). The Python workers write it
     themselves, so that what Python has made need not go through the JVM. A task
-    writes to a name of its own and renames at the end: a lost or repeated one
-    leaves one whole file."""
+    names its file in its result; only named files are committed, so a lost or
+    repeated attempt leaves nothing that is read."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, what)
     _folder(spark, path)
 
@@ -71,30 +99,31 @@ def saved_map(df: DataFrame, run, schema, what: str, after=None) -> DataFrame:
         from pyspark import TaskContext
 
         fs, base = open_fs(path)
-        rows, out, writer = 0, f"{base}/part-{TaskContext.get().partitionId():06d}.parquet", None
-        mine = f"{base}/.{uuid.uuid4().hex}"
+        part, writer, mine = TaskContext.get().partitionId(), None, f".{uuid.uuid4().hex}"
         for b in run(batches):
             if not b.num_rows:
                 continue
             if writer is None:
-                sink = fs.open_output_stream(mine)
+                sink = fs.open_output_stream(f"{base}/{mine}")
                 writer = pq.ParquetWriter(sink, b.schema)
             writer.write_batch(b)
-            rows += b.num_rows
         if writer is not None:
             writer.close()
             sink.close()
-            put(fs, mine, out)
-        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["n"])
+            yield record(_FILE, mine=[mine], out=[f"part-{part:06d}.parquet"])
 
-    map_arrow(df, write, "n long", after).agg(F.sum("n")).collect()
+    with small_batches(spark):
+        _commit(path, [tuple(r) for r in map_arrow(df, write, _FILE, after).collect()])  # a row per task
     return spark.read.schema(_spark_schema(schema)).parquet(path)
 
 
+_FILE = pa.schema([("mine", pa.string()), ("out", pa.string())])
+
+
 def saved_by(df: DataFrame, key: str, what: str) -> str:
     """Write a small table into a folder for each value of an integer column, named
     key=value, for map tasks to read; returns the path above. df must have all rows
-    of a value in one partition."""
+    of a value in one partition, and as many values as there are tasks at most."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, what)
     _folder(spark, path)
 
@@ -105,14 +134,13 @@ def saved_by(df: DataFrame, key: str, what: str) -> str:
         if parts := list(batches):
             whole = pa.Table.from_batches(parts).combine_chunks()
             for value in whole[key].unique().to_pylist():
-                fs.create_dir(f"{base}/{key}={value}")
-                mine = f"{base}/{key}={value}/.{uuid.uuid4().hex}"
-                with fs.open_output_stream(mine) as sink:
+                mine = f".{uuid.uuid4().hex}"
+                with fs.open_output_stream(f"{base}/{mine}") as sink:
                     pq.write_table(whole.filter(pa.compute.equal(whole[key], value)), sink)
-                put(fs, mine, f"{base}/{key}={value}/part-0.parquet")
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], ["n"])
+                yield record(_FILE, mine=[mine], out=[f"{key}={value}/part-0.parquet"])
 
-    map_arrow(df, write, "n long").agg(F.sum("n")).collect()
+    with small_batches(spark):
+        _commit(path, [tuple(r) for r in map_arrow(df, write, _FILE).collect()])
     return path
 
 
@@ -154,15 +182,6 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def put(fs, mine: str, out: str) -> None:
-    """Rename a finished file into place, over one of an earlier attempt."""
-    from pyarrow.fs import FileType, LocalFileSystem
-
-    if not isinstance(fs, LocalFileSystem) and fs.get_file_info(out).type == FileType.File:
-        fs.delete_file(out)
-    fs.move(mine, out)
-
-
 def read_side(uri: str, columns: list[str] | None = None) -> pa.Table | None:
     """All part files below a folder as one table; None where the folder is absent."""
     from pyarrow import fs as pafs
@@ -229,11 +248,7 @@ def tidy() -> None:
 
 
 def map_arrow(df: DataFrame, run, schema, after=None) -> DataFrame:
-    """df.mapInArrow with small batches, so that very long texts don't pile up, and
-    memory given back at a task's end. ``after`` is called then, too."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) not in range(1, BATCH_ROWS + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """df.mapInArrow, with memory given back at a task's end. ``after`` is called then, too."""
 
     def tidied(batches):
         try:
@@ -246,35 +261,51 @@ def map_arrow(df: DataFrame, run, schema, after=None) -> DataFrame:
     return df.mapInArrow(tidied, _spark_schema(schema))
 
 
-def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose row_key() is in dropped.row_key.
+def mark(text: str) -> int:
+    """A hash of a text, by which a second scan proves that it sees the same row."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+OTHER = "the input gave other partitions than before; write it to a table first"
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose row_key() is in dropped (row_key, mark).
 
     Texts are not shuffled: the dropped places are written by partition into the
     shared folder, and each scan task reads its own few. The scan must give the
-    same partitions again, as a scan of files does; a partition that lacks a
-    dropped place raises.
+    same partitions again, as a scan of files does; a row at a dropped place whose
+    text has another mark() raises.
     """
     src = F.shiftright("row_key", 33).cast("int")
-    side = saved_by(dropped.select(src.alias("src"), F.col("row_key").bitwiseAND((1 << 33) - 1).alias("pos")).repartition("src"), "src", "dropped")
-    schema = docs.schema
+    side = saved_by(dropped.select(src.alias("src"), F.col("row_key").bitwiseAND((1 << 33) - 1).alias("pos"), "mark").repartition("src"), "src", "dropped")
+    schema, at = docs.schema, docs.columns.index(text_col)
 
     def keep(batches):
         import numpy as np
         from pyspark import TaskContext
 
-        found = read_side(f"{side}/src={TaskContext.get().partitionId()}", ["pos"])
-        gone = np.sort(found["pos"].to_numpy()) if found is not None else np.zeros(0, np.int64)
+        found = read_side(f"{side}/src={TaskContext.get().partitionId()}", ["pos", "mark"])
+        gone, marks = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if found is not None:
+            order = np.argsort(found["pos"].to_numpy())
+            gone, marks = found["pos"].to_numpy()[order], found["mark"].to_numpy()[order]
         seen = 0
-        for b in batches:
+        for b in slices(batches, BATCH_ROWS):
             lo, hi = np.searchsorted(gone, [seen, seen + b.num_rows])
+            places = gone[lo:hi] - seen
             seen += b.num_rows
             if hi > lo:
-                mask = np.ones(b.num_rows, bool)
-                mask[gone[lo:hi] - (seen - b.num_rows)] = False
-                b = b.filter(pa.array(mask))
+                if [mark(t) for t in texts(b.column(at).take(pa.array(places)))] != marks[lo:hi].tolist():
+                    raise RuntimeError(OTHER)
+                left = np.ones(b.num_rows, bool)
+                left[places] = False
+                b = b.filter(pa.array(left))
             if b.num_rows:
                 yield b
         if len(gone) and gone[-1] >= seen:
-            raise RuntimeError("the input gave other partitions than before; write it to a table first")
+            raise RuntimeError(OTHER)
 
     return map_arrow(docs, keep, schema)

@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from docloom.llm import common
 
+#: Rows whose fingerprints an owner gets on average, at most.
+OWNED = 4_000_000
+
 # ---------------------------------------------------------------- Golomb-Rice
 
 
@@ -121,15 +124,16 @@ def _schema(arrow: pa.Schema):
 
 
 def marked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
-    """A written table of every row as (row_key, doc_id, sha256, suspect, norm): norm is the
+    """A written table of every row as (row_key, doc_id, mark, sha256, suspect, norm): norm is the
     normalised text where another row has the same fingerprint, else null."""
-    spark = docs.sparkSession
-    owners = owners or max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
     slim = common.ids_and_texts(docs, id_col, text_col)
+    if not owners:
+        spark = docs.sparkSession
+        owners = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-docs.count() // OWNED))
     sent = common.saved_map(slim, lambda it: _send(it, owners), _SENT, "sent")
     marks = sent.select("src", "owner", "n", "blob").groupBy("owner").applyInArrow(_own, _schema(_MARKS))
     side = common.saved_by(sent.join(marks, ["src", "owner"]).repartition("src"), "src", "marks")
-    out = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("sha256", pa.string()), ("suspect", pa.bool_()), ("norm", pa.binary())])
+    out = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("sha256", pa.string()), ("suspect", pa.bool_()), ("norm", pa.binary())])
 
     def again(batches):
         from pyspark import TaskContext
@@ -145,31 +149,34 @@ def marked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         order = np.argsort(every)
         every, marked = every[order], marked[order]
         for b in common.slices(batches):
-            done = [_digest(x) for x in common.texts(b["text"])]
+            texts = common.texts(b["text"])
+            done = [_digest(x) for x in texts]
             fp = np.fromiter((_fingerprint(d) for _, d in done), np.uint64, len(done))
             at = np.minimum(np.searchsorted(every, fp), max(0, len(every) - 1))
             if not len(every) or (every[at] != fp).any():
-                raise RuntimeError("the input gave other partitions than before; write it to a table first")
+                raise RuntimeError(common.OTHER)
             hit = marked[at]
             yield common.record(
                 out,
                 row_key=(np.int64(src) << np.int64(33)) + np.arange(pos, pos + len(done)),
                 doc_id=b["doc_id"],
+                mark=[common.mark(x) for x in texts],
                 sha256=[d.hex() for _, d in done],
                 suspect=hit,
                 norm=[t if h else None for (t, _), h in zip(done, hit, strict=True)],
             )
             pos += len(done)
         if mine is not None and pos != mine["rows"][0].as_py():
-            raise RuntimeError("the input gave other partitions than before; write it to a table first")
+            raise RuntimeError(common.OTHER)
 
     return common.saved_map(slim, again, out, "rows")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
-    """One row per input row: row_key, doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per input row: row_key, mark, doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``owners`` is the number of hash ranges (at most 4096 by default); an owner
+    ``owners`` is the number of hash ranges; by default as many as there are shuffle
+    partitions, or more so that an owner gets OWNED rows at most on average. It
     holds the distinct fingerprints of its range, never the repeats of a hot one.
     """
     rows = marked_rows(docs, id_col, text_col, owners)
@@ -187,22 +194,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts with one SHA-256"))).otherwise(F.col("n")).cast("long").alias("n"),
         )
     )
+    # Written before the join, so that adaptive execution can split the rows of a hot group.
+    groups = common.saved(groups, "groups", light=True)
     shared = suspects.drop("norm").join(groups, "sha256").select(
-        "row_key", "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row_key") == F.col("keep_key")).alias("kept"), F.col("sha256").alias("text_sha256")
+        "row_key", "mark", "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row_key") == F.col("keep_key")).alias("kept"), F.col("sha256").alias("text_sha256")
     )
     alone = rows.where("not suspect").select(
-        "row_key", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha256").alias("text_sha256")
+        "row_key", "mark", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha256").alias("text_sha256")
     )
     return alone.unionByName(shared)
 
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts; all columns and row order within files kept."""
-    return common.drop_rows(docs, exact_dedup(docs, id_col, text_col).where("not kept").select("row_key"))
+    return common.drop_rows(docs, exact_dedup(docs, id_col, text_col).where("not kept").select("row_key", "mark"), text_col)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(common.table(spark, sf_dir, "documents")).drop("row_key")
+    return exact_dedup(common.table(spark, sf_dir, "documents")).drop("row_key", "mark")
 
 
 ORACLE = """

@@ -26,7 +26,8 @@ the common subsequence: Jaccard's, for shingles that stand in the same order.
 Defined results: a null text counts as empty; all texts without words are one
 class. A text of fewer than five words is one shingle. Null and repeated doc_ids
 keep their rows; the kept row of a class is its least doc_id's (null last, then
-the first in the scan). class_id is the least doc_id of the class.
+the first in the scan). class_id is the least doc_id of the class. Other columns
+are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -137,6 +138,54 @@ def bands(s: np.ndarray, n: int = BANDS, rows: int = ROWS) -> np.ndarray:
 # ------------------------------------------------------------------ alignment
 
 
+#: Bytes of the bit masks of a text's most frequent shingles, and places of a shingle that are set one by one.
+MASK_BYTES, SINGLY = 64 << 20, 64
+
+
+class Places:
+    """Where each shingle stands in a text, as bits of a window. The most frequent
+    shingles, as far as memory goes, have a mask of the whole text, which is
+    shifted; others have lists of places, so that repeats cost no more than a
+    shift of the window."""
+
+    def __init__(self, a: np.ndarray, size: int):
+        self.size, self.full = size, (1 << size) - 1
+        values, first, counts = np.unique(a, return_index=True, return_counts=True)
+        order = np.argsort(a, kind="stable")
+        starts = np.cumsum(counts) - counts
+        keep = max(1, MASK_BYTES // (len(a) // 8 + 1))
+        often = set(np.argsort(-counts, kind="stable")[:keep][np.sort(-counts)[:keep] < -2].tolist())
+        self.lists, self.masks = {}, {}
+        for k, (x, at, n) in enumerate(zip(values.tolist(), starts.tolist(), counts.tolist(), strict=True)):
+            places = order[at : at + n]
+            if k in often:
+                self.masks[x] = self._bits(places, len(a))
+            else:
+                self.lists[x] = places if n > SINGLY else places.tolist()
+
+    @staticmethod
+    def _bits(places: np.ndarray, size: int) -> int:
+        on = np.zeros(size, np.uint8)
+        on[places] = 1
+        return int.from_bytes(np.packbits(on, bitorder="little").tobytes(), "little")
+
+    def window(self, x: int, low: int) -> int:
+        """Bit i: x stands at place low + i."""
+        if (mask := self.masks.get(x)) is not None:
+            return (mask >> low if low >= 0 else mask << -low) & self.full
+        places = self.lists.get(x)
+        if places is None:
+            return 0
+        if isinstance(places, np.ndarray):
+            near = places[np.searchsorted(places, low) : np.searchsorted(places, low + self.size)] - low
+            return self._bits(near, self.size) if len(near) else 0
+        hits = 0
+        for i in places:
+            if 0 <= i - low < self.size:
+                hits |= 1 << (i - low)
+        return hits
+
+
 def common_length(a: np.ndarray, b: np.ndarray, width: int) -> int:
     """Length of the longest common subsequence of a and b whose matches lie
     within ``width`` of the diagonal. Common ends are cut off; the rest is
@@ -152,22 +201,16 @@ def common_length(a: np.ndarray, b: np.ndarray, width: int) -> int:
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not len(a) or not len(b):
         return head + tail
-    places: dict[int, list[int]] = {}
-    for i, x in enumerate(a.tolist()):
-        places.setdefault(x, []).append(i)
     size = 2 * width + 1
     full = (1 << size) - 1
+    places = Places(a, size)
     v, found = full, 0  # bit i of v: place low + i of a; a zero bit counts one match
     for j, x in enumerate(b.tolist()):
         low = j - width
         if j:
             found += not v & 1  # the lowest place leaves the window
             v = v >> 1 | 1 << (size - 1)
-        hits = 0
-        for i in places.get(x, ()):
-            if 0 <= i - low < size:
-                hits |= 1 << (i - low)
-        if hits:
+        if hits := places.window(x, low):
             u = v & hits
             v = ((v + u) | (v - u)) & full
     return head + tail + found + size - v.bit_count()
@@ -196,7 +239,7 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 # -------------------------------------------------------------------- classes
 
-SKETCH = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("row_key", pa.int64()), ("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("size", pa.int64()), ("mark", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SEQUENCE = pa.schema([("row_key", pa.int64()), ("seq", pa.binary())])
 
 
@@ -205,44 +248,47 @@ def _schema(arrow: pa.Schema):
 
 
 def sketches(docs: DataFrame, k: int, n: int, rows: int) -> DataFrame:
-    """A written table of row_key, doc_id, a 128-bit hash of the words (hi, lo), the number of shingles and the band hashes of every row."""
+    """A written table of row_key, doc_id, a 128-bit hash of the words (hi, lo), the number of shingles, common.mark() and the band hashes of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         import xxhash
 
         for b in common.slices(batches):
             his, los, sizes, sigs = [], [], [], []
-            for t in common.texts(b["text"]):
+            texts = common.texts(b["text"])
+            for t in texts:
                 s = shingles(t, k)
                 raw = xxhash.xxh3_128_digest(" ".join(_WORDS(t.lower()))) if len(s) < 3 else xxhash.xxh3_128_digest(s.tobytes())
                 his.append(int.from_bytes(raw[:8], "big", signed=True))
                 los.append(int.from_bytes(raw[8:], "big", signed=True))
                 sizes.append(len(s))
                 sigs.append(bands(s, n, rows))
-            yield common.record(SKETCH, row_key=b["row_key"], doc_id=b["doc_id"], hi=his, lo=los, size=sizes, bands=sigs)
+            yield common.record(SKETCH, row_key=b["row_key"], doc_id=b["doc_id"], hi=his, lo=los, size=sizes, mark=[common.mark(t) for t in texts], bands=sigs)
 
     return common.saved_map(docs, run, SKETCH, "sketch", _forget)
 
 
 def sequences(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(row_key, seq) of the rows in wanted.row_key: the shingle sequences, read
-    from the texts again. Each task knows its own wanted rows from a side file."""
-    side = common.saved_by(wanted.select(F.shiftright("row_key", 33).cast("int").alias("src"), "row_key").repartition("src"), "src", "wanted")
+    """(row_key, seq) of the rows in wanted (row_key, mark): the shingle sequences,
+    read from the texts again. Each task knows its own wanted rows from a side file;
+    a text with another mark than the first scan's raises."""
+    side = common.saved_by(wanted.select(F.shiftright("row_key", 33).cast("int").alias("src"), "row_key", "mark").repartition("src"), "src", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        found = common.read_side(f"{side}/src={TaskContext.get().partitionId()}", ["row_key"])
-        mine = np.sort(found["row_key"].to_numpy()) if found is not None else np.zeros(0, np.int64)
-        seen = 0
+        found = common.read_side(f"{side}/src={TaskContext.get().partitionId()}", ["row_key", "mark"])
+        mine = dict(zip(found["row_key"].to_pylist(), found["mark"].to_pylist(), strict=True)) if found is not None else {}
+        keys, seen = np.array(sorted(mine), np.int64), 0
         for b in batches:
-            keys = b["row_key"].to_numpy()
-            mask = np.isin(keys, mine)
-            seen += int(mask.sum())
-            for x in common.slices(iter([b.filter(pa.array(mask))])):
-                yield common.record(SEQUENCE, row_key=x["row_key"], seq=[shingles(t, k).tobytes() for t in common.texts(x["text"])])
+            for x in common.slices(iter([b.filter(pa.array(np.isin(b["row_key"].to_numpy(), keys)))])):
+                seen += x.num_rows
+                rows = common.texts(x["text"])
+                if [common.mark(t) for t in rows] != [mine[i] for i in x["row_key"].to_pylist()]:
+                    raise RuntimeError(common.OTHER)
+                yield common.record(SEQUENCE, row_key=x["row_key"], seq=[shingles(t, k).tobytes() for t in rows])
         if seen != len(mine):
-            raise RuntimeError("the input gave other partitions than before; write it to a table first")
+            raise RuntimeError(common.OTHER)
 
     return common.saved_map(docs, run, SEQUENCE, "sequences", _forget)
 
@@ -392,49 +438,58 @@ def blocks(mixed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, n_bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row as row_key, doc_id, class_id, class_size, kept."""
+    """Every row as row_key, mark, doc_id, class_id, class_size, kept.
+
+    What is known of a bucket or class is written before it is joined back to its
+    members: both sides of such a join are then plain shuffles, of which adaptive
+    execution splits the hot ones."""
     slim = common.ids_and_texts(docs, id_col, text_col).withColumn("row_key", common.row_key())
     sketch = sketches(slim, k, n_bands, rows)
     heads = sketch.groupBy("hi", "lo").agg(F.min("row_key").alias("head"))
     heads = common.saved(heads, "heads", light=True)
-    posts = sketch.select(F.col("row_key").alias("head"), "size", "bands").join(heads.select("head"), "head").select("head", "size", F.explode("bands").alias("bucket"))
+    posts = sketch.select(F.col("row_key").alias("head"), "size", "mark", "bands").join(heads.select("head"), "head").select("head", "size", "mark", F.explode("bands").alias("bucket"))
     full = posts.groupBy("bucket").agg(F.min(F.struct("head", "size")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    posts = common.saved(posts.join(full.select("bucket", "least"), "bucket"), "posts", light=True)
+    full = common.saved(full.select("bucket", "least"), "full", light=True)
+    posts = common.saved(posts.join(full, "bucket"), "posts", light=True)
     stars = posts.where("head <> least.head").where(_fits(F.col("size"), F.col("least.size"), threshold)).select(F.col("least.head").alias("a"), F.col("head").alias("b")).distinct()
     tested = stars = common.saved(stars, "stars", light=True)
-    seqs = sequences(slim, posts.select(F.col("head").alias("row_key")).distinct(), k)
+    seqs = sequences(slim, posts.select(F.col("head").alias("row_key"), "mark").distinct(), k)
     links = verify(stars, seqs, threshold)
     labels = components(links)
+    posts = posts.select("bucket", "head", "size")
     for turn in range(1, TURNS + 2):
-        placed = posts.select("bucket", "head", "size").join(labels.withColumnRenamed("node", "head"), "head", "left").withColumn("label", F.coalesce("label", "head"))
+        placed = posts.join(labels.withColumnRenamed("node", "head"), "head", "left").withColumn("label", F.coalesce("label", "head"))
+        placed = common.saved(placed, "placed", light=True)
         mixed = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        mixed = common.saved(placed.join(mixed.select("bucket", (F.col("n") > SMALL).alias("large")), "bucket"), "mixed", light=True)
-        few, many = mixed.where("not large"), mixed.where("large")
+        mixed = common.saved(mixed.select("bucket", (F.col("n") > SMALL).alias("large")), "mixed", light=True)
+        mixed = placed.join(mixed, "bucket")
+        few, many = mixed.where("not large").drop("large"), common.saved(mixed.where("large").drop("large"), "many", light=True)
         if turn > TURNS:  # all small buckets are done since the first turn
             fresh = blocks(many, seqs, threshold)
         else:
             lead = many.groupBy("bucket").agg(F.min_by(F.struct("head", "size", "label"), F.xxhash64("head", "bucket", F.lit(turn))).alias("lead")).select("bucket", "lead.*")
+            lead = common.saved(lead, "lead", light=True)
             pairs = _between(few, few, threshold).unionByName(_between(lead, many, threshold, both_ways=True))
             more = common.saved(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "more", light=True)
             fresh = verify(more, seqs, threshold)
             tested = tested.unionByName(more)
         if not fresh.isEmpty():
             labels = joined(labels, fresh)
-        posts = many
+        posts = many.select("bucket", "head", "size")
         if many.isEmpty():
             break
-    heads = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").select("head", "hi", "lo", F.coalesce("label", "head").alias("label"))
-    placed = common.saved(sketch.drop("bands", "size").join(heads.drop("head"), ["hi", "lo"]).drop("hi", "lo"), "classes")
+    heads = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").select("hi", "lo", F.coalesce("label", "head").alias("label"))
+    placed = common.saved(sketch.drop("bands", "size").join(heads, ["hi", "lo"]).drop("hi", "lo"), "classes")
     # A null doc_id sorts last: ordered by (is null, doc_id, row_key).
     best = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best"), F.count(F.lit(1)).alias("class_size"))
-    best = best.select("label", F.col("best.doc_id").alias("class_id"), F.col("best.row_key").alias("keep_key"), "class_size")
-    return placed.join(best, "label").select("row_key", "doc_id", "class_id", "class_size", (F.col("row_key") == F.col("keep_key")).alias("kept"))
+    best = common.saved(best.select("label", F.col("best.doc_id").alias("class_id"), F.col("best.row_key").alias("keep_key"), "class_size"), "best", light=True)
+    return placed.join(best, "label").select("row_key", "mark", "doc_id", "class_id", "class_size", (F.col("row_key") == F.col("keep_key")).alias("kept"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class, all columns kept."""
-    return common.drop_rows(docs, classes(docs, id_col=id_col, text_col=text_col).where("not kept").select("row_key"))
+    return common.drop_rows(docs, classes(docs, id_col=id_col, text_col=text_col).where("not kept").select("row_key", "mark"), text_col)
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return classes(common.table(spark, sf_dir, "documents")).drop("row_key")
+    return classes(common.table(spark, sf_dir, "documents")).drop("row_key", "mark")

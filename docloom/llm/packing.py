@@ -7,7 +7,8 @@ rather than on pieces. A piece then finds its place by its rank within its
 length: the pattern tables are ranges of ranks.
 
 Ranks need no shuffle of the pieces: each scan task numbers its own pieces of a
-length, and the counts by (task, length) give each task's first rank.
+length, and the counts by (task, length) give each task's first rank, which the
+tasks that place the pieces read from small side files.
 
 Defined results: a null text counts as empty (a document of only the end id);
 documents keep null and repeated doc_ids, ``start`` counts within a row. Empty
@@ -122,25 +123,60 @@ def places(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, i
     return rows
 
 
+PLACED = pa.schema([*[f for f in PIECES if f.name not in ("part", "rank")], ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+
+class Places:
+    """The rows of places() as sorted arrays, to look up many pieces at once."""
+
+    def __init__(self, rows: list[tuple[int, int, int, int, int]]):
+        table = np.array(sorted(rows), np.int64).reshape(-1, 5)
+        self.lo, self.first, self.offset = table[:, 1], table[:, 3], table[:, 4]
+        self.key = self._key(table[:, 0], self.lo)
+
+    @staticmethod
+    def _key(length: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        return length.astype(np.int64) << 48 | rank  # ranks stay below 2 ** 48
+
+    def __call__(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sequence, offset) of pieces by their length and rank within it."""
+        at = np.searchsorted(self.key, self._key(length, rank), side="right") - 1
+        return self.first[at] + rank - self.lo[at], self.offset[at]
+
+
 def pack(made: DataFrame, size: int) -> DataFrame:
-    """Add sequence_id and offset to a written table of pieces(). All that is
-    broadcast is the table of places, whose size ``size`` bounds."""
-    spark = made.sparkSession
+    """Add sequence_id and offset to a written table of pieces(). Pieces are not
+    shuffled: a task gets the table of places, whose rows ``size`` bounds, and reads the first
+    ranks of the scan tasks whose pieces it meets from side files."""
     counts = made.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
-    counts = common.saved(counts, "lengths")
+    counts = common.saved(counts, "lengths", light=True)
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
-    # Full pieces are sequences of their own, so they need no pattern.
-    patterns = shortest_pack_first(histogram, size)
-    table = spark.createDataFrame(places(patterns) or [(0, 0, 0, 0, 0)], "length int, lo long, hi long, first long, offset long")
+    table = Places(places(shortest_pack_first(histogram, size)))
+    # A length's counts are one row per scan task; the window sums them up.
     first = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(first), F.lit(0))).drop("n")
-    ranked = made.join(bases, ["part", "length"]).withColumn("at", F.col("rank") + F.col("base"))
-    t = F.broadcast(table.withColumnRenamed("length", "of"))
-    return (
-        ranked.join(t, (F.col("length") == F.col("of")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))
-        .withColumn("sequence_id", F.col("first") + F.col("at") - F.col("lo"))
-        .drop("of", "lo", "hi", "first", "at", "base", "part", "rank")
-    )
+    side = common.saved_by(bases.repartition("part"), "part", "bases")
+
+    def place(batches):
+        part, base = -1, np.zeros(size + 1, np.int64)
+        for b in batches:
+            parts, lengths, ranks = (b[c].to_numpy() for c in ("part", "length", "rank"))
+            ranks = ranks.copy()
+            for a, z in _runs(parts):
+                if parts[a] != part:
+                    part, found = parts[a], common.read_side(f"{side}/part={parts[a]}", ["length", "base"])
+                    base[found["length"].to_numpy()] = found["base"].to_numpy()
+                ranks[a:z] += base[lengths[a:z]]
+            sequence, offset = table(lengths, ranks)
+            yield common.record(PLACED, **{f.name: b[f.name] for f in PLACED if f.name in b.schema.names}, sequence_id=sequence, offset=offset)
+
+    return common.map_arrow(made, place, PLACED)
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the runs of equal values."""
+    cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return [(a, z) for a, z in zip(cuts, cuts[1:], strict=False) if z > a]
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 2048, end_id: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
