@@ -1,36 +1,55 @@
 """Structured computation: a question's sum, average, maximum, minimum or count
-over the best-fitting table. All tables and questions of a batch go through one
-plan; cells are rows, so that a wide or long table is no single task's burden."""
+over the best-fitting table.
+
+Cells are rows, and all tables and questions of a batch go through the same joins:
+a question meets a table only where a word of a numeric header or a value of a text
+column stands in it, found by equality. Of the tables that meet no word, all fit
+equally, so the first of them stands for all. Time is linear in the cells and in
+these meetings; no table is one task's burden.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom import scratch
 from docloom.functions import text as T
 
 #: Words that open a row of totals.
 TOTAL_ROW = r"(?iu)^(?:tổng|tổng cộng|cộng|total|grand total|sum)(?![\p{L}\p{N}_])"
 
 
-def _mentioned(value: Column, query: Column) -> Column:
-    """Whether a value stands in a text as whole words."""
-    quoted = F.regexp_replace(value, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    return F.regexp_like(query, F.concat(F.lit(f"(?<!{T.WORD})"), quoted, F.lit(f"(?!{T.WORD})")))
-
-
 def cells(blocks: DataFrame) -> DataFrame:
-    """block_id, row, col, header, value (trimmed), number of each cell of a table's body."""
+    """block_id, row, total (whether the row is one of totals), col, header, value
+    (trimmed), norm (as matched), number of each cell of a table's body."""
     own = F.col("inherited_header").isNotNull()
     b = blocks.where(F.size("rows") > 0).select(
         "block_id", F.coalesce("numeric_repr", F.lit("")).alias("numeric_repr"), F.when(own, F.col("inherited_header")).otherwise(F.col("rows")[0]).alias("head"),
         F.when(own, F.col("rows")).otherwise(F.slice("rows", 2, F.greatest(F.lit(1), F.size("rows") - 1))).alias("body"),
     ).where((F.size("head") > 0) & (F.size("body") > 0))
     rows = b.select("block_id", "numeric_repr", "head", F.posexplode("body").alias("row", "values"))
-    c = rows.select("block_id", "numeric_repr", "row", "values", F.posexplode("head").alias("col", "header"))
+    total = T.strip(F.coalesce(F.get("values", F.lit(0)), F.lit(""))).rlike(TOTAL_ROW)
+    c = rows.select("block_id", "numeric_repr", "row", "values", total.alias("total"), F.posexplode("head").alias("col", "header"))
     value = T.strip(F.coalesce(F.get("values", F.col("col")), F.lit("")))
-    number = F.when(F.col("numeric_repr") == "python", T.parse_number(value, True)).otherwise(T.parse_number(value))
-    return c.select("block_id", "row", "col", "header", value.alias("value"), number.alias("number"))
+    c = c.select("block_id", "numeric_repr", "row", "total", "col", "header", value.alias("value"))
+    number = F.when(F.col("numeric_repr") == "python", T.parse_number(F.col("value"), True)).otherwise(T.parse_number(F.col("value")))
+    return c.select("block_id", "row", "total", "col", "header", "value", T.normalize_for_match("value").alias("norm"), number.alias("number"))
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(rf"({T.WORD}+)"), F.lit(1)))
+
+
+def word_runs(c: Column, longest: int) -> Column:
+    """All substrings of 2 to ``longest`` characters that begin and end at word borders."""
+    n, inside = F.length(c), lambda at: c.substr(at, F.lit(1)).rlike(T.WORD)
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | ~inside(i - 1))
+    ends = lambda i: F.filter(F.sequence(i, F.least(n, i + (longest - 1))), lambda j: (j > i) & ((j == n) | ~inside(j + 1)))
+    return F.when(n >= 2, F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(ends(i), lambda j: c.substr(i, j - i + 1))))))
+
+
+PAIR = ["query_id", "block_id"]
 
 
 def compute(queries: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -44,73 +63,95 @@ def compute(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     first in order. Of tables the best overlap of header and question wins, half a
     point for each filter; then the least block_id."""
     q = queries.withColumn("operation", T.detect_operation("query")).where("operation is not null").withColumn("said", T.normalize_for_match("query"))
-    tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(rf"({T.WORD}+)"), F.lit(1)))
-    q = q.select("query_id", "operation", "said", tokens(F.col("said")).alias("asked"))
-    c = cells(blocks)
-    filled = F.when(F.col("value") != "", 1)
-    columns = c.groupBy("block_id", "col").agg(F.first("header").alias("header"), (F.count(F.when(F.col("number").isNotNull() & (F.col("value") != ""), 1)) >= 0.7 * F.count(filled)).alias("enough"), F.count(filled).alias("filled"))
-    columns = columns.withColumn("is_number", F.col("enough") & (F.col("filled") > 0)).select("block_id", "col", "header", "is_number")
-    first = c.where("col = 0").select("block_id", "row", F.col("value").alias("first"))
-    data = c.join(columns.drop("header"), ["block_id", "col"]).join(first, ["block_id", "row"]).where(~F.col("first").rlike(TOTAL_ROW))
-    # The rows of a table as arrays, so that the filters can go from column to column; a fold over columns of one table.
-    cell = F.struct("col", "header", "value", T.normalize_for_match("value").alias("norm"), "number", "is_number")
-    rows = data.groupBy("block_id", "row").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    tables = rows.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows"))
-    return _answers(q, tables)
-
-
-def _answers(q: DataFrame, tables: DataFrame) -> DataFrame:
-    # Questions that compute are few and bounded by the batch; tables are many: each meets each by design of the search.
-    both = tables.join(F.broadcast(q), how="cross")
-    width = F.size(F.col("rows")[0]["cells"])
-    empty = F.array().cast("array<struct<name:string,value:string>>")
-
-    def narrow(state: Column, i: Column) -> Column:
-        left = state["rows"]
-        col = lambda r: F.element_at(r["cells"], (i + 1).cast("int"))
-        values = F.array_distinct(F.filter(F.transform(left, lambda r: col(r)["norm"]), lambda v: v != ""))
-        named = F.filter(values, lambda v: (F.length(v) >= 2) & _mentioned(v, F.col("said")))
-        target = F.element_at(F.array_sort(F.transform(named, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), 1)["v"]
-        name = F.get(left, F.lit(0))["cells"]
-        name = F.element_at(name, (i + 1).cast("int"))["header"]
-        is_number = F.element_at(F.get(left, F.lit(0))["cells"], (i + 1).cast("int"))["is_number"]
-        use = (F.size(left) > 0) & ~F.coalesce(is_number, F.lit(True)) & (F.size(named) > 0) & (F.size(named) < F.size(values))
-        label = F.when(name == "", F.concat(F.lit("cột "), (i + 1).cast("string"))).otherwise(name)
-        return F.when(
-            use,
-            F.struct(
-                F.filter(left, lambda r: col(r)["norm"] == target).alias("rows"),
-                F.concat(state["filters"], F.array(F.struct(label.alias("name"), target.alias("value")))).alias("filters"),
-            ),
-        ).otherwise(state)
-
-    start = F.struct(F.col("rows").alias("rows"), empty.alias("filters"))
-    done = both.withColumn("state", F.aggregate(F.sequence(F.lit(0), width - 1), start, narrow)).where(F.size("state.rows") > 0)
-    header = F.transform(F.col("rows")[0]["cells"], lambda x: F.struct(x["header"].alias("header"), x["col"].alias("col"), x["is_number"].alias("is_number")))
-    names = lambda h: F.array_distinct(F.regexp_extract_all(T.normalize_for_match(h), F.lit(rf"({T.WORD}+)"), F.lit(1)))
-    overlap = lambda x: F.size(F.array_intersect(names(x["header"]), F.col("asked"))) / F.greatest(F.lit(1), F.size(names(x["header"])))
-    ranked = F.array_sort(F.transform(F.filter(header, lambda x: x["is_number"]), lambda x: F.struct((-overlap(x)).alias("less"), x["col"].alias("col"), x["header"].alias("header"))))
-    done = done.withColumn("best", F.get(ranked, F.lit(0))).where("operation = 'count' or best is not null")
-    picked = F.filter(
-        F.transform("state.rows", lambda r: F.struct(F.element_at(r["cells"], (F.coalesce("best.col", F.lit(0)) + 1).cast("int"))["number"].alias("x"), r["row"].alias("row"), F.array_join(F.transform(r["cells"], lambda y: y["value"]), " | ").alias("label"))),
-        lambda r: r["x"].isNotNull() | (F.col("operation") == "count"),
-    )
-    done = done.withColumn("used", picked).where(F.size("used") > 0)
-    xs = F.transform("used", lambda r: r["x"])
-    total = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    n = F.size("used").cast("double")
-    top = F.array_max(xs)
-    low = F.array_min(xs)
-    op = F.col("operation")
-    value = F.when(op == "count", n).when(op == "sum", total).when(op == "avg", total / n).when(op == "max", top).otherwise(low)
-    label = F.when(op.isin("max", "min"), F.get(F.filter("used", lambda r: r["x"] == F.when(op == "max", top).otherwise(low)), F.lit(0))["label"])
-    column = F.when(op == "count", F.coalesce(F.nullif(F.col("rows")[0]["cells"][0]["header"], F.lit("")), F.lit("dòng"))).otherwise(F.col("best.header"))
-    score = F.when(op == "count", 1.0 + F.size("state.filters")).otherwise(-F.col("best.less") + 0.5 * F.size("state.filters"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "block_id")
-    out = done.select(
-        "query_id", op.alias("operation"), "block_id", column.alias("column"), value.alias("value"), F.col("state.filters").alias("filters"), label.alias("label_of_extreme"), n.cast("long").alias("rows_used"), score.alias("score")
+    q = scratch.saved(q.select("query_id", "operation", "said", _words(F.col("said")).alias("asked")), "questions")
+    c = scratch.saved(cells(blocks), "cells")
+    filled = F.count(F.when(F.col("value") != "", 1))
+    numeric = (filled > 0) & (F.count(F.when(F.col("value") != "", F.col("number"))) >= 0.7 * filled)
+    body = lambda x: F.when(~F.col("total"), x)
+    # Per column: whether it is numeric, and its figures over the rows that are no totals.
+    columns = c.groupBy("block_id", "col").agg(
+        F.first("header").alias("header"), numeric.alias("is_number"), F.count(body(F.lit(1))).alias("n_rows"), F.count(body(F.col("number"))).alias("n"),
+        F.sum(body(F.col("number"))).alias("sum"), F.max(body(F.col("number"))).alias("max"), F.min(body(F.col("number"))).alias("min"),
     )
-    return out.withColumn("at", F.row_number().over(w)).where("at = 1").drop("at", "score")
+    columns = scratch.saved(columns.where("n_rows > 0").withColumn("names", _words(T.normalize_for_match("header"))), "columns")
+    data = c.where("not total").drop("total")
+
+    mentions = scratch.saved(_mentions(q, data, columns), "mentions")
+    filters, left = _narrow(mentions, data)
+    # The pairs that meet, and the first table of all that meet no word.
+    of_words = columns.where("is_number").select("block_id", F.explode("names").alias("word")).join(q.select("query_id", F.explode("asked").alias("word")), "word").select(*PAIR)
+    lead = columns.where("is_number").groupBy("block_id").agg(F.min_by("n", "col").alias("n")).where("n > 0")
+    every = q.crossJoin(F.broadcast(lead.agg(F.min("block_id").alias("block_id")))).where("operation <> 'count'")  # one row beside the questions
+    every = every.select(*PAIR).unionByName(q.crossJoin(F.broadcast(columns.agg(F.min("block_id").alias("block_id")))).where("operation = 'count'").select(*PAIR))
+    pairs = of_words.unionByName(mentions.select(*PAIR)).unionByName(every).where("block_id is not null").distinct()
+
+    # The numeric column of the best overlap, or the first column for counts without one.
+    overlap = F.size(F.array_intersect("names", "asked")) / F.greatest(F.lit(1), F.size("names"))
+    figures = F.struct("col", "header", "n_rows", "n", "sum", "max", "min")
+    best = pairs.join(q.drop("said"), "query_id").join(columns.where("is_number or col = 0"), "block_id").withColumn("less", F.when(F.col("is_number"), -overlap).otherwise(F.lit(1.0)))
+    best = best.where("operation = 'count' or is_number").groupBy(*PAIR, "operation").agg(F.min(F.struct("less", "col", figures.alias("of"))).alias("best"), F.first(F.when(F.col("col") == 0, F.col("header")), True).alias("header0"))
+    best = best.select(*PAIR, "operation", "best.less", "best.col", "best.of", "header0")
+
+    # Filtered pairs have figures of their own, over the rows that are left.
+    own = left.join(best.select(*PAIR, "col"), PAIR).join(data.select("block_id", "row", "col", "number"), ["block_id", "row", "col"])
+    own = own.groupBy(*PAIR).agg(F.struct(F.count(F.lit(1)).alias("n_rows"), F.count("number").alias("n"), F.sum("number").alias("sum"), F.max("number").alias("max"), F.min("number").alias("min")).alias("own"))
+    done = best.join(filters, PAIR, "left").join(own, PAIR, "left")
+    of = lambda name: F.when(F.col("filters").isNotNull(), F.col(f"own.{name}")).otherwise(F.col(f"of.{name}"))
+    op, extra = F.col("operation"), F.coalesce(F.size("filters"), F.lit(0))
+    done = done.withColumn("rows_used", F.when(op == "count", of("n_rows")).otherwise(of("n"))).where("rows_used > 0")
+    n = F.col("rows_used").cast("double")
+    value = F.when(op == "count", n).when(op == "sum", of("sum")).when(op == "avg", of("sum") / n).when(op == "max", of("max")).otherwise(of("min"))
+    column = F.when(op == "count", F.coalesce(F.nullif(F.col("header0"), F.lit("")), F.lit("dòng"))).otherwise(F.col("of.header"))
+    score = F.when(op == "count", 1.0 + extra).otherwise(-F.col("less") + 0.5 * extra)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "block_id")
+    done = done.withColumns({"value": value, "column": column, "score": score}).withColumn("at", F.row_number().over(w)).where("at = 1")
+    done = scratch.saved(done.select(*PAIR, "operation", "col", "column", "value", "filters", "rows_used"), "answers")
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    done = done.join(_labels(done, data, left), "query_id", "left").withColumn("filters", F.coalesce("filters", none))
+    return done.select("query_id", "operation", "block_id", "column", "value", "filters", "label_of_extreme", "rows_used")
+
+
+def _mentions(q: DataFrame, data: DataFrame, columns: DataFrame) -> DataFrame:
+    """query_id, block_id, col, norm, k: values of text columns that stand in a
+    question as whole words; k numbers a pair's columns from the left."""
+    values = data.where(F.length("norm") >= 2).join(columns.where("not is_number").select("block_id", "col"), ["block_id", "col"]).select("block_id", "col", "norm").distinct()
+    longest = values.agg(F.max(F.length("norm"))).first()[0] or 2
+    runs = q.select("query_id", F.explode(word_runs(F.col("said"), longest)).alias("norm"))
+    w = Window.partitionBy(*PAIR).orderBy("col")
+    return values.join(runs, "norm").select(*PAIR, "col", "norm").withColumn("k", F.dense_rank().over(w))
+
+
+def _narrow(mentions: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(query_id, block_id, filters) of the pairs that filter at all, and (query_id,
+    block_id, row) of the rows they leave. One round for each column that a question
+    names in one table, however many tables and rows there are."""
+    left = mentions.select(*PAIR).distinct().join(data.select("block_id", "row").distinct(), "block_id").select(*PAIR, "row")
+    found = mentions.select(*PAIR, "k", "col", F.col("norm").alias("target"), F.lit(None).cast("string").alias("header")).limit(0)
+    for k in range(1, (mentions.agg(F.max("k")).first()[0] or 0) + 1):
+        named = mentions.where(F.col("k") == k).select(*PAIR, "col", "norm")
+        here = left.join(named.select(*PAIR, "col").distinct(), PAIR).join(data.select("block_id", "row", "col", "header", "norm"), ["block_id", "row", "col"])
+        here = scratch.saved(here, "column")
+        values = here.where("norm <> ''").groupBy(*PAIR, "col", "norm").agg(F.first("header").alias("header")).join(named.withColumn("named", F.lit(True)), [*PAIR, "col", "norm"], "left")
+        longest = F.min(F.when(F.col("named"), F.struct((-F.length("norm")).alias("less"), F.col("norm").alias("target"))))
+        use = values.groupBy(*PAIR, "col").agg(F.count("named").alias("some"), F.count(F.lit(1)).alias("all"), longest.alias("by"), F.first("header").alias("header")).where("some > 0 and some < all")
+        use = scratch.saved(use.select(*PAIR, F.lit(k).alias("k"), "col", "by.target", "header"), "filter")
+        gone = here.join(use.select(*PAIR, "target"), PAIR).where("norm <> target").select(*PAIR, "row")
+        left = scratch.saved(left.join(gone, [*PAIR, "row"], "left_anti"), "left")
+        found = found.unionByName(use)
+    label = F.when(F.col("header") == "", F.concat(F.lit("cột "), (F.col("col") + 1).cast("string"))).otherwise(F.col("header"))
+    each = F.struct("k", label.alias("name"), F.col("target").alias("value"))
+    filters = found.groupBy(*PAIR).agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))).alias("filters"))
+    return filters, left
+
+
+def _labels(done: DataFrame, data: DataFrame, left: DataFrame) -> DataFrame:
+    """query_id, label_of_extreme: the first row that holds the maximum or minimum, its cells joined."""
+    wanted = done.where("operation in ('max', 'min')")
+    hits = wanted.join(data.select("block_id", "col", "row", "number"), ["block_id", "col"]).where("number = value").select("query_id", "block_id", "row", F.col("filters").isNotNull().alias("filtered"))
+    kept = hits.where("filtered").join(left, [*PAIR, "row"], "left_semi").unionByName(hits.where("not filtered"))
+    first = kept.groupBy(*PAIR).agg(F.min("row").alias("row"))
+    row = first.join(data.select("block_id", "row", "col", "value"), ["block_id", "row"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"))
+    return row.select("query_id", F.array_join(F.transform("cells", lambda x: x["value"]), " | ").alias("label_of_extreme"))
 
 
 def formula(operation: Column, value: Column, rows_used: Column) -> Column:

@@ -10,19 +10,20 @@ from docloom.operators import bm25, context, dense, graph, profile, retrieval
 from docloom.plans.queries_text import read, values_sql
 from docloom.plans.registry import query
 
-_TOKENS = r"""t0 AS (
+_TOKENS = r"""t0 AS MATERIALIZED (
   SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(?:[-/.][\p{L}\p{N}_]+)*')) AS token FROM documents
-), tokens AS (
+), tokens AS MATERIALIZED (
   SELECT doc_id, x AS term FROM (SELECT doc_id, token AS x FROM t0
   UNION ALL SELECT doc_id, regexp_replace(token, '[-/.]', '', 'g') FROM t0 WHERE regexp_matches(token, '[-/.]')
   UNION ALL SELECT doc_id, unnest(string_split_regex(token, '[-/.]')) FROM t0 WHERE regexp_matches(token, '[-/.]')) WHERE x <> ''
-), dl AS (SELECT d.doc_id, count(term) AS dl FROM documents d LEFT JOIN tokens t USING (doc_id) GROUP BY d.doc_id),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
-corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, corpus GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+), tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL),
+dl AS MATERIALIZED (SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS dl FROM documents d LEFT JOIN (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id) USING (doc_id)),
+corpus AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), corpus),
+least AS MATERIALIZED (SELECT 0.25 * avg(raw) AS least FROM raw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN least ELSE raw END AS idf FROM raw, least),
 q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(?:[-/.][\p{L}\p{N}_]+)*')) AS term FROM benchmark),
-q2 AS (SELECT query_id, x AS term, count(*) AS qtf FROM (SELECT query_id, term AS x FROM q
+q2 AS MATERIALIZED (SELECT query_id, x AS term, count(*) AS qtf FROM (SELECT query_id, term AS x FROM q
   UNION ALL SELECT query_id, regexp_replace(term, '[-/.]', '', 'g') FROM q WHERE regexp_matches(term, '[-/.]')
   UNION ALL SELECT query_id, unnest(string_split_regex(term, '[-/.]')) FROM q WHERE regexp_matches(term, '[-/.]')) WHERE x <> '' GROUP BY ALL),
 scores AS (SELECT query_id, doc_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
@@ -268,7 +269,8 @@ def entity_ledger(spark, sf_dir):
 
 @query(
     "keyword_bigrams",
-    r"""WITH w AS (SELECT doc_id, i, lower(ws[i]) AS x, lower(ws[i + 1]) AS y FROM (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS ws, unnest(generate_series(1, len(regexp_extract_all(text, '\p{L}+')) - 1)) AS i FROM documents)),
+    r"""WITH w0 AS (SELECT doc_id, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\p{L}+') AS ws FROM documents)),
+w AS (SELECT doc_id, lower(x) AS x, lower(lead(x) OVER (PARTITION BY doc_id ORDER BY i)) AS y FROM w0),
 c AS (SELECT doc_id, x || ' ' || y AS term, count(*) AS n FROM w WHERE length(x) > 1 AND length(y) > 1 AND x NOT IN ("""
     + ", ".join(f"'{w}'" for w in profile.STOPWORDS)
     + ") AND y NOT IN ("
