@@ -1,21 +1,28 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Cluster centres come from a bounded sample of the vectors: median cuts give cells
-of equal size, a few rounds of means settle them. All vectors are indexed: each
+of equal size, a few rounds of means settle them, and cells that have grown over
+twice the mean size are halved again. All vectors are indexed: each
 goes to the list of its nearest centre and, near a border, to those of other
 centres within a distance ratio. Centres are searched by a graph in memory (a
 beam along links between near centres, or all distances where the beam is no small
 share of the centres); a query takes the lists whose centres lie within a ratio of
 the nearest's distance, up to a number that grows with the number of lists.
 
+A list's vectors and queries are dealt into blocks of bounded size, and each block of
+vectors meets each block of queries in a task of its own, so no list is one task's
+burden however long it is.
+
 Equal vectors are one entry that carries its k + 1 least ids, which is all that a
 search for k can return of them, so a very common vector fills no list. Distances
 are exact, in double precision on the original vectors.
 
-Defined results: vectors that are null, zero, of another length than most of the
-sample, or hold null or non-finite components take no part. Fewer candidates than
-k give all. Repeated vec_ids count once where their vectors are equal, and the
-nearest of their vectors otherwise. Empty tables give no rows.
+Defined results: vectors that are null, zero, or hold null or non-finite components
+take no part. Vectors are compared with those of their own length; those of
+another length than most make a list of their own, which their queries read whole.
+Fewer candidates than k give all. Repeated vec_ids count once where their vectors are equal, and the
+nearest of their vectors otherwise. Empty tables give no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,29 +46,47 @@ def _schema(arrow: pa.Schema):
 # -------------------------------------------------------------- centres, graph
 
 
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of x below and above the median along the direction of most spread."""
+    x = x - x.mean(axis=0)
+    axis = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
+    for _ in range(6):  # power iteration
+        axis = x.T @ (x @ axis)
+        axis /= np.linalg.norm(axis) or 1.0
+    order = np.argsort(x @ axis, kind="stable")
+    return order[: len(x) // 2], order[len(x) // 2 :]
+
+
 def centres(sample: np.ndarray, lists: int, rounds: int = 5) -> np.ndarray:
-    """Centres of about ``lists`` cells with equally many sample rows each."""
+    """Centres of about ``lists`` cells of nearly equally many sample rows each."""
     cells = [np.arange(len(sample))]
     while len(cells) < lists and max(map(len, cells)) > 1:
-        parts = []
-        for rows in cells:
-            if len(rows) < 2:
-                parts.append(rows)
-                continue
-            x = sample[rows] - sample[rows].mean(axis=0)
-            axis = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
-            for _ in range(6):  # power iteration: the direction of most spread
-                axis = x.T @ (x @ axis)
-                axis /= np.linalg.norm(axis) or 1.0
-            order = np.argsort(x @ axis, kind="stable")
-            parts += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
-        cells = parts
+        cells = [part for rows in cells for part in ([rows[h] for h in _halves(sample[rows])] if len(rows) > 1 else [rows])]
     c = np.stack([sample[r].mean(axis=0) for r in cells])
     for _ in range(rounds):
         own = _nearest(sample, c)
         sums, n = np.zeros_like(c), np.bincount(own, minlength=len(c))
         np.add.at(sums, own, sample)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+    return balanced(sample, c)
+
+
+def balanced(sample: np.ndarray, c: np.ndarray, most: float = 2.0, rounds: int = 12) -> np.ndarray:
+    """Halve cells of over ``most`` times the mean size; for each, the emptiest cell
+    gives up its centre if it is under half the mean."""
+    for _ in range(rounds):
+        own = _nearest(sample, c)
+        n, mean = np.bincount(own, minlength=len(c)), len(sample) / len(c)
+        full = np.flatnonzero(n > max(1.0, most * mean))
+        if not len(full):
+            break
+        empty = np.argsort(n, kind="stable")[: len(full)]
+        new = []
+        for f in full:
+            rows = sample[own == f]
+            new += [rows[h].mean(axis=0) for h in _halves(rows)]
+        keep = np.setdiff1d(np.arange(len(c)), np.concatenate([full, empty[n[empty] < mean / 2]]))
+        c = np.vstack([c[keep], new])
     return c
 
 
@@ -70,6 +95,13 @@ def _nearest(x: np.ndarray, c: np.ndarray, rows: int = 4096) -> np.ndarray:
     return np.concatenate([(norm - 2 * x[a : a + rows] @ c.T).argmin(axis=1) for a in range(0, len(x), rows)])
 
 
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances up to rounding; infinite where they overflow."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = (x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * x @ c.T
+    return np.where(np.isnan(d), np.inf, d)
+
+
 #: A beam of one in EXACT centres or more costs more than all distances.
 EXACT = 16
 
@@ -99,7 +131,7 @@ class CentreGraph:
         """(centres, distances), nearest first, of about the k nearest for each row of x; -1 and inf where fewer."""
         n, beam = len(x), max(k, min(beam, len(self.c)))
         if beam * EXACT >= len(self.c):
-            d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (self.c**2).sum(axis=1) - 2 * x @ self.c.T, 0))
+            d = np.sqrt(np.maximum(_squares(x, self.c), 0))
             k = min(k, len(self.c))
             some = np.argpartition(d, k - 1, axis=1)[:, :k]
             near = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
@@ -139,16 +171,18 @@ class CentreGraph:
 ENTRY = pa.schema([("vec", pa.binary()), ("ids", pa.list_(pa.int64()))])
 
 
-def _valid(column: pa.Array) -> list[np.ndarray | None]:
-    out: list[np.ndarray | None] = []
-    for x in column:
-        v = None
-        if x.is_valid and x.values is not None and len(x.values) and not x.values.null_count:
-            v = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
-            if not np.isfinite(v).all() or not v.any():
-                v = None
-        out.append(v)
-    return out
+def _valid(column: pa.Array) -> list[bytes | None]:
+    """The doubles of each vector as bytes; None of those that take no part."""
+    at = np.asarray(column.offsets)
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # a null becomes nan
+    count = lambda x: np.concatenate([[0], np.cumsum(x)])[at]
+    odd, filled = np.diff(count(~np.isfinite(values))), np.diff(count(values != 0))
+    ok = column.is_valid().to_numpy(zero_copy_only=False) & (odd == 0) & (filled > 0)
+    return [values[a:z].tobytes() if good else None for a, z, good in zip(at[:-1].tolist(), at[1:].tolist(), ok.tolist(), strict=True)]
+
+
+def _matrix(vectors: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors)).reshape(len(vectors), -1)
 
 
 def entries(vectors: DataFrame, keep: int, id_col: str, vec_col: str) -> DataFrame:
@@ -164,7 +198,7 @@ def entries(vectors: DataFrame, keep: int, id_col: str, vec_col: str) -> DataFra
         for b in batches:
             for i, v in zip(b["id"].to_pylist(), _valid(b["v"]), strict=True):
                 if v is not None and i is not None:
-                    ids = found.setdefault(v.tobytes(), [])
+                    ids = found.setdefault(v, [])
                     ids.append(i)
                     if len(ids) > 4 * keep:
                         ids[:] = sorted(set(ids))[:keep]
@@ -194,34 +228,42 @@ def build(vectors: DataFrame, k: int = 10, list_size: int = 256, max_lists: int
 
     The centres come from at most ``sample_rows`` distinct vectors (those with the
     least hash); ``max_lists`` bounds what is sent to the tasks. A vector lies in
-    at most ``copies`` lists, those within ``closure`` times its least distance."""
+    at most ``copies`` lists, those within ``closure`` times its least distance.
+    Lists below zero hold the vectors of another length than most, by length."""
     known = common.saved(entries(vectors, k + 1, id_col, vec_col), "entries")
     total = known.count()
-    sample = [np.frombuffer(r["vec"]) for r in known.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample_rows).collect()]
+    sample = [r["vec"] for r in known.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample_rows).collect()]
     if not sample:
         return None
-    sizes = np.array([len(v) for v in sample])
-    dim = int(np.bincount(sizes).argmax())
-    x = np.stack([v for v in sample if len(v) == dim])
+    dim = int(np.bincount([len(v) // 8 for v in sample]).argmax())
+    x = _matrix([v for v in sample if len(v) == 8 * dim])
     graph = CentreGraph.build(centres(x, int(np.clip(total // list_size, 1, max_lists)))) if len(x) > 1 else CentreGraph(x, np.zeros((1, 1), int), np.zeros(1, int))
 
     def assign(batches: Iterator[pa.RecordBatch]):
-        for b in common.slices(batches):
-            vec, ids = b["vec"].to_pylist(), b["ids"].to_pylist()
-            rows = [i for i, v in enumerate(vec) if len(v) == 8 * dim]
-            if not rows:
-                continue
-            v = np.stack([np.frombuffer(vec[i]) for i in rows])
-            near, d = graph.search(v, copies)
-            r, j = np.nonzero((near >= 0) & (d <= closure * d[:, :1] + 1e-12))
-            yield common.record(POSTING, list=near[r, j].astype(np.int32), vec=[vec[rows[i]] for i in r], ids=[ids[rows[i]] for i in r])
+        for b in common.slices(batches, 1024):
+            vec = b["vec"].to_pylist()
+            sizes = np.array([len(v) // 8 for v in vec])
+            rows, lists = [np.flatnonzero(sizes != dim)], [-sizes[sizes != dim]]
+            if len(main := np.flatnonzero(sizes == dim)):
+                near, d = graph.search(_matrix([vec[i] for i in main]), copies)
+                r, j = np.nonzero((near >= 0) & (d <= closure * d[:, :1] + 1e-12))
+                rows.append(main[r])
+                lists.append(near[r, j])
+            rows = pa.array(np.concatenate(rows))
+            yield common.record(POSTING, list=np.concatenate(lists).astype(np.int32), vec=b["vec"].take(rows), ids=b["ids"].take(rows).cast(POSTING.field("ids").type))
 
-    postings = common.saved_map(known, assign, POSTING, "postings")
-    return Index(graph, postings, dim)
+    return Index(graph, common.saved_map(known, assign, POSTING, "postings"), dim)
 
 
-PROBE = pa.schema([("list", pa.int32()), ("query", pa.binary())])
-HIT = pa.schema([("query", pa.binary()), ("vec", pa.binary()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+PROBE = pa.schema([("list", pa.int32()), ("q", pa.int64()), ("query", pa.binary())])
+HIT = pa.schema([("q", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+#: Vectors of a list, and queries of a list, that meet in one task, on average at most.
+BLOCK_VECTORS, BLOCK_QUERIES = 16_384, 65_536
+
+
+def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """list and number of blocks of the lists of over ``size`` rows: of these there are no more than lists."""
+    return F.broadcast(rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name)).where(F.col(name) > 1))
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, probes: int = 48, share: int = 10, ratio: float = 1.6, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -236,49 +278,70 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int = 48, shar
     def rows(batches: Iterator[pa.RecordBatch]):
         out = pa.schema([("query_id", pa.int64()), ("query", pa.binary())])
         for b in batches:
-            found = [(i, v.tobytes()) for i, v in zip(b["id"].to_pylist(), _valid(b["v"]), strict=True) if v is not None and i is not None and len(v) == dim]
+            found = [(i, v) for i, v in zip(b["id"].to_pylist(), _valid(b["v"]), strict=True) if v is not None and i is not None]
             yield common.record(out, query_id=[i for i, _ in found], query=[v for _, v in found])
 
     asked = queries.select(queries[id_col].cast("long").alias("id"), queries[vec_col].cast("array<double>").alias("v")).mapInArrow(rows, "query_id long, query binary")
     asked = common.saved(asked.distinct(), "queries")
+    numbered = common.saved(asked.select("query").distinct().withColumn("q", F.monotonically_increasing_id()), "numbered")
 
     def probe(batches: Iterator[pa.RecordBatch]):
         for b in common.slices(batches):
-            q = b["query"].to_pylist()
-            near, d = graph.search(np.stack([np.frombuffer(v) for v in q]), probes, beam=max(64, probes)) if q else (np.zeros((0, 1), int), np.zeros((0, 1)))
-            r, j = np.nonzero((near >= 0) & (d <= ratio * d[:, :1] + 1e-12))
-            yield common.record(PROBE, list=near[r, j].astype(np.int32), query=[q[i] for i in r])
-
-    probed = common.map_arrow(asked.select("query").distinct(), probe, PROBE)
+            query = b["query"].to_pylist()
+            sizes = np.array([len(v) // 8 for v in query])
+            rows, lists = [np.flatnonzero(sizes != dim)], [-sizes[sizes != dim]]
+            if len(main := np.flatnonzero(sizes == dim)):
+                near, d = graph.search(_matrix([query[i] for i in main]), probes, beam=max(64, probes))
+                r, j = np.nonzero((near >= 0) & (d <= ratio * d[:, :1] + 1e-12))
+                rows.append(main[r])
+                lists.append(near[r, j])
+            rows = pa.array(np.concatenate(rows))
+            yield common.record(PROBE, list=np.concatenate(lists).astype(np.int32), q=b["q"].take(rows), query=b["query"].take(rows))
+
+    probed = common.saved_map(numbered, probe, PROBE, "probes")
+    postings = index.postings.join(_blocks(index.postings, BLOCK_VECTORS, "nv"), "list", "left").join(_blocks(probed, BLOCK_QUERIES, "nq"), "list", "left")
+    postings = postings.withColumn("block", F.pmod(F.xxhash64("vec"), F.coalesce("nv", F.lit(1)))).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.coalesce("nq", F.lit(1)) - 1)))
+    probed = probed.join(_blocks(probed, BLOCK_QUERIES, "nq"), "list", "left").join(_blocks(index.postings, BLOCK_VECTORS, "nv"), "list", "left")
+    probed = probed.withColumn("qblock", F.pmod("q", F.coalesce("nq", F.lit(1))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("nv", F.lit(1)) - 1)))
 
     def compare(postings: pa.Table, wanted: pa.Table) -> pa.Table:
-        """The k + 1 nearest entries of one list for each of its queries."""
-        vec, ids = postings["vec"].to_pylist(), postings["ids"].to_pylist()
-        out: dict[str, list] = {f.name: [] for f in HIT}
-        if vec:
-            x = np.stack([np.frombuffer(v) for v in vec])
-            first = np.array([i[0] for i in ids])
-            for q in wanted["query"].to_pylist():
-                d = np.sqrt(((x - np.frombuffer(q)) ** 2).sum(axis=1))
-                for at in np.lexsort((first, d))[: k + 1] if len(d) <= 4 * k else _least(d, first, k + 1):
-                    for name, value in zip(out, (q, vec[at], ids[at], float(d[at])), strict=True):
-                        out[name].append(value)
-        return pa.table(out, schema=HIT)
-
-    hits = index.postings.groupBy("list").cogroup(probed.groupBy("list")).applyInArrow(compare, _schema(HIT))
-    hits = hits.groupBy("query", "vec").agg(F.min("score").alias("score"), F.first("ids").alias("ids"))  # a vector lies in several lists
-    ordered = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("score", F.col("ids")[0]))
-    hits = hits.withColumn("at", ordered("query")).where(F.col("at") <= k + 1).select("query", "score", F.explode("ids").alias("vec_id"))
-    found = asked.join(hits, "query").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+        return nearest(postings["vec"].to_pylist(), postings["ids"].combine_chunks(), wanted["q"].to_numpy(), wanted["query"].to_pylist(), k + 1)
+
+    cells = ["list", "block", "qblock"]
+    hits = postings.select(*cells, "vec", "ids").groupBy(*cells).cogroup(probed.select(*cells, "q", "query").groupBy(*cells)).applyInArrow(compare, _schema(HIT))
+    # A vector lies in several lists, and an id may have several vectors.
+    hits = hits.select("q", "score", F.explode("ids").alias("vec_id")).groupBy("q", "vec_id").agg(F.min("score").alias("score"))
+    ordered = F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))
+    hits = hits.withColumn("at", ordered).where(F.col("at") <= k + 1).drop("at")
+    found = asked.join(numbered, "query").select("query_id", "q").join(hits, "q").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank: Column = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _least(d: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """The k rows of least (d, first)."""
-    bound = np.partition(d, k - 1)[k - 1]
-    some = np.flatnonzero(d <= bound)
-    return some[np.lexsort((first[some], d[some]))][:k]
+def nearest(vec: list[bytes], ids: pa.Array, q: np.ndarray, query: list[bytes], k: int) -> pa.Table:
+    """The nearest entries of a block for each of its queries, as many as hold k
+    ids: k, times the most vectors that one id has here. Products of matrices pick
+    those that can be among them, with room for their rounding; these are compared
+    exactly."""
+    out_q, out_at, out_d = [], [], []
+    if vec and query:
+        k *= int(np.unique(ids.flatten().to_numpy(), return_counts=True)[1].max())
+        x, first = _matrix(vec), np.array([i[0].as_py() for i in ids])
+        room = 1e-9 * (1 + (x**2).sum(axis=1).max())
+        for a in range(0, len(query), 256):
+            y = _matrix(query[a : a + 256])
+            rough = _squares(y, x)
+            bound = np.partition(rough, min(k, len(vec)) - 1, axis=1)[:, min(k, len(vec)) - 1]
+            for i, (near, most) in enumerate(zip(rough, bound, strict=True)):
+                some = np.flatnonzero(near <= most + room + 1e-9 * (y[i] ** 2).sum())
+                with np.errstate(over="ignore"):
+                    d = np.sqrt(((x[some] - y[i]) ** 2).sum(axis=1))
+                best = np.lexsort((first[some], d))[:k]
+                out_q.append(np.full(len(best), q[a + i]))
+                out_at.append(some[best])
+                out_d.append(d[best])
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return pa.table({"q": join(out_q, np.int64), "ids": ids.take(pa.array(join(out_at, np.int64))).cast(HIT.field("ids").type), "score": join(out_d, np.float64)}, schema=HIT)
 
 
 EMPTY = "query_id long, rank int, vec_id long, score double"

@@ -1,24 +1,25 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A rule is a regular expression with a label, a priority, a confidence and a
-keyword that every match contains. An Aho-Corasick automaton over all keywords
-tells in one pass which rules can match a text at all; only these run. Of
-overlapping detections the one of higher priority stays (of equal priority the
-longer, then the earlier), and detections inside it are suppressed.
-
-The rules come from license names and sentence templates, so each name gives a
-rule for its identifier tag, for "licensed under", for "released under" and for a
-bare mention.
+keyword that every match contains; license_rules.py lists them. An Aho-Corasick
+automaton over all keywords tells in one pass which rules can match a text at all;
+only these run. Before it, a cheaper gate over the bytes asks for one of a few words
+that cover all keywords. Of overlapping detections the one of higher priority stays
+(of equal priority the longer, then the earlier), and detections inside it are
+suppressed, by a sweep over the places where kept ones begin.
 
 Beside them stand the base phrases: runs of whole words, counted in all places.
 
 Defined results: a null text counts as empty: no words, no labels, score 0. Null
-and repeated doc_ids keep their rows; other columns are ignored.
+and repeated doc_ids keep their rows; other columns are ignored, whatever their
+names. Of rules with one priority and one place the first listed names the
+detection. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from docloom.llm import common
+from docloom.llm import common, license_rules
 
 #: Base phrases and their labels.
 BASE = [
@@ -37,90 +38,10 @@ BASE = [
     ("mit license", "mit"),
 ]
 
-#: (label, pattern of the name, keyword). Spaces stand for any white space.
-NAMES = [
-    ("gpl-3.0", r"gnu (?:general public license|gpl),? (?:version |v\.? ?)?3(?:\.0)?", "gnu g"),
-    ("gpl-2.0", r"gnu (?:general public license|gpl),? (?:version |v\.? ?)?2(?:\.0)?", "gnu g"),
-    ("gpl-1.0", r"gnu (?:general public license|gpl),? (?:version |v\.? ?)?1(?:\.0)?", "gnu g"),
-    ("gpl", r"gnu general public license", "gnu general public license"),
-    ("gpl", r"gplv[123]", "gplv"),
-    ("lgpl-3.0", r"gnu (?:lesser|library) general public license,? (?:version |v\.? ?)?3(?:\.0)?", "general public license"),
-    ("lgpl-2.1", r"gnu (?:lesser|library) general public license,? (?:version |v\.? ?)?2\.1", "general public license"),
-    ("lgpl-2.0", r"gnu (?:lesser|library) general public license,? (?:version |v\.? ?)?2(?:\.0)?", "general public license"),
-    ("lgpl", r"gnu (?:lesser|library) general public license", "general public license"),
-    ("agpl-3.0", r"gnu affero general public license,? (?:version |v\.? ?)?3(?:\.0)?", "affero"),
-    ("agpl", r"gnu affero general public license", "affero"),
-    ("gfdl-1.3", r"gnu free documentation license,? (?:version |v\.? ?)?1\.3", "free documentation"),
-    ("gfdl-1.2", r"gnu free documentation license,? (?:version |v\.? ?)?1\.2", "free documentation"),
-    ("gfdl", r"gnu free documentation license", "free documentation"),
-    ("apache-2.0", r"apache (?:software )?license,? (?:version |v\.? ?)?2(?:\.0)?", "apache"),
-    ("apache-1.1", r"apache (?:software )?license,? (?:version |v\.? ?)?1\.1", "apache"),
-    ("apache-1.0", r"apache (?:software )?license,? (?:version |v\.? ?)?1\.0", "apache"),
-    ("apache", r"apache (?:software )?license", "apache"),
-    ("mit", r"(?:mit|expat|x11) license", "license"),
-    ("mit-0", r"mit no attribution(?: license)?", "mit no attribution"),
-    ("bsd-2-clause", r"(?:2-clause|two-clause|simplified|freebsd) bsd license", "bsd license"),
-    ("bsd-3-clause", r"(?:3-clause|three-clause|new|modified|revised) bsd license", "bsd license"),
-    ("bsd-4-clause", r"(?:4-clause|four-clause|original) bsd license", "bsd license"),
-    ("bsd-0-clause", r"(?:0-clause|zero-clause) bsd license", "bsd license"),
-    ("bsd", r"bsd license", "bsd license"),
-    ("isc", r"isc license", "isc license"),
-    ("mpl-2.0", r"mozilla public license,? (?:version |v\.? ?)?2(?:\.0)?", "mozilla"),
-    ("mpl-1.1", r"mozilla public license,? (?:version |v\.? ?)?1\.1", "mozilla"),
-    ("mpl-1.0", r"mozilla public license,? (?:version |v\.? ?)?1\.0", "mozilla"),
-    ("mpl", r"mozilla public license", "mozilla"),
-    ("epl-2.0", r"eclipse public license,? (?:version |v\.? ?|- ?v ?)?2(?:\.0)?", "eclipse"),
-    ("epl-1.0", r"eclipse public license,? (?:version |v\.? ?|- ?v ?)?1(?:\.0)?", "eclipse"),
-    ("epl", r"eclipse public license", "eclipse"),
-    ("cddl-1.0", r"common development and distribution license,? (?:version |v\.? ?)?1(?:\.0)?", "common development"),
-    ("cddl", r"common development and distribution license", "common development"),
-    ("cpl-1.0", r"common public license(?:,? (?:version |v\.? ?)?1(?:\.0)?)?", "common public"),
-    ("eupl-1.2", r"european union public licen[cs]e,? (?:version |v\.? ?)?1\.2", "european union"),
-    ("eupl", r"european union public licen[cs]e", "european union"),
-    ("artistic-2.0", r"artistic license,? (?:version |v\.? ?)?2(?:\.0)?", "artistic"),
-    ("artistic-1.0", r"artistic license(?:,? (?:version |v\.? ?)?1(?:\.0)?)?", "artistic"),
-    ("bsl-1.0", r"boost software license(?:,? (?:version |v\.? ?)?1(?:\.0)?)?", "boost"),
-    ("zlib", r"zlib(?:/libpng)? license", "zlib"),
-    ("unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", r"do what the fuck you want to public license|wtfpl", "w"),
-    ("ofl-1.1", r"sil open font license(?:,? (?:version |v\.? ?)?1\.[01])?", "open font"),
-    ("psf-2.0", r"python software foundation license(?:,? (?:version |v\.? ?)?2)?", "python software"),
-    ("postgresql", r"postgresql license", "postgresql"),
-    ("ms-pl", r"microsoft public license", "microsoft"),
-    ("ms-rl", r"microsoft reciprocal license", "microsoft"),
-    ("odbl-1.0", r"open (?:data commons open )?database license(?:,? (?:version |v\.? ?)?1(?:\.0)?)?", "database license"),
-    ("odc-by-1.0", r"open data commons attribution license(?:,? (?:version |v\.? ?)?1(?:\.0)?)?", "open data commons"),
-    ("pddl-1.0", r"public domain dedication and license", "public domain"),
-    ("cc0-1.0", r"cc0(?:[ -](?:1\.0|universal))*|creative commons zero", "cc0"),
-    ("cc0-1.0", r"creative commons zero", "creative commons"),
-    ("openssl", r"openssl license", "openssl"),
-    ("php-3.01", r"php license(?:,? (?:version |v\.? ?)?3\.01)?", "php license"),
-    ("ncsa", r"university of illinois(?:/ncsa)? open source license", "illinois"),
-    ("osl-3.0", r"open software license(?:,? (?:version |v\.? ?)?3(?:\.0)?)?", "open software"),
-    ("afl-3.0", r"academic free license(?:,? (?:version |v\.? ?)?3(?:\.0)?)?", "academic free"),
-]
-
-#: (name, priority, confidence, template); {x} is the name's pattern.
-TEMPLATES = [
-    ("tag", 4, 0.99, r"spdx-license-identifier:? {x}"),
-    ("licensed", 3, 0.95, r"(?:is |are |be )?(?:dual-)?licen[cs]ed under (?:the |terms of the |the terms of the )?{x}"),
-    ("released", 2, 0.9, r"(?:released|distributed|available|published|provided|shared) under (?:the |a |terms of the |the terms of the )?{x}"),
-    ("bare", 1, 0.7, r"(?:the )?{x}"),
-]
-
-#: Creative Commons variants and versions, from which their rules are built.
-CC_PARTS = ["by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"]
-CC_WORDS = {"by": "attribution", "sa": "share-?alike", "nd": "no-?deriv(?:ative)?s?", "nc": "non-?commercial"}
-CC_VERSIONS = ["4.0", "3.0", "2.5", "2.0", ""]
-
-#: Notices without a name: (label, priority, confidence, pattern, keyword).
-NOTICES = [
-    ("mit", 3, 0.95, r"permission is hereby granted, free of charge, to any person obtaining a copy", "permission is hereby granted"),
-    ("isc", 3, 0.9, r"permission to use, copy, modify,(?: and/or| and) distribute this software for any purpose", "permission to use"),
-    ("bsd", 3, 0.9, r"redistribution and use in source and binary forms", "redistribution and use"),
-    ("public-domain", 2, 0.8, r"(?:released|dedicated|placed|is)(?: in| into| to)? the public domain", "public domain"),
-    ("proprietary", 1, 0.6, r"all rights reserved", "all rights reserved"),
-]
+#: Keywords that count only as whole words, since many words hold them.
+WHOLE = {"cc", "mit", "bsd"}
+#: Words that are too common to gate by.
+COMMON = {"the", "of", "and", "or", "to", "in", "is", "by", "be", "not", "any", "this", "under", "used", "with", "without", "you", "buy", "all", "copy", "free"}
 
 
 @dataclass(frozen=True)
@@ -133,22 +54,33 @@ class Rule:
 
 
 def _compile(pattern: str) -> re.Pattern:
-    return re.compile(r"(?<![a-z0-9])" + pattern.replace(" ?", r"\s*").replace(" ", r"\s+") + r"(?![a-z0-9])")
+    """A rule's pattern as whole words; spaces as license_rules.py says."""
+    spaced = re.sub(r"\[[^\]]*\]| \?| ", lambda m: {" ?": r"\s*", " ": r"\s+"}.get(m[0], m[0].replace(" ", r"\s")), pattern)
+    return re.compile(r"(?<![a-z0-9])(?:" + spaced + r")(?![a-z0-9])")
+
 
+def parse_rules(lines: str) -> list[Rule]:
+    """The rules of a listing, in order of priority, else as listed."""
+    rows = [line.split(" :: ") for line in lines.strip().splitlines()]
+    return sorted((Rule(label, int(priority), float(sure), word, _compile(p)) for label, priority, sure, word, p in rows), key=lambda r: -r.priority)
 
-def build_rules() -> list[Rule]:
-    """All rules, in order of priority."""
-    names = list(NAMES)
-    for parts in CC_PARTS:
-        for version in CC_VERSIONS:
-            tail = rf"[ -](?:version |v)?{re.escape(version)}" if version else ""
-            label = "cc-" + parts + (f"-{version}" if version else "")
-            words = r"[ -]+".join(CC_WORDS[p] for p in parts.split("-"))
-            names.append((label, r"cc[ -]" + parts.replace("-", "[ -]") + tail, "cc"))
-            names.append((label, r"creative commons[ -]+" + words + r"(?: (?:international|unported))?" + tail.replace("[ -]", "[ -]+"), "creative commons"))
-    rules = [Rule(label, priority, sure, word, _compile(t.replace("{x}", f"(?:{name})"))) for _, priority, sure, t in TEMPLATES for label, name, word in names]
-    rules += [Rule(label, priority, sure, word, _compile(p)) for label, priority, sure, p, word in NOTICES]
-    return sorted(rules, key=lambda r: -r.priority)
+
+def gate_words(keywords: list[str]) -> list[str]:
+    """Words of which every keyword holds one, anywhere in it unless WHOLE: those that cover most come first."""
+    left, out = {k: set(k.split(" ")) - COMMON for k in keywords}, []
+    while left:
+        worth: dict[str, int] = {}
+        for words in left.values():
+            for w in words:
+                worth[w] = worth.get(w, 0) + len(w)
+        best = max(sorted(worth), key=worth.__getitem__)
+        out.append(best)
+        left = {k: words for k, words in left.items() if best not in (words if best in WHOLE else k)}
+    return out
+
+
+def _whole(word: str) -> str:
+    return rf"(?<![0-9a-z]){re.escape(word)}(?![0-9a-z])" if word in WHOLE else re.escape(word)
 
 
 class Scanner:
@@ -161,29 +93,52 @@ class Scanner:
             by_word.setdefault(r.keyword, []).append(k)
         self.automaton = ahocorasick.Automaton()
         for word, ks in by_word.items():
-            self.automaton.add_word(word, ks)
+            self.automaton.add_word(word, (len(word) if word in WHOLE else 0, ks))
         self.automaton.make_automaton()
+        self.gate = "|".join(map(_whole, gate_words(list(by_word))))
 
-    def __call__(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, label, confidence) of the detections that stay, in a lower-case text."""
+    def ready(self, text: str) -> list[int]:
+        """The rules whose keyword stands in a lower-case text."""
         spaced = " ".join(text.split())  # any white space, as in the rules
-        ready: set[int] = set()
-        for _, ks in self.automaton.iter(spaced):
-            ready.update(ks)
+        alone = lambda c: not ("0" <= c <= "9" or "a" <= c <= "z")
+        out: set[int] = set()
+        for end, (size, ks) in self.automaton.iter(spaced):
+            if not size or alone(spaced[end - size : end - size + 1] if end >= size else " ") and alone(spaced[end + 1 : end + 2] or " "):
+                out.update(ks)
+        return sorted(out)
+
+    def __call__(self, text: str, every: bool = False) -> list[tuple[int, int, str, float]]:
+        """(start, end, label, confidence) of the detections that stay, in a
+        lower-case text; ``every`` runs all rules, without the prefilter."""
         found = []
-        for k in sorted(ready):
+        for k in range(len(self.rules)) if every else self.ready(text):
             r = self.rules[k]
             found += [(-r.priority, m.start() - m.end(), m.start(), m.end(), k) for m in r.match.finditer(text)]
-        kept: list[tuple[int, int, str, float]] = []
-        for _, _, a, z, k in sorted(found):
-            if not any(x <= a and z <= y for x, y, *_ in kept):
-                kept.append((a, z, self.rules[k].label, self.rules[k].confidence))
-        return sorted(kept)
+        return sorted((a, z, self.rules[k].label, self.rules[k].confidence) for a, z, k in outer(sorted(found)))
+
+
+def outer(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, rule) of the detections, in the given order, that lie in none
+    before them. A tree over the places where they begin holds the furthest end."""
+    starts = sorted({x[2] for x in found})
+    tree, kept = [0] * (len(starts) + 1), []
+    for _, _, a, z, k in found:
+        at = i = bisect_right(starts, a)
+        reach = 0
+        while i:
+            reach = max(reach, tree[i])
+            i &= i - 1
+        if reach < z:
+            kept.append((a, z, k))
+            while at < len(tree):
+                tree[at] = max(tree[at], z)
+                at += at & -at
+    return kept
 
 
 @lru_cache(maxsize=1)
 def scanner() -> Scanner:
-    return Scanner(build_rules())
+    return Scanner(parse_rules(license_rules.RULES))
 
 
 #: Bytes of words: 0-9, a-z and all of non-ASCII characters.
@@ -192,14 +147,12 @@ _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _BETWEEN = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _IN = rb"[0-9a-z\x80-\xff]"
 
-#: Any detection by a rule needs one of these in the lower-case text.
-_GATE = rb"licen|spdx|cc|creative|public|gpl|wtfpl|rights|permission|redistribution|attribution"
-
 
 @lru_cache(maxsize=16)
 def _gate(base: tuple) -> re.Pattern:
     """Any detection at all: of a rule, or of a base phrase, which holds its longest word."""
-    return re.compile(b"|".join([_GATE, *{re.escape(max(p.split(" "), key=len).encode()) for p, _ in base}]))
+    words = [max(p.split(" "), key=len) for p, _ in base]
+    return re.compile("|".join([scanner().gate, *(_whole(w) if w in WHOLE else re.escape(w) for w in words)]).encode())
 
 
 def base_places(low: bytes, base: list[tuple[str, str]]) -> list[tuple[int, str]]:

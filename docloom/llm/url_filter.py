@@ -7,24 +7,33 @@ suffix to all pages. Each level's prior has the mean of the level above and a
 strength that is estimated by moments from the spread of rates at that level. A
 host is blocked where the lower posterior bound of its bad share passes a limit.
 
-Outcomes are an input (``bad``, null where a page has none). page_outcomes() gives
-the ones the query takes: a page is bad if a name in its host is on a word list, or
-if its visible text is mostly marks.
+Outcomes are an input (``bad``, null where a page has none). outcomes() gives those
+of the query: a page is bad if the quality classifier, fitted on labelled documents,
+finds the text of its article (else all visible text) worse than even, or if a name
+in its host is on a word list; a page without text has no outcome of its own.
 
-All of it is DataFrame work: counts by host are pre-aggregated, so that a hot host
-is a row per task, and only blocked hosts are joined back to pages.
+Pages are read once, in Python batches. All the rest is DataFrame work: counts by
+host are pre-aggregated, so that a hot host is a row per task, and only blocked hosts
+are joined back to pages.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits
-no rule, takes no part in reputations and is allowed. A null html has no text.
-Null and repeated page_ids keep their rows; other columns are ignored.
+no rule, takes no part in reputations and is allowed. A null html has no text. Of
+rules of one length the later in the order of their text wins. Null and repeated
+page_ids keep their rows; other columns are ignored, whatever their names. An empty
+table gives no rows; without any outcome no host is blocked.
 """
 
 from __future__ import annotations
 
+import html as entities
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm import common
+from docloom.llm import common, quality
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,12 +86,65 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.greatest(*fits) if len(fits) > 1 else fits[0]
 
 
-def page_outcomes(host: Column, html: Column, words: list[str] = WORDS, mark_share: float = 0.08) -> Column:
-    """Whether a page is bad: 1 or 0."""
-    named = F.arrays_overlap(F.split(host, "[^0-9a-z]+"), F.array(*map(F.lit, words)))
-    bare = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " "), r"\s+", " ")
-    marks = F.length(bare) - F.length(F.translate(bare, "#$%&*|^~", ""))
-    return F.when(named | (marks > mark_share * F.length(bare)), 1).otherwise(0)
+_TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*>")
+_RAW = {x: re.compile(rf"</{x}[^<>]*>", re.IGNORECASE) for x in ("script", "style")}
+#: Elements whose text is not the page's, those that hold its main text, and those that stand in a line.
+_ASIDE, _MAIN = {"head", "nav", "aside", "footer", "form"}, {"article", "main"}
+_INLINE = {"a", "abbr", "b", "cite", "code", "em", "font", "i", "label", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "u"}
+
+
+def main_text(html: str | None) -> str:
+    """The text of a page's articles; of all that is visible if it has none. One
+    pass: what is not closed is hidden or shown to the end."""
+    html, at, aside, main = html or "", 0, 0, 0
+    every: list[str] = []
+    inside: list[str] = []
+
+    def add(part: str) -> None:
+        if not aside:
+            every.append(part)
+            if main:
+                inside.append(part)
+
+    while m := _TAG.search(html, at):
+        add(html[at : m.start()])
+        at = m.end()
+        if m[2] is None:
+            end = html.find("-->", at)
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        name, closes = m[2].lower(), bool(m[1])
+        if name in _RAW and not closes:
+            end = _RAW[name].search(html, at)
+            at = end.end() if end else len(html)
+        elif name in _ASIDE:
+            aside = max(0, aside - 1) if closes else aside + 1
+        elif name in _MAIN:
+            main = max(0, main - 1) if closes else main + 1
+        if name not in _INLINE:
+            add("\n")
+    add(html[at:])
+    text = entities.unescape("".join(inside if any(map(str.strip, inside)) else every))
+    return "\n".join(x for line in text.split("\n") if (x := " ".join(line.split())))
+
+
+SEEN = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("bad", pa.int32())])
+
+
+def outcomes(pages: DataFrame, forest: quality.Forest, words: list[str] = WORDS, good: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """A written table of page_id, host, path and bad (1 or 0; null without text)."""
+    url, names = pages[url_col].cast("string"), set(words)
+    slim = pages.select(pages[id_col].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), pages[html_col].cast("string").alias("html"))
+
+    def judge(batches):
+        for b in common.slices(batches):
+            texts = list(map(main_text, b["html"].to_pylist()))
+            low = forest.score(np.array([quality.statistics(t) for t in texts], float)) < good
+            named = [not names.isdisjoint(re.split("[^0-9a-z]+", h)) for h in b["host"].to_pylist()]
+            bad = [1 if n else int(x) if t else None for n, x, t in zip(named, low, texts, strict=True)]
+            yield common.record(SEEN, page_id=b["page_id"], host=b["host"], path=b["path"], bad=bad)
+
+    return common.saved_map(slim, judge, SEEN, "seen")
 
 
 def _strength(groups: DataFrame, mean: Column, n: str, bad: str) -> float:
@@ -100,7 +162,7 @@ def reputations(hosts: DataFrame, z: float = 1.96) -> DataFrame:
     """hosts: host, n, bad (a written table; each level reads it). Adds domain, suffix,
     the posterior mean and the lower bound of the bad share."""
     h = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
-    domains = h.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad"))
+    domains = common.saved(h.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("dbad")), "domains", light=True)
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dbad").alias("sbad"))
     every = F.lit(hosts.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("m")).first()["m"] or 0.5)
     k0 = _strength(suffixes, every, "sn", "sbad")
@@ -116,18 +178,14 @@ def reputations(hosts: DataFrame, z: float = 1.96) -> DataFrame:
     return g.select("host", "domain", "suffix", "n", "bad", mean.alias("bad_mean"), bound.alias("bad_bound"))
 
 
-def judge(pages: DataFrame, bad: Column, rules: list[tuple[str, str]] = RULES, limit: float = 0.5, z: float = 1.96, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict of every page. ``bad`` is the outcome
-    of a labelled page (1 or 0; null: not labelled), over the columns of pages
-    and ``host_``."""
-    url = pages[url_col].cast("string")
-    seen = pages.withColumn("host_", host_of(url)).withColumn("bad_", bad).select(
-        pages[id_col].cast("long").alias("page_id"), F.col("host_").alias("host"), path_of(url).alias("path"), F.col("bad_").alias("bad")
-    )
+def judge(seen: DataFrame, rules: list[tuple[str, str]] = RULES, limit: float = 0.5, z: float = 1.96) -> DataFrame:
+    """page_id, host, path, rule, verdict of every row of seen (page_id, host,
+    path, bad), a table that is read twice. A host is blocked where the lower
+    bound of its bad share passes ``limit``; ``z`` is the bound's number of
+    standard deviations."""
     hosts = seen.where("bad is not null and host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    # Written once: the levels above read it several times, and reading pages again would parse them again.
-    hosts = common.saved(hosts, "hosts")
-    blocked = reputations(hosts, z).where(F.col("bad_bound") > limit).select("host", F.lit("block").alias("by_host"))
+    hosts = common.saved(hosts, "hosts", light=True)
+    blocked = common.saved(reputations(hosts, z).where(F.col("bad_bound") > limit).select("host", F.lit("block").alias("by_host")), "blocked", light=True)
     placed = seen.drop("bad").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     return placed.join(blocked, "host", "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "by_host", F.lit("allow")).alias("verdict")
@@ -135,4 +193,5 @@ def judge(pages: DataFrame, bad: Column, rules: list[tuple[str, str]] = RULES, l
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge(common.table(spark, sf_dir, "pages"), page_outcomes(F.col("host_"), F.col("html")))
+    forest = quality.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return judge(outcomes(common.table(spark, sf_dir, "pages"), forest))
