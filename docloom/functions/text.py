@@ -16,6 +16,9 @@ WORD = r"[\p{L}\p{N}_]"
 #: What Python's str.strip() and \s take as white space.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: The same, as characters.
+SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -32,7 +35,13 @@ def nfc(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(_c(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_c(c), F.lit(SPACES))
+
+
+def collapse(c: Column | str) -> Column:
+    """White space of all kinds to single spaces, none at the ends. Characters are
+    mapped first, so that one short pattern does the rest."""
+    return F.btrim(F.regexp_replace(F.translate(_c(c), SPACES, " " * len(SPACES)), " {2,}", " "), F.lit(" "))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -46,7 +55,7 @@ def clean_text(c: Column | str) -> Column:
 
 def normalize_for_match(c: Column | str) -> Column:
     """Lower case, white space collapsed, stripped. Expects NFC."""
-    return strip(F.regexp_replace(F.lower(_c(c)), f"{SPACE}+", " "))
+    return collapse(F.lower(_c(c)))
 
 
 @lru_cache(maxsize=1)
@@ -66,7 +75,7 @@ def strip_diacritics(c: Column | str) -> Column:
 
 
 def normalize_key(c: Column | str) -> Column:
-    return strip(F.regexp_replace(F.lower(strip_diacritics(c)), f"{SPACE}+", " "))
+    return collapse(F.lower(strip_diacritics(c)))
 
 
 # -------------------------------------------------------------------- numbers
@@ -300,9 +309,11 @@ def detect_injection(c: Column | str) -> Column:
 
 
 def mask_pii(c: Column | str) -> Column:
+    """The patterns run one after the other, each only where a text can match it."""
     out = _c(c)
     for label, pattern in PII_PATTERNS:
-        out = F.regexp_replace(out, pattern, f"<{label}>")
+        can = F.contains(out, F.lit("@")) if label == "EMAIL" else out.rlike("[0-9](?:[^0-9]{0,3}[0-9]){8}")
+        out = F.when(can, F.regexp_replace(out, pattern, f"<{label}>")).otherwise(out)
     return out
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom import scratch
 from docloom.functions import text as T
 
 #: Fixed values of Okapi BM25: saturation, length normalisation, floor for common terms.
@@ -45,16 +46,19 @@ class Bm25Index:
 
 
 def build(chunks: DataFrame, id_col: str, text: Column) -> Bm25Index:
-    """Index of all chunks. The floor for terms in over half of the chunks needs the mean idf of all terms."""
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), T.tokenize(text).alias("tokens"))
-    lengths = tokens.select("chunk_id", F.size("tokens").cast("long").alias("dl"))
-    postings = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    """Index of all chunks. Texts are read once: postings are written, and all
+    figures come from them. The floor for terms in over half of the chunks needs the
+    mean idf of all terms."""
+    tokens = chunks.select(F.col(id_col).alias("chunk_id"), F.explode_outer(T.tokenize(text)).alias("term"))
+    postings = scratch.saved(tokens.groupBy("term", "chunk_id").agg(F.count("term").alias("tf")), "postings")
+    lengths = scratch.saved(postings.groupBy("chunk_id").agg(F.sum("tf").alias("dl")), "lengths")
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    postings = postings.where("term is not null")  # the row of a chunk without any term
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(F.broadcast(corpus), how="cross").select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((EPSILON * F.avg("raw")).alias("floor"))
     terms = raw.join(F.broadcast(floor), how="cross").select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, terms, lengths, corpus)
+    return Bm25Index(postings, scratch.saved(terms, "terms"), lengths, scratch.saved(corpus, "corpus"))
 
 
 def scores(index: Bm25Index, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:

@@ -63,6 +63,10 @@ def rerank(hits: DataFrame, score: Callable[[str, str], float] | None = token_ov
     """hits: query_id, query, content, rrf_score. The ``top`` best by score, then fusion, then chunk_id. Without a scorer: by fusion."""
     if score is None:
         scored = hits.withColumn("rerank_score", F.lit(None).cast("double"))
+    elif score is token_overlap:  # the stand-in has a form in the JVM
+        words = lambda c: F.array_distinct(F.filter(F.split(T.collapse(F.lower(F.coalesce(c, F.lit("")))), " "), lambda w: w != ""))
+        asked = words("query")
+        scored = hits.withColumn("rerank_score", F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words("content"))) / F.size(asked)).otherwise(0.0))
     else:
 
         @F.pandas_udf("double")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import chunking, compute, graph, profile, regions
+from docloom.operators import chunking, compute, graph, lookup, profile, regions
 from docloom.plans import fixtures, store
 from docloom.plans.queries_text import read, values_sql
 from docloom.plans.registry import query
@@ -55,12 +55,26 @@ def gaps_islands_runs(spark, sf_dir):
 
 @query(
     "section_paths",
-    r"""WITH RECURSIVE b AS (
-  SELECT page_id, i, part[i] AS p FROM (SELECT page_id, regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)\b[^>]*>.*?</(?:h[1-6]|p|li)>') AS part, unnest(generate_series(1, len(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)\b[^>]*>.*?</(?:h[1-6]|p|li)>')))) AS i FROM pages)
-) SELECT page_id, count(*) AS n_blocks, count(*) FILTER (regexp_matches(p, '(?i)^<h[1-6]')) AS n_headings FROM b GROUP BY page_id""",
+    """WITH RECURSIVE b AS (SELECT conv_id, turn, role = 'user' AS heading, 1 + length(text) % 4 AS level, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+p AS (SELECT conv_id, turn, i, CASE WHEN heading THEN [text] ELSE [] END AS path FROM b WHERE i = 1
+  UNION ALL SELECT b.conv_id, b.turn, b.i, CASE WHEN heading THEN list_append(p.path[1:level - 1], text) ELSE p.path END FROM p JOIN b ON b.conv_id = p.conv_id AND b.i = p.i + 1)
+SELECT conv_id, turn, CAST(len(path) AS INTEGER) AS depth, md5(array_to_string(path, ' > ')) AS path FROM p""",
 )
 def section_paths(spark, sf_dir):
-    """Blocks of pages with their section paths (the oracle checks their numbers, tests the paths)."""
+    """Turns as blocks, a user's turn as a heading of a level between 1 and 4."""
+    c = read(spark, sf_dir, "conversations")
+    b = c.select(
+        F.col("conv_id").cast("string").alias("document_id"), F.concat_ws("/", "conv_id", "turn").alias("block_id"), F.when(F.col("role") == "user", "heading").otherwise("text").alias("block_type"),
+        F.col("text").alias("content"), (1 + F.length("text") % 4).cast("int").alias("level"), F.col("turn").cast("int").alias("reading_order"),
+    )
+    p = chunking.section_paths(b)
+    return p.select(F.col("document_id").cast("long").alias("conv_id"), F.col("reading_order").cast("long").alias("turn"), F.size("section_path").alias("depth"), F.md5(F.array_join("section_path", " > ").cast("binary")).alias("path"))
+
+
+@query("page_blocks", r"""SELECT page_id, count(*) AS n_blocks, count(*) FILTER (regexp_matches(p, '(?i)^<h[1-6]')) AS n_headings FROM (
+  SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:h[1-6]|p|li)\b[^>]*>.*?</(?:h[1-6]|p|li)>')) AS p FROM pages) GROUP BY page_id""")
+def page_blocks(spark, sf_dir):
+    """Headings, paragraphs and list items of web pages as blocks."""
     b = chunking.section_paths(web.blocks(read(spark, sf_dir, "pages")))
     return b.groupBy(F.col("document_id").cast("long").alias("page_id")).agg(F.count(F.lit(1)).alias("n_blocks"), F.count(F.when((F.col("block_type") == "heading") & (F.size("section_path") > 0), 1)).alias("n_headings"))
 
@@ -99,14 +113,22 @@ def chunks(spark, sf_dir):
 
 @query(
     "interval_overlap",
-    """WITH s AS (SELECT l_suppkey, l_linenumber, min(l_shipdate) AS a, max(l_shipdate) AS z FROM lineitem GROUP BY ALL)
-SELECT x.l_suppkey, x.l_linenumber AS n1, y.l_linenumber AS n2 FROM s x JOIN s y ON x.l_suppkey = y.l_suppkey AND x.l_linenumber < y.l_linenumber AND x.a <= y.z AND y.a <= x.z""",
+    """WITH s AS (SELECT l_suppkey, l_linenumber, min(l_orderkey) AS a, max(l_orderkey) AS z, min(l_partkey) + 1 AS row FROM lineitem GROUP BY ALL)
+SELECT x.l_suppkey, x.l_linenumber AS chart, y.l_linenumber AS source FROM s x JOIN s y ON x.l_suppkey = y.l_suppkey AND x.row BETWEEN y.a + 1 AND y.z + 1""",
 )
 def interval_overlap(spark, sf_dir):
-    """Overlap join on an equal key and two intervals."""
-    s = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("z"))
-    y = s.select("l_suppkey", F.col("l_linenumber").alias("n2"), F.col("a").alias("a2"), F.col("z").alias("z2"))
-    return s.join(y, "l_suppkey").where("l_linenumber < n2 and a <= z2 and a2 <= z").select("l_suppkey", F.col("l_linenumber").alias("n1"), "n2")
+    """Charts and the tables whose ranges they read: a sheet for each supplier, a
+    table over the rows of each line number's orders, a chart that reads one row."""
+    s = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.min("l_orderkey").alias("a"), F.max("l_orderkey").alias("z"), F.min("l_partkey").alias("row"))
+    text = lambda c: F.col(c).cast("string")
+    line = lambda c: (F.col(c) + 1).cast("string")
+    none = F.lit(None)
+    common = [text("l_suppkey").alias("document_id"), F.lit("Sheet 1").alias("sheet_name")]
+    tables = s.select(*common, F.concat(F.lit("t"), text("l_linenumber")).alias("block_id"), F.lit("table").alias("block_type"), F.concat(F.lit("B"), line("a"), F.lit(":D"), line("z")).alias("cell_range"), none.cast("array<string>").alias("source_ranges"))
+    charts = s.select(*common, F.concat(F.lit("c"), text("l_linenumber")).alias("block_id"), F.lit("chart").alias("block_type"), none.cast("string").alias("cell_range"), F.array(F.concat(F.lit("'sheet 1'!$C$"), line("row"))).alias("source_ranges"))
+    e = graph.chart_sources(tables.unionByName(charts))
+    number = lambda c: F.substring(c, 2, 9).cast("int")
+    return e.select(F.col("document_id").cast("long").alias("l_suppkey"), number("source_id").alias("chart"), number("target_id").alias("source"))
 
 
 GRID = [(1, 1), (1, 2), (3, 1), (3, 2), (4, 1), (4, 4), (5, 4), (5, 5), (9, 3)]
@@ -207,34 +229,30 @@ def inventory_diff(spark, sf_dir):
 
 @query("point_lookup", "SELECT doc_id, lang, source FROM documents WHERE doc_id = 42")
 def point_lookup(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(F.col("doc_id") == 42).select("doc_id", "lang", "source")
+    return lookup.by_id(read(spark, sf_dir, "documents"), "doc_id", 42).select("doc_id", "lang", "source")
 
 
 @query("blocks_in_order", "SELECT pos, doc_id, lang FROM (SELECT unnest([5, 3, 999999, 7, 3]::BIGINT[]) AS doc_id, unnest([0, 1, 2, 3, 4]) AS pos) JOIN documents USING (doc_id)")
 def blocks_in_order(spark, sf_dir):
     """Lookup of a list of ids that keeps the list's order; missing ids drop out."""
-    ids = spark.createDataFrame([([5, 3, 999999, 7, 3],)], "ids array<long>").select(F.posexplode("ids").alias("pos", "doc_id"))
-    return ids.join(read(spark, sf_dir, "documents"), "doc_id").select("pos", "doc_id", "lang").orderBy("pos")
+    ids = spark.createDataFrame([([5, 3, 999999, 7, 3],)], "ids array<long>")
+    return lookup.in_order(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", ids).select("pos", "doc_id", "lang")
 
 
 @query("list_values", "SELECT DISTINCT source FROM documents ORDER BY 1")
 def list_values(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("source").distinct().orderBy("source")
+    return lookup.distinct_values(read(spark, sf_dir, "documents"), "source").withColumnRenamed("value", "source")
 
 
 @query("json_filter", "SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) = 3 AND event_type = 'click'")
 def json_filter(spark, sf_dir):
     """A predicate on a JSON field beside one that reaches the scan."""
-    return read(spark, sf_dir, "events").where("event_type = 'click'").where(F.get_json_object("props", "$.k").cast("int") == 3).select("event_id")
+    return read(spark, sf_dir, "events").where("event_type = 'click'").where(lookup.json_is("props", "$.k", 3)).select("event_id")
 
 
 @query("table_counts", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'conversations', count(*) FROM conversations")
 def table_counts(spark, sf_dir):
-    out = None
-    for t in ("documents", "pages", "conversations"):
-        one = read(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return lookup.counts({t: read(spark, sf_dir, t) for t in ("documents", "pages", "conversations")})
 
 
 @query(
@@ -257,22 +275,28 @@ def unique_headers(spark, sf_dir):
     "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 50",
 )
 def latest_statuses(spark, sf_dir):
-    return read(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type")
+    return lookup.latest(read(spark, sf_dir, "events"), "ts", "event_id", 50).select("event_id", "event_type")
 
 
 @query("heading_map", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Người dùng' ELSE role END AS part FROM conversations")
 def heading_map(spark, sf_dir):
     """Parts of a path replaced by a dictionary; others stay."""
-    names = F.create_map(F.lit("user"), F.lit("Người dùng"))
-    c = read(spark, sf_dir, "conversations").withColumn("path", F.transform(F.array("role"), lambda p: F.coalesce(names[p], p)))
+    c = read(spark, sf_dir, "conversations").withColumn("path", lookup.map_parts(F.array("role"), {"user": "Người dùng"}))
     return c.select("conv_id", "turn", F.col("path")[0].alias("part"))
 
 
 @query(
     "continuation_lag",
-    """SELECT conv_id, turn FROM (SELECT conv_id, turn, role, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS p, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS pr FROM conversations) WHERE turn = p + 1 AND role = 'assistant' AND pr = 'user'""",
+    """WITH t AS (SELECT conv_id, turn, turn // 2 AS page, 1 + length(text) % 2 AS width, role FROM conversations),
+l AS (SELECT *, lag(page) OVER w AS p_page, lag(width) OVER w AS p_width, lag(role) OVER w AS p_role, lag(turn) OVER w AS p_turn,
+  row_number() OVER (PARTITION BY conv_id, page ORDER BY turn) AS first, lag(c) OVER w = lag(n) OVER w AS p_last FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, page ORDER BY turn) AS c, count(*) OVER (PARTITION BY conv_id, page) AS n FROM t)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, p_turn AS previous, role = p_role AS repeated, CASE WHEN role <> p_role THEN p_role END AS header FROM l WHERE page = p_page + 1 AND width = p_width AND first = 1 AND p_last""",
 )
 def continuation_lag(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = read(spark, sf_dir, "conversations").withColumns({"p": F.lag("turn").over(w), "pr": F.lag("role").over(w)})
-    return c.where("turn = p + 1 and role = 'assistant' and pr = 'user'").select("conv_id", "turn")
+    """Turns as tables, two on a page, whose header is the role (in one or two columns)."""
+    c = read(spark, sf_dir, "conversations")
+    header = F.when(F.length("text") % 2 == 0, F.array("role")).otherwise(F.array("role", "role"))
+    b = c.select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("string").alias("block_id"), F.lit("table").alias("block_type"), F.col("text").alias("content"), F.floor(F.col("turn") / 2).cast("int").alias("page"), F.col("turn").cast("int").alias("reading_order"), F.array(header).alias("rows"))
+    t = graph.table_continuations(b)
+    return t.select(F.col("document_id").cast("long").alias("conv_id"), F.col("block_id").cast("long").alias("turn"), F.col("previous_id").cast("long").alias("previous"), F.col("repeated_header").alias("repeated"), F.col("inherited_header")[0].alias("header"))
