@@ -26,6 +26,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -150,69 +151,99 @@ def _schema(arrow: pa.Schema):
     return from_arrow_schema(arrow)
 
 
-CODED = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("row", pa.int64()), ("ids", pa.binary())])
+CODED = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("row", pa.int64()), ("ids", pa.binary())])
 MANIFEST = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())])
 
 
-def encode_ids(docs: DataFrame, file: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table of doc_id, tie (the text's hash), row and ids (raw bytes, end id included)."""
-    slim = common.ids_and_texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tie"), common.row_key().alias("row"), "text")
+ORDER = ["doc_id", "tie", "row"]  # a hot key spreads over shards by its texts, and these by their rows
+#: Keys from which the borders of shards are taken: so many for each shard, and at most in all. Only sizes of shards depend on them.
+BORDER_KEYS, MOST_KEYS = 20, 1_000_000
 
-    def encode(batches):
-        encoder = tokenizers_.word_bpe(file)
-        end = np.array([end_id], encoder.dtype).tobytes()
-        for b in common.slices_by_size(batches):
-            yield common.record(CODED, doc_id=b["doc_id"], tie=b["tie"], row=b["row"], ids=[x + end for x in encoder(common.texts(b["text"]))])
 
-    return common.saved_map(slim, encode, CODED, "coded")
+def _key(doc_id: int | None, tie: int, row: int) -> tuple[bool, int, int, int]:
+    """The order of documents: null ids first."""
+    return doc_id is not None, doc_id or 0, tie, row
+
+
+def borders(slim: DataFrame, shards: int) -> list[tuple[bool, int, int, int]]:
+    """The first keys of all shards but the first, for payloads of about equal size."""
+    n, wanted = slim.count(), min(BORDER_KEYS * shards, MOST_KEYS)
+    some = slim if n <= wanted else slim.where(F.pmod(F.xxhash64("tie", "row"), F.lit(n)) < wanted)
+    rows = sorted((_key(r["doc_id"], r["tie"], r["row"]), r["size"]) for r in some.select(*ORDER, F.octet_length("text").alias("size")).collect())
+    ends = np.cumsum([1 + (size or 0) for _, size in rows], dtype=np.int64)
+    cuts = np.searchsorted(ends, ends[-1] * np.arange(1, shards) / shards, side="left") if rows else []
+    return sorted({rows[c][0] for c in cuts})
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 1, shards: int | None = None, shard_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents into shards in ascending doc_id order; returns the
     manifest, one row per shard, which is also written as Parquet beside them.
     ``shards`` defaults to the session's number of shuffle partitions, or more so
-    that a shard's payload is ``shard_bytes`` at most on average."""
+    that a shard holds ids of ``shard_bytes`` of text at most on average."""
     spark = docs.sparkSession
     file = tokenizer or tokenizers_.path("word_bpe_49k.json")
     dtype = tokenizers_.word_bpe(file).dtype
-    coded = encode_ids(docs, file, end_id, id_col, text_col)
+    slim = common.ids_and_texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tie"), common.row_key().alias("row"), "text")
     if not shards:
-        total = coded.agg(F.sum(F.length("ids"))).first()[0] or 0
+        total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // shard_bytes))
+    cuts = borders(slim, shards)
 
-    def write(batches):
-        from pyspark import TaskContext
+    def encode(batches):
+        encoder = tokenizers_.word_bpe(file)
+        end = np.array([end_id], encoder.dtype).tobytes()
+        for b in common.slices_by_size(batches):
+            keys = zip(*(b[c].to_pylist() for c in ORDER), strict=True)
+            shard = [bisect_right(cuts, _key(*k)) for k in keys]
+            yield common.record(CODED, shard=shard, doc_id=b["doc_id"], tie=b["tie"], row=b["row"], ids=[x + end for x in encoder(common.texts(b["text"]))])
 
-        shard, width = TaskContext.get().partitionId(), np.dtype(dtype).itemsize
+    def write(batches):
         fs, base = common.open_fs(folder)
         fs.create_dir(base)
-        name, keys, nulls, counts = f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}", [], 0, []
-        sink = None
+        open_: _Shard | None = None
         for b in batches:
-            if b.num_rows:
-                sink = sink or fs.open_output_stream(f"{base}/{name}.bin")
-                nulls += b["doc_id"].null_count
-                keys.append(b["doc_id"].fill_null(0).to_numpy())
-                counts.append(pa.compute.binary_length(b["ids"]).to_numpy().astype(np.int64) // width)
-                for x in b["ids"]:
-                    sink.write(x.as_buffer())
-        if sink is None:
-            return
-        sink.close()
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        with fs.open_output_stream(f"{base}/{name}.idx") as f:
-            for part in _index(keys, nulls, counts, int(counts.sum()), dtype):
-                f.write(part)
-        known = keys[nulls:]
-        yield common.record(MANIFEST, shard=[shard], file=[name], documents=[len(keys)], tokens=[int(counts.sum())], first_key=[int(known[0]) if len(known) else None], last_key=[int(known[-1]) if len(known) else None])
-
-    order = ["doc_id", "tie", "row"]  # a hot key spreads over shards by its texts, and these by their rows
-    written = common.map_arrow(coded.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "ids"), write, MANIFEST)
+            for shard in pa.compute.unique(b["shard"]).to_pylist():  # in ascending order
+                if open_ and open_.shard != shard:
+                    yield open_.close()
+                    open_ = None
+                open_ = open_ or _Shard(fs, base, shard, dtype)
+                open_.add(b.filter(pa.compute.equal(b["shard"], shard)))
+        if open_:
+            yield open_.close()
+
+    coded = common.map_arrow(slim, encode, CODED).repartitionById(shards, F.col("shard"))
+    written = common.map_arrow(coded.sortWithinPartitions("shard", *ORDER).select("shard", "doc_id", "ids"), write, MANIFEST)
     with common.small_batches(spark):
         written.write.parquet(f"{folder}/manifest")
     return spark.read.schema(_schema(MANIFEST)).parquet(f"{folder}/manifest")
 
 
+class _Shard:
+    """Writer of one shard: the payload as it comes, the index at the end."""
+
+    def __init__(self, fs, base: str, shard: int, dtype: str):
+        self.fs, self.shard, self.dtype, self.name = fs, shard, dtype, f"shard-{shard:06d}-{uuid.uuid4().hex[:12]}"
+        self.path, self.keys, self.counts, self.nulls = f"{base}/{self.name}", [], [], 0
+        self.sink = fs.open_output_stream(f"{self.path}.bin")
+
+    def add(self, b: pa.RecordBatch) -> None:
+        self.nulls += b["doc_id"].null_count
+        self.keys.append(b["doc_id"].fill_null(0).to_numpy())
+        self.counts.append(pa.compute.binary_length(b["ids"]).to_numpy().astype(np.int64) // np.dtype(self.dtype).itemsize)
+        for x in b["ids"]:
+            self.sink.write(x.as_buffer())
+
+    def close(self) -> pa.RecordBatch:
+        self.sink.close()
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        tokens = int(counts.sum())
+        with self.fs.open_output_stream(f"{self.path}.idx") as f:
+            for part in _index(keys, self.nulls, counts, tokens, self.dtype):
+                f.write(part)
+        first, last = (int(keys[self.nulls]), int(keys[-1])) if len(keys) > self.nulls else (None, None)
+        return common.record(MANIFEST, shard=[self.shard], file=[self.name], documents=[len(keys)], tokens=[tokens], first_key=[first], last_key=[last])
+
+
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
