@@ -52,7 +52,7 @@ def word_runs(c: Column, longest: int) -> Column:
 PAIR = ["query_id", "block_id"]
 
 
-def compute(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+def compute(queries: DataFrame, blocks: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """queries: query_id, query; blocks: block_id, rows, inherited_header,
     numeric_repr. One row per query that asks for an operation some table can
     answer: operation, block_id, column, value, filters, label_of_extreme, rows_used.
@@ -61,7 +61,8 @@ def compute(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     columns filter from left to right: where some but not all of a column's values
     (among the rows still left) stand in the question, the longest counts, then the
     first in order. Of tables the best overlap of header and question wins, half a
-    point for each filter; then the least block_id."""
+    point for each filter; then the least block_id. ``allowed`` (query_id,
+    block_id) names the tables that each question may use; by default all."""
     q = queries.withColumn("operation", T.detect_operation("query")).where("operation is not null").withColumn("said", T.normalize_for_match("query"))
     q = scratch.saved(q.select("query_id", "operation", "said", _words(F.col("said")).alias("asked")), "questions")
     c = scratch.saved(cells(blocks), "cells")
@@ -76,14 +77,19 @@ def compute(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     columns = scratch.saved(columns.where("n_rows > 0").withColumn("names", _words(T.normalize_for_match("header"))), "columns")
     data = c.where("not total").drop("total")
 
-    mentions = scratch.saved(_mentions(q, data, columns), "mentions")
+    may = (lambda pairs: pairs) if allowed is None else (lambda pairs: pairs.join(allowed, PAIR, "left_semi"))
+    mentions = scratch.saved(may(_mentions(q, data, columns)), "mentions")
     filters, left = _narrow(mentions, data)
     # The pairs that meet, and the first table of all that meet no word.
     of_words = columns.where("is_number").select("block_id", F.explode("names").alias("word")).join(q.select("query_id", F.explode("asked").alias("word")), "word").select(*PAIR)
-    lead = columns.where("is_number").groupBy("block_id").agg(F.min_by("n", "col").alias("n")).where("n > 0")
-    every = q.crossJoin(F.broadcast(lead.agg(F.min("block_id").alias("block_id")))).where("operation <> 'count'")  # one row beside the questions
-    every = every.select(*PAIR).unionByName(q.crossJoin(F.broadcast(columns.agg(F.min("block_id").alias("block_id")))).where("operation = 'count'").select(*PAIR))
-    pairs = of_words.unionByName(mentions.select(*PAIR)).unionByName(every).where("block_id is not null").distinct()
+    lead = columns.where("is_number").groupBy("block_id").agg(F.min_by("n", "col").alias("n")).where("n > 0").select("block_id", F.lit(False).alias("counts"))
+    lead = lead.unionByName(columns.select("block_id", F.lit(True).alias("counts")).distinct())
+    of_kind = q.select("query_id", (F.col("operation") == "count").alias("counts"))
+    if allowed is None:
+        every = of_kind.join(F.broadcast(lead.groupBy("counts").agg(F.min("block_id").alias("block_id"))), "counts").select(*PAIR)  # two rows
+    else:
+        every = allowed.join(of_kind, "query_id").join(lead, ["block_id", "counts"]).groupBy("query_id").agg(F.min("block_id").alias("block_id"))
+    pairs = may(of_words).unionByName(mentions.select(*PAIR)).unionByName(every).where("block_id is not null").distinct()
 
     # The numeric column of the best overlap, or the first column for counts without one.
     overlap = F.size(F.array_intersect("names", "asked")) / F.greatest(F.lit(1), F.size("names"))

@@ -2,8 +2,8 @@
 
 Every relation is its own join or window over the blocks, partitioned by document,
 so that documents spread over the cluster and no relation waits for another. Only
-the greedy one-to-one choice of captions is sequential; it runs per document on
-the few columns it needs.
+the greedy one-to-one choice of captions is sequential; it runs on the array of a
+document's blocks, in Arrow batches of documents.
 """
 
 from __future__ import annotations
@@ -56,30 +56,36 @@ def captions(blocks: DataFrame) -> DataFrame:
     word, number = F.regexp_extract("content", CAPTION, 1), F.regexp_extract("content", CAPTION, 2)
     is_caption = F.col("block_type") == "caption"
     target = F.when(~is_caption, "").when(word == "", "any").otherwise(caption_kind(word))
-    slim = blocks.select(
-        "document_id", "block_id", "block_type", "page", "sheet_name", "reading_order", "derived_from", target.alias("target"),
+    item = F.struct(
+        "reading_order", "block_id", "block_type", "page", "sheet_name", "derived_from", target.alias("target"),
         F.when(is_caption, F.col("content")).alias("caption"), F.when(is_caption & (word != ""), F.concat_ws(" ", caption_kind(word), number)).alias("label"),
     )
-    wants = [*VISUAL_TYPES, "table"]
+    # Only captions and what may take one, and their neighbours' places, are looked at; a document without captions is not.
+    documents = blocks.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("items")).where(F.exists("items", lambda x: x["target"] != ""))
+    return documents.select("document_id", F.inline(_choose_captions("items")))
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["reading_order", "block_id"], ignore_index=True)
-        rows = rows.astype(object).where(rows.notna(), None)
-        items, free, out = rows.to_dict("records"), set(rows.index[rows.block_type == "caption"]), []
+
+def _choose_captions(items: str) -> Column:
+    wants = {*VISUAL_TYPES, "table"}
+
+    def one(items) -> list[dict]:
+        free, out = {i for i, b in enumerate(items) if b["target"]}, []
         for i, b in enumerate(items):
             if b["block_type"] not in wants or b["derived_from"]:
                 continue
-            kind = "table" if b["block_type"] == "table" else "figure"
-            for j in (i - 1, i + 1, i - 2, i + 2):
-                c = items[j] if j in free else None
-                if c and c["target"] in ("any", kind) and c["page"] == b["page"] and c["sheet_name"] == b["sheet_name"]:
-                    free.discard(j)
-                    out.append((b["document_id"], b["block_id"], c["block_id"], c["caption"], c["label"]))
-                    break
-        return pd.DataFrame(out, columns=["document_id", "block_id", "caption_id", "caption", "label"])
-
-    has = slim.where(is_caption).select("document_id").distinct()
-    return slim.join(has, "document_id", "left_semi").groupBy("document_id").applyInPandas(choose, "document_id string, block_id string, caption_id string, caption string, label string")
+            fits = {"any", "table" if b["block_type"] == "table" else "figure"}
+            near = (j for j in (i - 1, i + 1, i - 2, i + 2) if j in free and items[j]["target"] in fits)
+            j = next((j for j in near if (items[j]["page"], items[j]["sheet_name"]) == (b["page"], b["sheet_name"])), None)
+            if j is not None:
+                free.remove(j)
+                out.append({"block_id": b["block_id"], "caption_id": items[j]["block_id"], "caption": items[j]["caption"], "label": items[j]["label"]})
+        return out
+
+    @F.pandas_udf("array<struct<block_id:string,caption_id:string,caption:string,label:string>>")
+    def choose(documents: pd.Series) -> pd.Series:
+        return documents.map(one)
+
+    return choose(items)
 
 
 def mentions(blocks: DataFrame) -> DataFrame:

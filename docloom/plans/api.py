@@ -18,7 +18,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom import schema
+from docloom import schema, scratch
+from docloom.functions import prompts
 from docloom.functions import text as T
 from docloom.operators import bm25, chunking, compute, context, dense, evaluation, graph, profile, retrieval
 from docloom.plans.config import PipelineConfig
@@ -29,6 +30,8 @@ from docloom.sources import files, jsonl, office
 REFUSAL = "Tôi không tìm thấy đủ thông tin trong tài liệu được cung cấp."
 
 Generator = Callable[[str, str], str]
+Planner = Callable[[str], str]
+PLAN_FILTERS = ["source_file", "sheet_name", "chunk_type"]
 
 
 class PipelineModeError(RuntimeError):
@@ -76,20 +79,26 @@ class IngestionPipeline(_Pipeline):
             self.store.reset()
         found = files.expand_archives(files.discover(self.spark, paths), c.ingestion.max_archive_mb, c.ingestion.max_archive_files)
         found = found.withColumn("skip", files.skip_reason())
-        checked = files.validate(found.where("skip is null").drop("skip"), c.ingestion.max_file_mb).cache()
+        # Names and hashes are kept; contents are read again where they are parsed.
+        checked = scratch.saved(files.validate(found.where("skip is null").drop("skip"), c.ingestion.max_file_mb).drop("content"), "checked")
         good = checked.where("error_code is null")
         known = self.store.table("documents")
         new = files.new_versions(good, known.select(F.col("original_name").alias("name"), "content_hash")) if known is not None else good.dropDuplicates(["name", "content_hash"])
         new = new.withColumn("stored", F.concat(F.regexp_replace("name", r"\.[^.]*$", ""), F.lit("__"), F.substring("content_hash", 1, 12), F.col("extension")))
-        new = new.withColumn("document_id", T.stable_id(F.col("stored"), F.col("content_hash"))).cache()
-        blocks = office.parse(new.select("document_id", F.col("stored").alias("name"), "content")).cache()
+        new = scratch.saved(new.withColumn("document_id", T.stable_id(F.col("stored"), F.col("content_hash"))), "new")
+        contents = found.where("skip is null and content is not null").select("path", "content").join(new.select("path", "document_id", F.col("stored").alias("name")), "path")
+        blocks = scratch.saved(office.parse(contents.select("document_id", "name", "content")), "parsed")
         bad = blocks.where("block_type = 'error'")
         sound = blocks.join(bad.select("document_id"), "document_id", "left_anti")
         edges, full = graph.build(sound)
+        full = scratch.saved(full, "blocks")
         profiles, entities = profile.build(sound)
         k = c.chunking
         chunks = chunking.chunk(full, k.text_chunk_chars, k.table_inline_max_chars, k.table_preview_rows, k.table_preview_columns, k.visual_max_chars)
-        chunks = profile.attach(chunks, profiles, entities).cache()
+        chunks = scratch.saved(profile.attach(chunks, profiles, entities), "chunks")
+        own = F.when(F.col("inherited_header").isNotNull(), F.concat(F.array("inherited_header"), "rows")).otherwise(F.col("rows"))
+        large = chunks.where("table_file is not null").select("table_file", F.col("block_ids")[0].alias("block_id")).distinct()
+        workbooks = self.store.write_workbooks(large.join(full.select("block_id", own.alias("rows")), "block_id"))
         meta = new.join(bad.select("document_id"), "document_id", "left_anti").select("document_id", F.col("stored").alias("source_file"), F.col("name").alias("original_name"), F.col("extension").alias("file_type"), "content_hash")
         documents = meta.join(profiles, "document_id", "left")
         self.store.write({"documents": documents, "blocks": full, "chunks": chunks, "entities": entities, "edges": edges})
@@ -108,9 +117,10 @@ class IngestionPipeline(_Pipeline):
         seconds = time.time() - began
         self.store.append("status", self.spark.createDataFrame([(run_id, None, None, "index", "success", None, None, False, seconds * 1000, now)], schema.STATUS))
         counts = {r["stage_status"]: r["count"] for r in evaluation.status_counts(self.store.log("status").where(F.col("run_id") == run_id)).collect()}
-        for df in (checked, new, blocks, chunks):
-            df.unpersist()
-        return {"run_id": run_id, "counts": counts, "stats": stored, "seconds": round(seconds, 2)}
+        self.store.save_parsed(full, run_id)
+        report = {"run_id": run_id, "counts": counts, "stats": stored, "workbooks": workbooks, "seconds": round(seconds, 2)}
+        self.store.write_run(run_id, report | {"inputs": paths, "config": c.to_dict(), "created_at": now})
+        return report
 
     def build_index(self) -> None:
         """Vectors (new texts only are embedded) and postings in a new version, then the switch to it."""
@@ -140,9 +150,9 @@ class IngestionPipeline(_Pipeline):
 class RetrievalAnswerPipeline(_Pipeline):
     """Reads a frozen corpus; with ``frozen=False`` one that still grows."""
 
-    def __init__(self, spark, config=None, embed=None, score=retrieval.token_overlap, generate: Generator = quoting_generator, frozen: bool = True):
+    def __init__(self, spark, config=None, embed=None, score=retrieval.token_overlap, generate: Generator = quoting_generator, planner: Planner | None = None, frozen: bool = True):
         super().__init__(spark, config, embed)
-        self.score, self.generate = score, generate
+        self.score, self.generate, self.planner = score, generate, planner
         if frozen and (wrong := self.store.validate({"embedding_model": self.config.retrieval.dense_model})):
             raise PipelineModeError("; ".join(wrong))
         if self.store.setting("index.model") != self.config.retrieval.dense_model:
@@ -153,8 +163,30 @@ class RetrievalAnswerPipeline(_Pipeline):
             return questions
         return self.spark.createDataFrame(list(enumerate(questions)), "query_id long, query string")
 
-    def retrieve(self, questions: list[str] | DataFrame, filters: dict | None = None, boost: bool = False, top_k: int | None = None) -> DataFrame:
-        """query_id, query, rank, rerank_score, rrf_score, dense_rank, sparse_rank and the chunk's columns."""
+    def plan(self, questions: list[str] | DataFrame) -> DataFrame:
+        """query_id, query, semantic_queries, keyword_query and filters (source_file,
+        sheet_name, chunk_type) of each question, from the planner's JSON; what the
+        question does not support is dropped. Without a planner all are empty."""
+        q, planner = self._questions(questions).select("query_id", "query"), self.planner
+        kind = "semantic_queries array<string>, keyword_query string, source_file string, sheet_name string, content_type string"
+
+        def ask(batches):
+            for b in batches:
+                yield b.assign(plan=[planner(x) for x in b["query"]])
+
+        raw = q.mapInPandas(ask, "query_id long, query string, plan string") if planner else q.withColumn("plan", F.lit("{}"))
+        p = raw.select("query_id", "query", F.from_json(F.to_json(T.parse_json_object("plan")), kind).alias("p")).select("query_id", "query", "p.*")
+        # What is known of the corpus is looked up by the names that were asked for, not sent along.
+        chunks = self.store.table("chunks")
+        p = p.join(chunks.select("source_file", F.col("source_file").alias("file_")).distinct(), "source_file", "left").join(chunks.where("sheet_name <> ''").select("sheet_name", F.col("sheet_name").alias("sheet_")).distinct(), "sheet_name", "left")
+        return retrieval.sanitize_plan(p.withColumns({"known_files": F.array("file_"), "known_sheets": F.array("sheet_")}), self.config.retrieval.max_variants)
+
+    def retrieve(self, questions: list[str] | DataFrame, filters: dict | None = None, boost: bool = False, top_k: int | None = None, plans: DataFrame | None = None) -> DataFrame:
+        """query_id, query, rank, rerank_score, rrf_score, dense_rank, sparse_rank and the chunk's columns.
+
+        ``plans`` (of plan()) add rankings by other wordings and by keywords, and
+        filters for single questions; ``boost`` adds rankings within the documents
+        whose names a question holds."""
         r, q = self.config.retrieval, self._questions(questions)
         chunks = self.store.table("chunks")
         allowed = retrieval.filter_chunks(chunks, filters) if filters else None
@@ -162,23 +194,51 @@ class RetrievalAnswerPipeline(_Pipeline):
         if allowed is not None:
             vectors = vectors.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
             index = bm25.Bm25Index(index.postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), index.terms, index.lengths, index.corpus)
-        asked = dense.encode(q, "query", self.embed, instruction=r.dense_query_instruction).cache()
-        kinds = lambda df, kind: df.select("query_id", F.lit(kind).alias("kind"), "chunk_id", "rank")
-        rankings = kinds(dense.search(vectors, asked, r.dense_top_k), "dense").unionByName(kinds(bm25.search(index, q, r.sparse_top_k), "sparse"))
+        within = None  # (query_id, chunk_id) of questions with filters of their own
+        worded = q.select("query_id", F.lit(0).alias("v"), "query")
+        keywords = worded.limit(0)
+        if plans is not None:
+            plans = scratch.saved(plans, "plans")
+            worded = plans.select("query_id", F.posexplode(retrieval.variants(F.col("query"), F.col("semantic_queries"))).alias("v", "query"))
+            keywords = plans.where("keyword_query is not null").select("query_id", F.lit(-1).alias("v"), F.col("keyword_query").alias("query"))
+            narrow = plans.where(F.coalesce("source_file", "sheet_name", "chunk_type").isNotNull()).select("query_id", *[F.col(c).alias(f"want_{c}") for c in PLAN_FILTERS])
+            within = scratch.saved(_within(narrow, chunks), "within")
+            worded = worded.join(narrow.select("query_id", F.lit(True).alias("narrow")), "query_id", "left")
+        else:
+            worded = worded.withColumn("narrow", F.lit(None).cast("boolean"))
+        # Each wording is a search of its own; its key leads back to the question.
+        key = F.concat_ws("|", "query_id", "v")
+        asked = scratch.saved(dense.encode(worded.withColumn("key", key), "query", self.embed, instruction=r.dense_query_instruction), "asked")
+        back = asked.select("query_id", "key", "narrow").unionByName(keywords.select("query_id", key.alias("key"), F.lit(None).cast("boolean").alias("narrow")))
+        kinds = lambda df, kind: df.withColumnRenamed("query_id", "key").join(back, "key").select("query_id", F.lit(kind).alias("kind"), "chunk_id", "rank")
+        texts = asked.select(F.col("key").alias("query_id"), "query", "narrow").unionByName(keywords.select(key.alias("query_id"), "query", F.lit(None).cast("boolean").alias("narrow")))
+        free = asked.where("narrow is null").select(F.col("key").alias("query_id"), "vector")
+        rankings = kinds(dense.search(vectors, free, r.dense_top_k), "dense").unionByName(kinds(bm25.search(index, texts.where("narrow is null"), r.sparse_top_k), "sparse"))
+
+        def inside(pairs: DataFrame, some: DataFrame) -> DataFrame:
+            """Both rankings of some (query_id, key, query, vector) within pairs (query_id, chunk_id)."""
+            keyed = pairs.join(some.select("query_id", "key"), "query_id").select(F.col("key").alias("query_id"), "chunk_id")
+            sparse = bm25.search(index, some.select(F.col("key").alias("query_id"), "query"), r.sparse_top_k, keyed)
+            near = keyed.join(vectors, "chunk_id").join(some.select(F.col("key").alias("query_id"), F.col("vector").alias("v")), "query_id")
+            order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "chunk_id"))
+            near = near.withColumn("s", F.round(dense.cosine(F.col("vector"), F.col("v")), 12)).withColumn("rank", order).where(F.col("rank") <= r.dense_top_k)
+            return kinds(sparse, "sparse").unionByName(kinds(near, "dense"))
+
+        if within is not None:
+            rankings = rankings.unionByName(inside(within, asked.where("narrow")))
         if boost and r.entity_boost and "document_id" not in (filters or {}):
             named = retrieval.match_entities(q, self.store.table("entities").select("document_id", "canonical", F.col("key").alias("norm_key"))).select("query_id", "document_id").distinct()
             about = named.join(chunks.select("document_id", "chunk_id"), "document_id").select("query_id", "chunk_id")
-            rankings = rankings.unionByName(kinds(bm25.search(index, q, r.sparse_top_k, about), "sparse"))
-            near = about.join(vectors, "chunk_id").join(asked.select("query_id", F.col("vector").alias("v")), "query_id")
-            order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "chunk_id"))
-            rankings = rankings.unionByName(kinds(near.withColumn("s", F.round(dense.cosine(F.col("vector"), F.col("v")), 12)).withColumn("rank", order).where(F.col("rank") <= r.dense_top_k), "dense"))
+            rankings = rankings.unionByName(inside(about, asked.where("v = 0 and narrow is null")))
         hits = retrieval.look_up(retrieval.fuse(rankings, r.fused_top_k, r.rrf_k), chunks).join(q.select("query_id", "query"), "query_id")
         return retrieval.rerank(hits, self.score if r.reranker_enabled else None, top_k or r.rerank_top_k)
 
     def ask(self, questions: list[str] | DataFrame, filters: dict | None = None) -> list[dict]:
-        """An answer for each question of a bounded batch, with citations and warnings."""
+        """An answer for each question of a bounded batch, with citations and
+        warnings. The batch is retrieved, computed and checked as a whole; only the
+        generator is called question by question."""
         g, r, q = self.config.guardrails, self.config.retrieval, self._questions(questions)
-        hits = self.retrieve(q, filters, boost=True).cache()
+        hits = scratch.saved(self.retrieve(q, filters, boost=True, plans=self.plan(q) if self.planner else None), "hits")
         seen = q.join(hits.drop("query"), "query_id", "left")
         gate = {x["query_id"]: x for x in retrieval.confidence(seen, g.min_rerank_score, g.min_rrf_score, r.reranker_enabled, g.enabled).collect()}
         blocks = self.store.table("blocks")
@@ -188,51 +248,97 @@ class RetrievalAnswerPipeline(_Pipeline):
             by_query.setdefault(c["query_id"], []).append(c)
         computed = {}
         if self.config.generation.compute:
-            ids = hits.where("chunk_type in ('table', 'kpi')").select("query_id", F.explode("block_ids").alias("block_id"))
-            for qid, text in [(x["query_id"], x["query"]) for x in q.collect()]:
-                tables = blocks.join(ids.where(F.col("query_id") == qid).select("block_id").distinct(), "block_id", "left_semi")
-                one = compute.compute(self.spark.createDataFrame([(qid, text)], "query_id long, query string"), tables).first()
-                if one:
-                    computed[qid] = one
-        out = []
+            tables = scratch.saved(hits.where("chunk_type in ('table', 'kpi')").select("query_id", F.explode("block_ids").alias("block_id")).distinct(), "tables")
+            for x in compute.compute(q, blocks.join(tables, "block_id", "left_semi"), tables).collect():
+                computed[x["query_id"]] = x
+        out, rows = {}, []
         for x in q.collect():
-            qid, found, sum_ = x["query_id"], by_query.get(x["query_id"], []), computed.get(x["query_id"])
+            qid, sum_ = x["query_id"], computed.get(x["query_id"])
             if not gate[qid]["ok"] and not sum_:
-                out.append({"query_id": qid, "answer": REFUSAL, "citations": [], "refused": True, "reason": gate[qid]["reason"]})
+                out[qid] = {"query_id": qid, "answer": REFUSAL, "citations": [], "refused": True, "reason": gate[qid]["reason"]}
                 continue
-            parts = [(f"SOURCE_{len(found) + 1}", f"{sum_['operation'].upper()}({sum_['column']}) = {sum_['value']:g}", f"[{sum_['block_id']}]")] if sum_ else []
-            parts += [(c["source_id"], c["content"], c["citation"]) for c in found]
-            prompt, used, known = [], 0, {}
-            for source, content, cite in parts:
-                part = f"[{source}]\ncontent:\n{content}"
-                if used + len(part) > self.config.generation.max_context_chars:
-                    break
-                prompt.append(part)
-                used += len(part)
-                known[source] = cite
-            raw = self.generate("Trả lời bằng JSON {answer, source_ids}, chỉ dựa vào ngữ cảnh.", "NGỮ CẢNH:\n\n" + "\n\n---\n\n".join(prompt) + f"\n\nCÂU HỎI:\n{x['query']}")
-            try:
-                parsed = json.loads(raw[raw.index("{") : raw.rindex("}") + 1])
-                answer, ids = str(parsed.get("answer", "")), [str(i).strip("[] ") for i in parsed.get("source_ids") or []]
-            except ValueError:
-                answer, ids = raw.strip(), []
-            row = self.spark.createDataFrame([(qid, answer, ids, known, "\n\n".join(prompt), x["query"])], "query_id long, answer string, declared array<string>, known map<string,string>, context string, query string")
-            row = context.answer_sources(row).withColumns({"unsupported_numbers": T.unsupported_numbers("answer", "context"), "injection": T.detect_injection("query")}).drop("known", "context", "declared").first().asDict()
-            out.append(row | {"reason": gate[qid]["reason"], "computed": sum_.asDict(recursive=True) if sum_ else None})
-        self._trace(out)
-        hits.unpersist()
-        return out
+            prompt, known = self._prompt(by_query.get(qid, []), sum_)
+            answer, ids = _parse_answer(self.generate(prompts.ANSWER_SYSTEM, prompts.answer(prompt, x["query"])))
+            rows.append((qid, answer, ids, known, "\n\n".join(prompt), x["query"]))
+            out[qid] = {"reason": gate[qid]["reason"], "computed": sum_.asDict(recursive=True) if sum_ else None}
+        if rows:
+            df = self.spark.createDataFrame(rows, "query_id long, answer string, declared array<string>, known map<string,string>, context string, query string")
+            df = context.answer_sources(df).withColumns({"unsupported_numbers": T.unsupported_numbers("answer", "context"), "injection": T.detect_injection("query")})
+            for x in df.drop("known", "context", "declared").collect():
+                out[x["query_id"]] = x.asDict() | out[x["query_id"]]
+        answers = list(out.values())
+        self._trace(answers)
+        return answers
+
+    def _prompt(self, found: list, sum_) -> tuple[list[str], dict[str, str]]:
+        """The sources that fit the budget, a computed value first, and their citations."""
+        parts = [(f"SOURCE_{len(found) + 1}", f"{sum_['operation'].upper()}({sum_['column']}) = {sum_['value']:g}", f"[{sum_['block_id']}]")] if sum_ else []
+        parts += [(c["source_id"], c["content"], c["citation"]) for c in found]
+        shown, used, known = [], 0, {}
+        for source, content, cite in parts:
+            part = f"[{source}]\ncontent:\n{content}"
+            used += len(part)
+            if used > self.config.generation.max_context_chars:
+                break
+            shown.append(part)
+            known[source] = cite
+        return shown, known
 
     def _trace(self, answers: list[dict]) -> None:
         df = self.spark.createDataFrame([(uuid.uuid4().hex, json.dumps(a, ensure_ascii=False, default=str)) for a in answers], "trace_id string, record string")
         masked = T.mask_pii("record") if self.config.guardrails.mask_pii else F.col("record")
         df.select("trace_id", F.lit(dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")).alias("timestamp"), masked.alias("record")).coalesce(1).write.mode("append").json(str(Path(self.config.work_dir).parent / "traces"))
 
-    def evaluate(self, dataset: str, ks: tuple[int, ...] = (5, 10)) -> dict:
-        """Retrieval figures over a dataset of JSON lines, without boosts."""
-        items = jsonl.load_dataset(self.spark, dataset).withColumn("query_id", F.monotonically_increasing_id())
-        items = items.where(~evaluation.expects_no_answer()).drop("sheet_name")
-        hits = self.retrieve(items.select("query_id", F.col("question").alias("query")), top_k=max(ks)).select("query_id", "rank", "block_ids", "source_file", "page_start", "page_end", "sheet_name", "cell_range", "section_path")
-        results = items.join(hits, "query_id", "left").withColumn("matched", evaluation.hit_matches()).cache()
+    def evaluate(self, dataset: str, ks: tuple[int, ...] = (5, 10), answers: bool = False, report_file: str | None = None) -> dict:
+        """Figures over a dataset of JSON lines, without boosts; with ``answers`` each
+        question is asked as well. The report is also written as JSON."""
+        items = scratch.saved(jsonl.load_dataset(self.spark, dataset).withColumn("query_id", F.monotonically_increasing_id()), "items")
+        wanted = items.where(~evaluation.expects_no_answer()).drop("sheet_name")
+        hits = self.retrieve(wanted.select("query_id", F.col("question").alias("query")), top_k=max(ks)).select("query_id", "rank", "block_ids", "source_file", "page_start", "page_end", "sheet_name", "cell_range", "section_path")
+        results = scratch.saved(wanted.join(hits, "query_id", "left").withColumn("matched", evaluation.hit_matches()), "results")
         report = evaluation.retrieval_metrics(results, ks).first().asDict()
-        return report | {"hit_rate_by_content_type": {r["content_type"]: r["hit_rate"] for r in evaluation.hit_rate_by_type(results, max(ks)).collect()}, "block_coverage": evaluation.block_coverage(results, max(ks)).first()[0]}
+        report |= {"hit_rate_by_content_type": {r["content_type"]: r["hit_rate"] for r in evaluation.hit_rate_by_type(results, max(ks)).collect()}, "block_coverage": evaluation.block_coverage(results, max(ks)).first()[0]}
+        report |= evaluation.operational(self.store.log("status"), self.store.stats()["chunks"]).first().asDict()
+        if answers:
+            report |= self._evaluate_answers(items)
+        out = Path(report_file or Path(self.config.work_dir).parent / "evaluation" / "report.json")
+        out.parent.mkdir(parents=True, exist_ok=True)
+        out.write_text(json.dumps(report, ensure_ascii=False, indent=1))
+        return report
+
+    def _evaluate_answers(self, items: DataFrame) -> dict:
+        asked = self.ask(items.select("query_id", F.col("question").alias("query")))
+        rows = [(a["query_id"], a["answer"], list(a["citations"] or []), bool(a.get("citation_valid")), len(a.get("unsupported_numbers") or []), bool(a["refused"])) for a in asked]
+        given = self.spark.createDataFrame(rows, "query_id long, answer string, citations array<string>, citation_valid boolean, unsupported int, refused boolean")
+        place = F.col("expected_location")
+        judged = items.join(given, "query_id").withColumns(
+            {
+                "expects_no_answer": evaluation.expects_no_answer(),
+                "correct": evaluation.answer_correct("answer", "expected_answer"),
+                "citation_correct": evaluation.citation_correct(F.col("citations"), F.col("expected_document"), place["page"], place["sheet_name"]),
+            }
+        )
+        judged = scratch.saved(judged.select("category", "expected_answer", "expects_no_answer", "correct", "citation_correct", "citation_valid", "unsupported", "refused"), "judged")
+        return evaluation.answer_metrics(judged).first().asDict() | {"by_category": {r["category"]: [r["count"], r["correct"]] for r in evaluation.by_category(judged).collect()}}
+
+
+def _within(narrow: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id) of the chunks that meet a question's filters (want_...):
+    an equi-join on the first filter that a question has, the others checked after."""
+    out, left = None, narrow
+    for c in PLAN_FILTERS:
+        met = left.where(F.col(f"want_{c}").isNotNull()).join(chunks.select("chunk_id", *PLAN_FILTERS), F.col(f"want_{c}") == F.col(c))
+        for other in PLAN_FILTERS:
+            met = met.where(F.col(f"want_{other}").isNull() | (F.col(f"want_{other}") == F.col(other)))
+        met, left = met.select("query_id", "chunk_id"), left.where(F.col(f"want_{c}").isNull())
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def _parse_answer(raw: str) -> tuple[str, list[str]]:
+    """(answer, source ids) of a generator's output: its JSON object, else the text as it is."""
+    try:
+        parsed = json.loads(raw[raw.index("{") : raw.rindex("}") + 1])
+        return str(parsed.get("answer", "")), [str(i).strip("[] ") for i in parsed.get("source_ids") or []]
+    except (ValueError, AttributeError):
+        return raw.strip(), []

@@ -35,6 +35,7 @@ class Retrieval:
     rrf_k: int = 60
     reranker_enabled: bool = True
     entity_boost: bool = True
+    max_variants: int = 2
     expand_relationships: bool = True
     max_related_blocks: int = 6
     neighbor_chunks: int = 1

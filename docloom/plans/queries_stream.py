@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from docloom import scratch
 from docloom.plans.queries_text import read
 from docloom.plans.registry import query
 from docloom.streaming import correction
 
 
-def _scratch(spark) -> str:
-    """A folder that driver and executors share: below spark.checkpoint.dir where it is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root and root.startswith("file:"):
-        return tempfile.mkdtemp(prefix="docloom-stream-", dir="/" + root[5:].lstrip("/"))
-    if root:
-        import uuid
-
-        return f"{root}/docloom-stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="docloom-stream-")
-
-
 @query("stream_ordered_correction")
 def stream_ordered_correction(spark, sf_dir):
     """All turns of conversations, fed out of order over several micro-batches; the
@@ -32,7 +19,7 @@ def stream_ordered_correction(spark, sf_dir):
     from pyspark.sql import Window
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    base = _scratch(spark)
+    base = scratch.path(spark, "stream")
     c = read(spark, sf_dir, "conversations").withColumn("index", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("int"))
     rows = c.select(F.col("conv_id").cast("string").alias("document_id"), F.lit(1).alias("generation"), "index", F.lit("text").alias("label"), F.col("text").alias("raw_text"))
     rows.repartitionByRange(3, F.desc("index")).write.parquet(f"{base}/in")  # later turns come first

@@ -26,7 +26,8 @@ from docloom import schema
 
 SCHEMA_VERSION = 2
 TABLES = ["documents", "blocks", "chunks", "entities", "keywords", "edges"]
-DELETE_KEEPS = ["status", "embedding_cache"]
+LOGS = ["status", "embedding_cache"]
+INDEX_PARTS = ["vectors", "bm25/postings", "bm25/terms", "bm25/lengths", "bm25/corpus"]
 
 
 def bucket(document_id: Column, buckets: int) -> Column:
@@ -140,6 +141,37 @@ class Store:
                 if version.is_dir() and not any(p.startswith(f"{name}/{version.name}/") for p in used):
                     shutil.rmtree(version)
 
+    # ------------------------------------------------------------- artifacts
+
+    def write_workbooks(self, tables: DataFrame) -> int:
+        """A workbook below the corpus for each row of tables (table_file, rows),
+        written where the rows lie; each appears whole, by a rename. Returns their number."""
+        root = str(self.root)
+
+        def write(batches):
+            for b in batches:
+                for file, rows in zip(b.table_file, b["rows"], strict=True):
+                    out = Path(root) / file
+                    out.parent.mkdir(parents=True, exist_ok=True)
+                    mine = out.with_name(f".{uuid.uuid4().hex}")
+                    write_workbook([list(r) for r in rows], str(mine))
+                    os.replace(mine, out)
+                yield b[["table_file"]]
+
+        return tables.select("table_file", "rows").mapInPandas(write, "table_file string").count()
+
+    def save_parsed(self, blocks: DataFrame, run_id: str) -> None:
+        """One JSON object a document, a line each: document_id and its blocks in reading order."""
+        block = F.struct("reading_order", *[c for c in blocks.columns if c not in ("document_id", "reading_order")])
+        blocks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.to_json(block))).alias("blocks")).write.json(str(self.root / "parsed" / run_id))
+
+    def write_run(self, run_id: str, report: dict) -> str:
+        """The run's manifest: what was asked, what came of it."""
+        out = self.root / "runs" / f"{run_id}.json"
+        out.parent.mkdir(exist_ok=True)
+        out.write_text(json.dumps(report, ensure_ascii=False, indent=1, default=str))
+        return str(out)
+
     # --------------------------------------------------------------- corpus
 
     def stats(self) -> dict[str, int]:
@@ -164,6 +196,8 @@ class Store:
         if not m["frozen"] or "corpus" not in m:
             return [*wrong, "not frozen"]
         wrong += [f"missing {p}" for parts in m["tables"].values() for p in parts.values() if not (self.root / p).exists()]
+        if version := m["settings"].get("index.version"):
+            wrong += [f"missing {version}/{p}" for p in INDEX_PARTS if not (self.root / version / p / "_SUCCESS").exists()]
         if not wrong and (now := self.stats()) != m["corpus"]["stats"]:
             wrong.append(f"row counts {now} instead of {m['corpus']['stats']}")
         for k, v in (contract or {}).items():
@@ -174,7 +208,8 @@ class Store:
     # --------------------------------------------------------------- bundle
 
     def export(self, target: str) -> str:
-        """A ZIP of the frozen corpus with an inventory of SHA-256 sums; outside of the corpus folder."""
+        """A ZIP of the frozen corpus (tables, index, logs, workbooks) with an inventory
+        of SHA-256 sums; outside of the corpus folder."""
         if wrong := self.validate():
             raise ValueError("; ".join(wrong))
         out = Path(target).resolve()
@@ -182,7 +217,9 @@ class Store:
             raise ValueError("the bundle must lie outside of the corpus")
         m = self.manifest
         used = [f for parts in m["tables"].values() for p in parts.values() for f in sorted((self.root / p).rglob("*.parquet"))]
-        files = [self.root / "manifest.json", *used]
+        folders = [*LOGS, "tables", *([version] if (version := m["settings"].get("index.version")) else [])]
+        beside = [f for d in folders for f in sorted((self.root / d).rglob("*")) if f.is_file() and not f.name.endswith(".crc")]
+        files = [self.root / "manifest.json", *used, *beside]
         inventory = {str(f.relative_to(self.root)): _sha256(f) for f in files}
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for f in files:

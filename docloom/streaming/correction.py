@@ -6,24 +6,33 @@ next index, the tail of the last corrected text and the spellings seen so far. A
 row of a newer generation starts the document anew; rows of an older one are
 dropped and counted. A corrector that fails, or whose output fails validation,
 leaves the raw text in place.
+
+A row with the label END closes a document at its index: what is still missing before
+it is given up and what waits goes out in order. A row with the label ABORT throws
+away all that waits of its generation; later rows of it are dropped.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from docloom.functions import prompts
 from docloom.functions.splitters import split_segments_py
 
 Corrector = Callable[[str, str], str]
 
 #: Labels that are corrected, sizes.
 LABELS = ["doc_title", "paragraph_title", "text", "caption"]
+#: Labels of rows that end a document.
+END, ABORT = "<end>", "<abort>"
 PREVIOUS_CHARS, SEGMENT_CHARS = 600, 1200
 
 INPUT = "document_id string, generation int, index int, label string, raw_text string"
@@ -74,34 +83,44 @@ class OrderedCorrection(StatefulProcessor):
         self.corrector, self.labels = corrector, labels
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "generation int, next int, tail string, dropped long")
+        self.state = handle.getValueState("state", "generation int, next int, tail string, dropped long, closed boolean")
         self.waiting = handle.getMapState("waiting", "index int", "row string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        generation, at, tail, dropped = self.state.get() if self.state.exists() else (0, 0, "", 0)
+        generation, at, tail, dropped, closed = self.state.get() if self.state.exists() else (0, 0, "", 0, False)
+        end = None
         for frame in rows:
             for r in frame.sort_values(["generation", "index"]).itertuples(index=False):
-                if r.generation < generation:
-                    dropped += 1
-                    continue
                 if r.generation > generation:
-                    generation, at, tail = r.generation, 0, ""
+                    generation, at, tail, closed, end = r.generation, 0, "", False, None
+                    self.waiting.clear()
+                if r.generation < generation or closed:
+                    dropped += 1
+                elif r.label == ABORT:
+                    closed = True
                     self.waiting.clear()
-                if r.index >= at:  # earlier ones are done already
+                elif r.label == END:
+                    end = int(r.index)
+                elif r.index >= at:  # earlier ones are done already
                     self.waiting.updateValue((int(r.index),), (json.dumps([r.label, r.raw_text]),))
+        order = sorted(k for (k,) in self.waiting.keys() if k < end) if end is not None and not closed else itertools.takewhile(lambda k: self.waiting.containsKey((k,)), itertools.count(at))
         out = []
-        while self.waiting.containsKey((at,)):
+        for at in order:
             label, raw = json.loads(self.waiting.getValue((at,))[0])
             self.waiting.removeKey((at,))
             previous = tail
+            content, status = raw, "skipped"
             if label in self.labels:
-                content, status = correct_text(raw or "", previous, self.corrector)
-                tail = tail_py(content, PREVIOUS_CHARS)
-            else:
-                content, status = raw, "skipped"
+                if (raw or "").strip():
+                    content, status = correct_text(raw, previous, self.corrector)
+                tail = tail_py(content or "", PREVIOUS_CHARS)
             out.append((key[0], generation, at, label, content, raw, previous, status))
-            at += 1
-        self.state.update((generation, at, tail, dropped))
+        if out:
+            at = out[-1][2] + 1
+        if end is not None and not closed:
+            at, closed = max(at, end), True
+            self.waiting.clear()
+        self.state.update((generation, at, tail, dropped, closed))
         if out:
             yield pd.DataFrame(out, columns=["document_id", "generation", "index", "label", "content", "content_raw", "previous", "status"])
 
@@ -109,9 +128,48 @@ class OrderedCorrection(StatefulProcessor):
         pass
 
 
+def json_corrector(generate: Callable[[str, str], str], most: int = prompts.MAX_CORRECTION_CHARS) -> Corrector:
+    """A corrector made of a text generator: a prompt of at most ``most`` characters,
+    an output that must be one JSON object with the one string corrected_text. All
+    else raises, which leaves the text as it is."""
+
+    def run(text: str, previous: str) -> str:
+        prompt = prompts.correction_py(text, previous)
+        if len(prompt) > most:
+            raise ValueError("the passage is too long for one prompt")
+        out = generate(prompts.CORRECTION_SYSTEM, prompt).strip().removeprefix("```json").removeprefix("```").removesuffix("```")
+        made = json.loads(out)
+        if not isinstance(made, dict) or list(made) != ["corrected_text"] or not isinstance(made["corrected_text"], str):
+            raise ValueError("the output is not {corrected_text}")
+        return made["corrected_text"]
+
+    return run
+
+
+def correct_tables(tables: DataFrame, corrector: Corrector) -> DataFrame:
+    """tables (document_id, block_id, rows) with corrected cells: cells that hold
+    letters are corrected one by one, and a change counts only if it is sound()."""
+
+    def cell(text: str) -> str:
+        if not any(map(str.isalpha, text or "")):
+            return text
+        try:
+            new = corrector(text, "")
+        except Exception:  # as with texts
+            return text
+        return new if sound(text, new) else text
+
+    @F.pandas_udf("array<array<string>>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: None if t is None else [[cell(c) for c in r] for r in t])
+
+    return tables.withColumn("rows", run("rows"))
+
+
 def correct(components: DataFrame, corrector: Corrector, labels: list[str] | None = None) -> DataFrame:
     """Corrected components, each after the one before it. components: INPUT, a
     stream (with the RocksDB state store) or a batch."""
+    _ = components.sparkSession.streams  # a batch needs the coordinator of state stores, too
     return components.groupBy("document_id").transformWithStateInPandas(OrderedCorrection(corrector, labels or LABELS), OUTPUT, "Append", "None")
 
 

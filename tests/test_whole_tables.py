@@ -49,11 +49,14 @@ def test_all_turns_are_corrected(spark, tmp_path, fixture):
 
 def test_interval_overlap_of_all_rows(spark):
     span: dict[tuple, list] = {}
-    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_linenumber", "l_shipdate").collect():
-        span.setdefault((r.l_suppkey, r.l_linenumber), []).append(r.l_shipdate)
-    want = {(s, n, m) for s, n in span for t, m in span if s == t and n < m and min(span[s, n]) <= max(span[t, m]) and min(span[t, m]) <= max(span[s, n])}
+    rows: dict[tuple, int] = {}
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_linenumber", "l_orderkey", "l_partkey").collect():
+        key = r.l_suppkey, r.l_linenumber
+        span.setdefault(key, []).append(r.l_orderkey)
+        rows[key] = min(rows.get(key, r.l_partkey), r.l_partkey)
+    want = {(s, n, m) for s, n in span for t, m in span if s == t and min(span[t, m]) <= rows[s, n] <= max(span[t, m])}
     got = catalog.queries()["interval_overlap"](spark, SF).collect()
-    assert len(got) == len(want) and {(r.l_suppkey, r.n1, r.n2) for r in got} == want
+    assert len(got) == len(want) and {(r.l_suppkey, r.chart, r.source) for r in got} == want
 
 
 def test_outside_tables_of_all_rows(spark):
