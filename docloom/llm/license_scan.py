@@ -79,8 +79,15 @@ def gate_words(keywords: list[str]) -> list[str]:
     return out
 
 
-def _whole(word: str) -> str:
-    return rf"(?<![0-9a-z]){re.escape(word)}(?![0-9a-z])" if word in WHOLE else re.escape(word)
+class Gate:
+    """Whether a text, in lower-case bytes, holds one of some words; those of WHOLE by themselves."""
+
+    def __init__(self, words: list[str]):
+        self.anywhere = [w.encode() for w in words if w not in WHOLE]
+        self.whole = [(w.encode(), re.compile(rf"(?<![0-9a-z]){re.escape(w)}(?![0-9a-z])".encode())) for w in words if w in WHOLE]
+
+    def __call__(self, low: bytes) -> bool:
+        return any(w in low for w in self.anywhere) or any(w in low and p.search(low) for w, p in self.whole)
 
 
 class Scanner:
@@ -95,7 +102,7 @@ class Scanner:
         for word, ks in by_word.items():
             self.automaton.add_word(word, (len(word) if word in WHOLE else 0, ks))
         self.automaton.make_automaton()
-        self.gate = "|".join(map(_whole, gate_words(list(by_word))))
+        self.gate = gate_words(list(by_word))
 
     def ready(self, text: str) -> list[int]:
         """The rules whose keyword stands in a lower-case text."""
@@ -149,10 +156,9 @@ _IN = rb"[0-9a-z\x80-\xff]"
 
 
 @lru_cache(maxsize=16)
-def _gate(base: tuple) -> re.Pattern:
+def _gate(base: tuple) -> Gate:
     """Any detection at all: of a rule, or of a base phrase, which holds its longest word."""
-    words = [max(p.split(" "), key=len) for p, _ in base]
-    return re.compile("|".join([scanner().gate, *(_whole(w) if w in WHOLE else re.escape(w) for w in words)]).encode())
+    return Gate(list(dict.fromkeys([*scanner().gate, *(max(p.split(" "), key=len) for p, _ in base)])))
 
 
 def base_places(low: bytes, base: list[tuple[str, str]]) -> list[tuple[int, str]]:
@@ -184,13 +190,13 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, id_col: str = "doc
             cols = list(zip(*rows, strict=True))
             yield common.record(FOUND, doc_id=b["doc_id"], **{f.name: c for f, c in zip(list(FOUND)[1:], cols, strict=True)})
 
-    def one(text: str, gate: re.Pattern) -> tuple:
+    def one(text: str, gate: Gate) -> tuple:
         low = text.encode("utf-8", "replace").lower()
         is_word = _WORD[np.frombuffer(low, np.uint8)]
         starts = is_word.copy()
         starts[1:] &= ~is_word[:-1]
         n_words = int(np.count_nonzero(starts))
-        if not gate.search(low):
+        if not gate(low):
             return n_words, 0, None, None, "", "", 0.0, []
         places = base_places(low, base)
         spans = scanner()(low.decode("utf-8", "replace"))
