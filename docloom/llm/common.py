@@ -86,12 +86,12 @@ def saved(df: DataFrame, what: str, light: bool = False) -> DataFrame:
     return saved_map(df, lambda batches: batches, df.schema, what)
 
 
-def saved_map(df: DataFrame, run, schema, what: str, after=None) -> DataFrame:
-    """The written table of map_arrow(df, run, schema). The Python workers write it
-    themselves, so that what Python has made need not go through the JVM. A task
-    names its file in its result; only named files are committed, so a lost or
-    repeated attempt leaves nothing that is read."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, what)
+def saved_map(df: DataFrame, run, schema, what: str, after=None, path: str | None = None) -> DataFrame:
+    """The written table of map_arrow(df, run, schema), at ``path`` or a new one. The
+    Python workers write it themselves, so that what Python has made need not go
+    through the JVM. A task names its file in its result; only named files are
+    committed, so a lost or repeated attempt leaves nothing that is read."""
+    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, what)
     _folder(spark, path)
 
     def write(batches):
@@ -171,6 +171,12 @@ def _at_exit() -> None:
         _made.clear()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove one scratch table that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def open_fs(uri: str):
     """(pyarrow filesystem, path) of a shared folder's URI, for code in map tasks."""
     from pyarrow import fs

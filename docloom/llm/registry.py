@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import ann, binary_output, bpe, exact_dedup, license_scan, near_dedup, packing, quality, token_counts, url_filter
+from docloom.llm import ann, binary_output, bpe, exact_dedup, license_scan, near_dedup, packing, quality, token_counts, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -17,10 +17,12 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op6_exact_dedup": exact_dedup.ORACLE,
+        "op11_vector_codes": vector_codes.ORACLE,
     }
