@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import ann, binary_output, bpe, exact_dedup, license_scan, near_dedup, packing, quality, token_counts, url_filter, vector_codes, whitening
+from docloom.llm import ann, binary_output, bpe, exact_dedup, license_scan, near_dedup, packing, personal_data, quality, token_counts, url_filter, vector_codes, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_url_filter": url_filter.op10_url_filter,
         "op11_vector_codes": vector_codes.op11_vector_codes,
         "op12_whitening": whitening.op12_whitening,
+        "op13_personal_data": personal_data.op13_personal_data,
     }
 
 
