@@ -65,11 +65,13 @@ def scores(index: Bm25Index, queries: DataFrame, allowed: DataFrame | None = Non
     """(query_id, chunk_id, score) of all chunks with a query term. Query terms
     count as often as they occur. allowed: (query_id, chunk_id) to keep, joined before scoring."""
     q = queries.select("query_id", F.explode(T.tokenize("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    q = q.join(index.terms.select("term", "idf"), "term")
-    hits = index.postings.join(q, "term")
+    q = scratch.saved(q.join(index.terms.select("term", "idf"), "term"), "weights")
+    # Lengths come before the queries do: so the smaller side is dealt by chunk, and
+    # where the queries' terms are few, nothing of the product is shuffled.
+    hits = index.postings.join(q.select("term").distinct(), "term", "left_semi").join(index.lengths, "chunk_id").join(q, "term")
     if allowed is not None:
         hits = hits.join(allowed, ["query_id", "chunk_id"], "left_semi")
-    hits = hits.join(index.lengths, "chunk_id").join(F.broadcast(index.corpus), how="cross")
+    hits = hits.join(F.broadcast(index.corpus), how="cross")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 

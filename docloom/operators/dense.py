@@ -6,11 +6,11 @@ the deterministic stand-in where no model is at hand."""
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,47 +83,91 @@ def cosine(a: Column, b: Column) -> Column:
 SLICE_ROWS = 1024
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 30, block: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 30, block: int = 4096, vector_block: int = 65_536) -> DataFrame:
     """query_id, chunk_id, score, rank: exact cosine search of all queries
-    (query_id, vector) over all vectors (chunk_id, vector), ties by chunk_id.
-    Queries go in blocks of bounded size, each against all vectors; a task keeps
-    its own k best of a block before anything is shuffled. For large corpora use
-    an approximate index."""
+    (query_id, vector) over all vectors (chunk_id, vector), ties by chunk_id; rows
+    without a vector take no part. Up to ``block`` queries go to the tasks that read
+    the vectors, which are not shuffled then. More are dealt into blocks of that size,
+    vectors into blocks of ``vector_block``, and each pair of blocks meets in a cell of
+    its own. A task or cell keeps its k best for each query, so what is merged grows
+    with queries and blocks, not with pairs. For large corpora use an approximate index."""
     kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kind}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
-    slim, found = vectors.select("chunk_id", "vector"), None
-    rows = queries.select("query_id", "vector").toLocalIterator()
-    while q := [(r["query_id"], np.asarray(r["vector"], np.float64)) for r in itertools.islice(rows, block)]:
-        part = slim.mapInPandas(_scan([i for i, _ in q], np.stack([v / (np.linalg.norm(v) or 1) for _, v in q]), k), schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = slim.limit(0).mapInPandas(lambda batches: iter(()), schema)
+    vectors, queries = (df.select(i, "vector").where("vector is not null") for df, i in ((vectors, "chunk_id"), (queries, "query_id")))
+    rows = queries.limit(block + 1).collect()
+    if len(rows) <= block:
+        found = vectors.mapInPandas(_scan([r["query_id"] for r in rows], _unit(np.array([r["vector"] for r in rows], np.float64)), k), schema) if rows else vectors.limit(0).mapInPandas(lambda batches: iter(()), schema)
+    else:
+        found = _grid(vectors, queries, k, block, vector_block, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _grid(vectors: DataFrame, queries: DataFrame, k: int, block: int, vector_block: int, schema: str) -> DataFrame:
+    """The k best of each pair of a block of queries and a block of vectors. Blocks are
+    dealt by a hash of the id, so none holds much more than its share."""
+    down, across = (max(1, -(-df.count() // size)) for df, size in ((vectors, vector_block), (queries, block)))
+    dealt = lambda df, i, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64(i), F.lit(n)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
+    left, right = dealt(vectors, "chunk_id", "v_", down, "q_", across), dealt(queries, "query_id", "q_", across, "v_", down)
+
+    def cell(some: pa.Table, asked: pa.Table) -> pa.Table:
+        best = _Best(_unit(_matrix(asked["vector"])), k)
+        ids = some["chunk_id"].to_numpy()
+        x = _matrix(some["vector"])
+        for at in range(0, len(ids) if len(asked) else 0, SLICE_ROWS):
+            best.add(ids[at : at + SLICE_ROWS], x[at : at + SLICE_ROWS])
+        i, chunk, score = best.result()
+        return pa.table({"query_id": asked["query_id"].take(pa.array(i)), "chunk_id": pa.array(chunk, some.schema.field("chunk_id").type), "score": pa.array(score, pa.float64())})
+
+    return left.groupBy("v_", "q_").cogroup(right.groupBy("v_", "q_")).applyInArrow(cell, schema)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if len(x) else x
+
+
+class _Best:
+    """The k best of the vectors seen so far, for each row of a matrix of unit queries."""
+
+    def __init__(self, matrix: np.ndarray, k: int):
+        self.matrix, self.k = matrix, k
+        self.least = np.full(len(matrix), -np.inf)  # what a score must reach to be among the k best
+        self.best = pd.DataFrame({"i": [], "chunk_id": [], "score": [], "near": []})
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        s, k = self.matrix @ _unit(x).T, self.k
+        near = s.round(12)
+        if near.shape[1] >= k:
+            self.least = np.maximum(self.least, np.partition(near, -k, axis=1)[:, -k])
+        i, j = np.nonzero(near >= self.least[:, None])
+        new = pd.DataFrame({"i": i, "chunk_id": ids[j], "score": s[i, j], "near": near[i, j]})
+        best = pd.concat([self.best, new]) if len(self.best) else new
+        self.best = best.sort_values(["near", "chunk_id"], ascending=[False, True]).groupby("i", sort=False).head(k)
+        full = self.best.groupby("i")["near"].agg(["size", "min"])
+        full = full[full["size"] == k]
+        self.least[full.index] = np.maximum(self.least[full.index], full["min"])
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.best["i"].to_numpy().astype(np.int64), self.best["chunk_id"].to_numpy(), self.best["score"].to_numpy()
+
+
 def _scan(names: list, matrix: np.ndarray, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """The k best vectors of a task for each of a block of queries."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: pd.DataFrame | None = None
-        least = np.full(len(names), -np.inf)  # what a score must reach to be among the k best
+        best = _Best(matrix, k)
         for b in batches:
             for at in range(0, len(b), SLICE_ROWS):
                 part = b.iloc[at : at + SLICE_ROWS]
-                x = np.stack(part["vector"].to_numpy()).astype(np.float64)
-                s = matrix @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                near = s.round(12)
-                if near.shape[1] >= k:
-                    least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k])
-                i, j = np.nonzero(near >= least[:, None])
-                new = pd.DataFrame({"i": i, "chunk_id": part["chunk_id"].to_numpy()[j], "score": s[i, j], "near": near[i, j]})
-                best = new if best is None else pd.concat([best, new])
-                best = best.sort_values(["near", "chunk_id"], ascending=[False, True]).groupby("i", sort=False).head(k)
-                full = best.groupby("i")["near"].agg(["size", "min"])
-                full = full[full["size"] == k]
-                least[full.index] = np.maximum(least[full.index], full["min"])
-        if best is not None:
-            yield pd.DataFrame({"query_id": [names[i] for i in best["i"]], "chunk_id": best["chunk_id"].to_numpy(), "score": best["score"].to_numpy()})
+                best.add(part["chunk_id"].to_numpy(), np.stack(part["vector"].to_numpy()).astype(np.float64))
+        i, chunk, score = best.result()
+        if len(i):
+            yield pd.DataFrame({"query_id": [names[n] for n in i], "chunk_id": chunk, "score": score})
 
     return scan

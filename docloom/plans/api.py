@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docloom import schema, scratch
 from docloom.functions import prompts
 from docloom.functions import text as T
-from docloom.operators import bm25, chunking, compute, context, dense, evaluation, graph, profile, retrieval
+from docloom.operators import bm25, chunking, compute, context, dense, evaluation, graph, profile, retrieval, segments
 from docloom.plans.config import PipelineConfig
 from docloom.plans.store import Store
 from docloom.sources import files, jsonl, office
@@ -53,8 +53,9 @@ class _Pipeline:
         self.store = Store(spark, self.config.work_dir, self.config.buckets)
 
     @property
-    def _index(self) -> str:
-        return str(Path(self.config.work_dir) / self.store.setting("index.version", "none"))
+    def index(self) -> segments.SegmentedIndex:
+        """The index in force: postings and vectors, in segments."""
+        return segments.SegmentedIndex(self.spark, str(Path(self.config.work_dir) / "index"), self.store.setting("index.state"))
 
 
 class IngestionPipeline(_Pipeline):
@@ -113,7 +114,7 @@ class IngestionPipeline(_Pipeline):
         statuses = line(documents, "parse", "success", none, none).unionByName(line(bad, "parse", "failed", "'parse_error'", "content")).unionByName(line(wrong, "parse", "failed", "error_code", none)).unionByName(line(skipped, "parse", "skipped", none, none))
         self.store.append("status", statuses)
         if stored["chunks"]:
-            self.build_index()
+            self.update_index(scratch.saved(documents.select("document_id"), "changed"))
         seconds = time.time() - began
         self.store.append("status", self.spark.createDataFrame([(run_id, None, None, "index", "success", None, None, False, seconds * 1000, now)], schema.STATUS))
         counts = {r["stage_status"]: r["count"] for r in evaluation.status_counts(self.store.log("status").where(F.col("run_id") == run_id)).collect()}
@@ -123,24 +124,36 @@ class IngestionPipeline(_Pipeline):
         return report
 
     def build_index(self) -> None:
-        """Vectors (new texts only are embedded) and postings in a new version, then the switch to it."""
-        r, version = self.config.retrieval, f"index/{uuid.uuid4().hex[:12]}"
-        path = str(Path(self.config.work_dir) / version)
-        chunks = self.store.table("chunks")
+        """Index all chunks anew, as one segment."""
+        self._switch(self._added(segments.SegmentedIndex(self.spark, self.index.root), self.store.table("chunks")))
+
+    def update_index(self, changed: DataFrame) -> None:
+        """Take the documents of changed (document_id) out of the index and add what the
+        corpus holds of them now, as one segment. Segments of other documents are left
+        alone but for merges. A corpus indexed with another model is indexed anew."""
+        if self.store.setting("index.model") not in (None, self.config.retrieval.dense_model):
+            return self.build_index()
+        self._switch(self._added(self.index.delete(changed), self.store.table("chunks").join(changed, "document_id", "left_semi")))
+
+    def _added(self, index: segments.SegmentedIndex, chunks: DataFrame) -> segments.SegmentedIndex:
+        """index with the chunks; only texts whose vector is not cached are embedded."""
+        r = self.config.retrieval
         cached = Path(self.config.work_dir) / "embedding_cache"
         cache = self.store.log("embedding_cache").where(F.col("model") == r.dense_model) if cached.exists() else self.spark.createDataFrame([], "cache_key string, model string, vector array<float>")
         vectors, fresh = dense.encode_cached(chunks.select("chunk_id", "document_id", "content"), "content", cache, self.embed, r.dense_model)
-        vectors.select("chunk_id", "document_id", "vector").write.parquet(f"{path}/vectors")
+        vectors = scratch.saved(vectors.select("chunk_id", "document_id", "vector"), "vectors")
         self.store.append("embedding_cache", fresh)
-        title = self.store.table("documents").select("document_id", "title")
-        text = chunks.join(title, "document_id", "left")
-        bm25.build(text, "chunk_id", bm25.index_text(F.col("content"), F.col("source_file"), F.col("title"), F.array_join("keywords", "\n"), entities=F.col("entities"))).write(f"{path}/bm25")
-        self.store.set_setting("index.version", version)
-        self.store.set_setting("index.model", r.dense_model)
+        text = chunks.join(self.store.table("documents").select("document_id", "title"), "document_id", "left")
+        return index.add(text, bm25.index_text(F.col("content"), F.col("source_file"), F.col("title"), F.array_join("keywords", "\n"), entities=F.col("entities")), vectors)
+
+    def _switch(self, index: segments.SegmentedIndex) -> None:
+        newest = index.state["segments"][-1]["id"] if index.state["segments"] else "none"
+        self.store.set_settings({"index.state": index.state, "index.version": f"index/{newest}", "index.model": self.config.retrieval.dense_model})
 
     def delete(self, document_ids: list[str]) -> None:
-        self.store.delete(self.spark.createDataFrame([(d,) for d in document_ids], "document_id string"))
-        self.build_index()
+        gone = self.spark.createDataFrame([(d,) for d in document_ids], "document_id string")
+        self.store.delete(gone)
+        self._switch(self.index.delete(gone))
 
     def freeze(self) -> dict:
         r = self.config.retrieval
@@ -190,10 +203,10 @@ class RetrievalAnswerPipeline(_Pipeline):
         r, q = self.config.retrieval, self._questions(questions)
         chunks = self.store.table("chunks")
         allowed = retrieval.filter_chunks(chunks, filters) if filters else None
-        vectors, index = self.spark.read.parquet(f"{self._index}/vectors"), bm25.Bm25Index.read(self.spark, f"{self._index}/bm25")
+        index = self.index
+        vectors = index.vectors()
         if allowed is not None:
             vectors = vectors.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-            index = bm25.Bm25Index(index.postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi"), index.terms, index.lengths, index.corpus)
         within = None  # (query_id, chunk_id) of questions with filters of their own
         worded = q.select("query_id", F.lit(0).alias("v"), "query")
         keywords = worded.limit(0)
@@ -213,12 +226,12 @@ class RetrievalAnswerPipeline(_Pipeline):
         kinds = lambda df, kind: df.withColumnRenamed("query_id", "key").join(back, "key").select("query_id", F.lit(kind).alias("kind"), "chunk_id", "rank")
         texts = asked.select(F.col("key").alias("query_id"), "query", "narrow").unionByName(keywords.select(key.alias("query_id"), "query", F.lit(None).cast("boolean").alias("narrow")))
         free = asked.where("narrow is null").select(F.col("key").alias("query_id"), "vector")
-        rankings = kinds(dense.search(vectors, free, r.dense_top_k), "dense").unionByName(kinds(bm25.search(index, texts.where("narrow is null"), r.sparse_top_k), "sparse"))
+        rankings = kinds(dense.search(vectors, free, r.dense_top_k), "dense").unionByName(kinds(index.search(texts.where("narrow is null"), r.sparse_top_k, chunks=allowed), "sparse"))
 
         def inside(pairs: DataFrame, some: DataFrame) -> DataFrame:
             """Both rankings of some (query_id, key, query, vector) within pairs (query_id, chunk_id)."""
             keyed = pairs.join(some.select("query_id", "key"), "query_id").select(F.col("key").alias("query_id"), "chunk_id")
-            sparse = bm25.search(index, some.select(F.col("key").alias("query_id"), "query"), r.sparse_top_k, keyed)
+            sparse = index.search(some.select(F.col("key").alias("query_id"), "query"), r.sparse_top_k, keyed, allowed)
             near = keyed.join(vectors, "chunk_id").join(some.select(F.col("key").alias("query_id"), F.col("vector").alias("v")), "query_id")
             order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "chunk_id"))
             near = near.withColumn("s", F.round(dense.cosine(F.col("vector"), F.col("v")), 12)).withColumn("rank", order).where(F.col("rank") <= r.dense_top_k)

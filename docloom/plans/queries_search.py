@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docloom import scratch
 from docloom.functions import text as T
-from docloom.operators import bm25, context, dense, graph, profile, retrieval
+from docloom.operators import bm25, context, dense, graph, profile, retrieval, segments
 from docloom.plans.queries_text import read, values_sql
 from docloom.plans.registry import query
 
@@ -47,6 +48,34 @@ def bm25_topk(spark, sf_dir):
     return hits.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "bm25_segments",
+    f"WITH {_TOKENS.replace('documents', '(SELECT * FROM documents WHERE doc_id % 7 <> 3)')} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10",
+)
+def bm25_segments(spark, sf_dir):
+    """An index that grew by sources, of which every seventh document has been deleted
+    since: as a build of what is left."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text", "source")
+    late = F.col("source").isin("src1", "src2")
+    index = segments.SegmentedIndex(spark, scratch.path(spark, "index")).add(d.where(F.coalesce(~late, F.lit(True))), F.col("text")).add(d.where(late), F.col("text"))
+    hits = index.delete(d.where("document_id % 7 = 3")).search(_questions(spark, sf_dir), 10)
+    return hits.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "dense_grid",
+    """SELECT query_id, vec_id, rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.label <> 4) WHERE rank <= 5""",
+)
+def dense_grid(spark, sf_dir):
+    """Queries and vectors both dealt into blocks."""
+    e = read(spark, sf_dir, "embeddings")
+    v = e.where("label <> 4").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    hits = dense.search(v, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5, block=16, vector_block=16_384)
+    return hits.select("query_id", F.col("chunk_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("bm25_idf", f"WITH {_TOKENS} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf_dir):
     return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))

@@ -27,7 +27,7 @@ from docloom import schema
 SCHEMA_VERSION = 2
 TABLES = ["documents", "blocks", "chunks", "entities", "keywords", "edges"]
 LOGS = ["status", "embedding_cache"]
-INDEX_PARTS = ["vectors", "bm25/postings", "bm25/terms", "bm25/lengths", "bm25/corpus"]
+SEGMENT_PARTS, TOMBSTONE_PARTS = ["forward", "postings", "bounds", "vectors"], ["chunks", "terms"]
 
 
 def bucket(document_id: Column, buckets: int) -> Column:
@@ -72,8 +72,17 @@ class Store:
         return self.manifest["settings"].get(key, default)
 
     def set_setting(self, key: str, value) -> None:
+        self.set_settings({key: value})
+
+    def set_settings(self, values: dict) -> None:
+        """All of them in one step."""
         m = self.manifest
-        self._commit(m | {"settings": m["settings"] | {key: value}})
+        self._commit(m | {"settings": m["settings"] | values})
+
+    def index_parts(self) -> dict[str, list[str]]:
+        """The folders of the index in force, below the corpus, and the tables in each."""
+        state = self.setting("index.state") or {"segments": [], "deletes": []}
+        return {f"index/{s['id']}": SEGMENT_PARTS for s in state["segments"]} | {f"index/{d}": TOMBSTONE_PARTS for d in state["deletes"]}
 
     # --------------------------------------------------------------- tables
 
@@ -140,6 +149,10 @@ class Store:
             for version in (self.root / name).glob("*"):
                 if version.is_dir() and not any(p.startswith(f"{name}/{version.name}/") for p in used):
                     shutil.rmtree(version)
+        live = self.index_parts()
+        for folder in (*self.root.glob("index/segments/*"), *self.root.glob("index/deletes/*")):
+            if str(folder.relative_to(self.root)) not in live:
+                shutil.rmtree(folder)
 
     # ------------------------------------------------------------- artifacts
 
@@ -196,8 +209,7 @@ class Store:
         if not m["frozen"] or "corpus" not in m:
             return [*wrong, "not frozen"]
         wrong += [f"missing {p}" for parts in m["tables"].values() for p in parts.values() if not (self.root / p).exists()]
-        if version := m["settings"].get("index.version"):
-            wrong += [f"missing {version}/{p}" for p in INDEX_PARTS if not (self.root / version / p / "_SUCCESS").exists()]
+        wrong += [f"missing {folder}/{p}" for folder, parts in self.index_parts().items() for p in parts if not (self.root / folder / p / "_SUCCESS").exists()]
         if not wrong and (now := self.stats()) != m["corpus"]["stats"]:
             wrong.append(f"row counts {now} instead of {m['corpus']['stats']}")
         for k, v in (contract or {}).items():
@@ -217,7 +229,7 @@ class Store:
             raise ValueError("the bundle must lie outside of the corpus")
         m = self.manifest
         used = [f for parts in m["tables"].values() for p in parts.values() for f in sorted((self.root / p).rglob("*.parquet"))]
-        folders = [*LOGS, "tables", *([version] if (version := m["settings"].get("index.version")) else [])]
+        folders = [*LOGS, "tables", *self.index_parts()]
         beside = [f for d in folders for f in sorted((self.root / d).rglob("*")) if f.is_file() and not f.name.endswith(".crc")]
         files = [self.root / "manifest.json", *used, *beside]
         inventory = {str(f.relative_to(self.root)): _sha256(f) for f in files}
