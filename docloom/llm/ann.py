@@ -102,7 +102,8 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(d), np.inf, d)
 
 
-#: A beam of one in EXACT centres or more costs more than all distances.
+#: While vectors are assigned, a beam of one in EXACT centres or more costs more than all
+#: distances. Queries are few and always go along the graph, unless the beam holds all.
 EXACT = 16
 
 
@@ -127,10 +128,11 @@ class CentreGraph:
         far = np.random.default_rng(3).integers(0, len(c), (len(c), 4))
         return cls(c, np.hstack([np.concatenate(near), far]), np.unique(np.linspace(0, len(c) - 1, min(entries, len(c))).astype(int)))
 
-    def search(self, x: np.ndarray, k: int, beam: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """(centres, distances), nearest first, of about the k nearest for each row of x; -1 and inf where fewer."""
+    def search(self, x: np.ndarray, k: int, beam: int = 64, exact: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(centres, distances), nearest first, of about the k nearest for each row of x;
+        -1 and inf where fewer. All centres are compared where beam * exact reaches their number."""
         n, beam = len(x), max(k, min(beam, len(self.c)))
-        if beam * EXACT >= len(self.c):
+        if beam * exact >= len(self.c):
             d = np.sqrt(np.maximum(_squares(x, self.c), 0))
             k = min(k, len(self.c))
             some = np.argpartition(d, k - 1, axis=1)[:, :k]
@@ -245,7 +247,7 @@ def build(vectors: DataFrame, k: int = 10, list_size: int = 256, max_lists: int
             sizes = np.array([len(v) // 8 for v in vec])
             rows, lists = [np.flatnonzero(sizes != dim)], [-sizes[sizes != dim]]
             if len(main := np.flatnonzero(sizes == dim)):
-                near, d = graph.search(_matrix([vec[i] for i in main]), copies)
+                near, d = graph.search(_matrix([vec[i] for i in main]), copies, exact=EXACT)
                 r, j = np.nonzero((near >= 0) & (d <= closure * d[:, :1] + 1e-12))
                 rows.append(main[r])
                 lists.append(near[r, j])
@@ -291,7 +293,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, probes: int = 48, shar
             sizes = np.array([len(v) // 8 for v in query])
             rows, lists = [np.flatnonzero(sizes != dim)], [-sizes[sizes != dim]]
             if len(main := np.flatnonzero(sizes == dim)):
-                near, d = graph.search(_matrix([query[i] for i in main]), probes, beam=max(64, probes))
+                near, d = graph.search(_matrix([query[i] for i in main]), probes, beam=max(64, probes * 5 // 4))
                 r, j = np.nonzero((near >= 0) & (d <= ratio * d[:, :1] + 1e-12))
                 rows.append(main[r])
                 lists.append(near[r, j])

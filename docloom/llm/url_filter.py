@@ -86,7 +86,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.greatest(*fits) if len(fits) > 1 else fits[0]
 
 
-_TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9]*)[^<>]*>")
+#: A name is taken whole, so that what follows it can't be tried at each of its letters.
+_TAG = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9]*+)[^<>]*+>")
 _RAW = {x: re.compile(rf"</{x}[^<>]*>", re.IGNORECASE) for x in ("script", "style")}
 #: Elements whose text is not the page's, those that hold its main text, and those that stand in a line.
 _ASIDE, _MAIN = {"head", "nav", "aside", "footer", "form"}, {"article", "main"}

@@ -258,3 +258,34 @@ def test_features_have_their_names(spark):
 def test_personal_data_stays_in_the_jvm(spark):
     plan = personal_data.op13_personal_data(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_main_text_of_one_long_name():
+    from docloom.llm import url_filter
+
+    began = time.time()
+    assert url_filter.main_text("<" + "a" * 1_000_000) == "<" + "a" * 1_000_000
+    assert url_filter.main_text("<p>x</p><" + "b " * 500_000).startswith("x")
+    assert time.time() - began < 3
+
+
+def test_queries_go_along_the_graph():
+    """At 256 and 1024 centres the beam visits a part of them and finds nearly all of the nearest."""
+    from docloom.llm import ann
+
+    rng = np.random.default_rng(3)
+    for n, k in ((256, 48), (1024, 103)):
+        c = rng.normal(size=(n, 32))
+        graph = ann.CentreGraph.build(c)
+        x = rng.normal(size=(40, 32))
+        touched = []
+        real = ann._squares
+        try:
+            ann._squares = lambda a, b: touched.append(1) or real(a, b)
+            near, d = graph.search(x, k, beam=k * 5 // 4)
+        finally:
+            ann._squares = real
+        assert not touched  # not by all distances
+        want = np.argsort(((x[:, None] - c[None]) ** 2).sum(axis=2), axis=1)[:, :k]
+        found = np.mean([len(set(a.tolist()) & set(b.tolist())) / k for a, b in zip(near, want, strict=True)])
+        assert found > 0.95 and (np.diff(d, axis=1) >= 0).all()
