@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docloom import scratch
 from docloom.functions import text as T
 from docloom.operators import chunking, compute, graph, lookup, profile, regions
 from docloom.plans import fixtures, store
@@ -300,3 +301,16 @@ def continuation_lag(spark, sf_dir):
     b = c.select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("string").alias("block_id"), F.lit("table").alias("block_type"), F.col("text").alias("content"), F.floor(F.col("turn") / 2).cast("int").alias("page"), F.col("turn").cast("int").alias("reading_order"), F.array(header).alias("rows"))
     t = graph.table_continuations(b)
     return t.select(F.col("document_id").cast("long").alias("conv_id"), F.col("block_id").cast("long").alias("turn"), F.col("previous_id").cast("long").alias("previous"), F.col("repeated_header").alias("repeated"), F.col("inherited_header")[0].alias("header"))
+
+
+@query(
+    "archive_entries",
+    "SELECT doc_id || '.txt' AS name, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length, sha256(coalesce(text, '')) AS sha256, CAST(NULL AS VARCHAR) AS error_code FROM documents",
+)
+def archive_entries(spark, sf_dir):
+    """Texts go into ZIP archives, and these are read back entry by entry."""
+    folder = scratch.path(spark, "archives")
+    d = read(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    scratch.saved(files.write_archives(d, folder), "written")
+    found = files.expand_archives(files.discover(spark, [folder]))
+    return found.select("name", "length", F.sha2("content", 256).alias("sha256"), "error_code")
