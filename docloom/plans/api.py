@@ -55,7 +55,7 @@ class _Pipeline:
     @property
     def index(self) -> segments.SegmentedIndex:
         """The index in force: postings and vectors, in segments."""
-        return segments.SegmentedIndex(self.spark, str(Path(self.config.work_dir) / "index"), self.store.setting("index.state"))
+        return segments.SegmentedIndex(self.spark, f"{self.store.folder.uri}/index", self.store.setting("index.state"))
 
 
 class IngestionPipeline(_Pipeline):
@@ -138,8 +138,7 @@ class IngestionPipeline(_Pipeline):
     def _added(self, index: segments.SegmentedIndex, chunks: DataFrame) -> segments.SegmentedIndex:
         """index with the chunks; only texts whose vector is not cached are embedded."""
         r = self.config.retrieval
-        cached = Path(self.config.work_dir) / "embedding_cache"
-        cache = self.store.log("embedding_cache").where(F.col("model") == r.dense_model) if cached.exists() else self.spark.createDataFrame([], "cache_key string, model string, vector array<float>")
+        cache = self.store.log("embedding_cache").where(F.col("model") == r.dense_model) if self.store.folder.exists("embedding_cache") else self.spark.createDataFrame([], "cache_key string, model string, vector array<float>")
         vectors, fresh = dense.encode_cached(chunks.select("chunk_id", "document_id", "content"), "content", cache, self.embed, r.dense_model)
         vectors = scratch.saved(vectors.select("chunk_id", "document_id", "vector"), "vectors")
         self.store.append("embedding_cache", fresh)

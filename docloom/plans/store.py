@@ -1,10 +1,13 @@
-"""The corpus on disk: tables in a versioned folder, and a manifest that names the
-version in force.
-
-A change writes new versions of the tables it touches and then the manifest, in one
-rename, so readers see all of a change or nothing. Tables are partitioned by a
-bucket of document_id: a change rewrites only the buckets of its documents, and
-lookups by document read one.
+"""The corpus on disk: tables in a versioned folder, and a log of commits that name the
+versions in force.
+
+A change writes new versions of the tables it touches and then one commit, so readers
+see all of a change or nothing. Two writers may work at once: a commit is refused where
+another came first; settings and buckets that the other left alone are then committed
+upon its state, and others are computed anew from it. Tables are partitioned by a bucket
+of document_id: a change rewrites only the buckets of its documents, and lookups by
+document read one. Tables and commits lie on any file system that Spark knows; workbooks,
+run reports and bundles need a folder that behaves like a local one.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docloom import schema
+from docloom.plans.commits import CommitLog, Folder
 
 SCHEMA_VERSION = 2
 TABLES = ["documents", "blocks", "chunks", "entities", "keywords", "edges"]
@@ -53,20 +57,17 @@ class Store:
     """Tables of one corpus below ``root`` (a folder that the driver and the executors share)."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
-        self.spark, self.root, self.buckets = spark, Path(root), buckets
-        self.root.mkdir(parents=True, exist_ok=True)
+        self.spark, self.buckets = spark, buckets
+        self.folder = Folder(spark, root)
+        self.folder.make()
+        self.root = Path("/" + self.folder.uri.removeprefix("file:").lstrip("/") if self.folder.uri.startswith("file:") else root)
+        self.commits = CommitLog(Folder(spark, f"{self.folder.uri}/commits"), {"schema_version": SCHEMA_VERSION, "tables": {}, "settings": {}, "frozen": False})
 
-    # ------------------------------------------------------------- manifest
+    # -------------------------------------------------------------- commits
 
     @property
     def manifest(self) -> dict:
-        file = self.root / "manifest.json"
-        return json.loads(file.read_text()) if file.exists() else {"schema_version": SCHEMA_VERSION, "tables": {}, "settings": {}, "frozen": False}
-
-    def _commit(self, manifest: dict) -> None:
-        part = self.root / f".manifest-{uuid.uuid4().hex}"
-        part.write_text(json.dumps(manifest, ensure_ascii=False, indent=1))
-        os.replace(part, self.root / "manifest.json")
+        return self.commits.latest()[1]
 
     def setting(self, key: str, default=None):
         return self.manifest["settings"].get(key, default)
@@ -76,8 +77,7 @@ class Store:
 
     def set_settings(self, values: dict) -> None:
         """All of them in one step."""
-        m = self.manifest
-        self._commit(m | {"settings": m["settings"] | values})
+        self.commits.update(lambda m: m | {"settings": m["settings"] | values})
 
     def index_parts(self) -> dict[str, list[str]]:
         """The folders of the index in force, below the corpus, and the tables in each."""
@@ -92,67 +92,78 @@ class Store:
         if not parts:
             kind = m.get("schemas", {}).get(name)
             return self.spark.createDataFrame([], StructType.fromJson(kind)) if kind else None
-        return self.spark.read.option("basePath", str(self.root / name)).parquet(*[str(self.root / p) for p in parts.values()]).drop("bucket", "version")
+        return self._read(name, parts)
+
+    def _read(self, name: str, parts: dict[str, str]) -> DataFrame:
+        uri = self.folder.uri
+        return self.spark.read.option("basePath", f"{uri}/{name}").parquet(*[f"{uri}/{p}" for p in parts.values()]).drop("bucket", "version")
 
     def write(self, changes: dict[str, DataFrame], deleted: DataFrame | None = None) -> None:
         """Replace the documents of ``changes`` in all tables (those of ``deleted``
         too) in one step; buckets without such documents keep their files."""
-        m = self.manifest
-        if m["frozen"]:
-            raise FrozenCorpus(f"{self.root} is frozen")
         gone = [df.select("document_id") for df in changes.values() if "document_id" in df.columns] + ([deleted.select("document_id")] if deleted is not None else [])
         ids = gone[0]
         for g in gone[1:]:
             ids = ids.union(g)
         ids = ids.distinct()
-        touched = {r[0] for r in ids.select(bucket(F.col("document_id"), self.buckets)).distinct().collect()}  # at most the buckets
-        tables, schemas = dict(m["tables"]), dict(m.get("schemas", {}))
-        for name in {*TABLES, *changes}:
-            old = tables.get(name, {})
-            keep = {b: p for b, p in old.items() if int(b) not in touched}
-            parts = []
-            if rest := {b: p for b, p in old.items() if int(b) in touched}:
-                df = self.spark.read.option("basePath", str(self.root / name)).parquet(*[str(self.root / p) for p in rest.values()]).drop("bucket", "version")
-                parts.append(df.join(ids, "document_id", "left_anti"))
-            if name in changes:
-                parts.append(changes[name])
-            if not parts:
-                continue
-            df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-            version = f"version={uuid.uuid4().hex[:12]}"
-            out = self.root / name / version
-            df.withColumn("bucket", bucket(F.col("document_id"), self.buckets)).repartition("bucket").write.partitionBy("bucket").parquet(str(out))
-            made = {p.name.removeprefix("bucket="): f"{name}/{version}/{p.name}" for p in out.glob("bucket=*")}
-            tables[name], schemas[name] = keep | made, df.schema.jsonValue()
-        self._commit(m | {"tables": tables, "schemas": schemas})
+        touched = {str(r[0]) for r in ids.select(bucket(F.col("document_id"), self.buckets)).distinct().collect()}  # at most the buckets
+        names = [*TABLES, *(n for n in changes if n not in TABLES)]
+        of = lambda m, name: {b: p for b, p in m["tables"].get(name, {}).items() if b in touched}
+        base: dict | None = None  # the buckets that ``made`` was computed from
+        made: dict[str, dict[str, str]] = {}
+        kinds: dict[str, dict] = {}
+
+        def change(m: dict) -> dict:
+            nonlocal base, made, kinds
+            if m["frozen"]:
+                raise FrozenCorpus(f"{self.folder.uri} is frozen")
+            now = {name: of(m, name) for name in names}
+            if base != now:  # the first try, or another writer has changed these buckets
+                base, made, kinds = now, {}, {}
+                for name in names:
+                    if (df := self._replaced(name, now[name], changes.get(name), ids)) is not None:
+                        made[name], kinds[name] = self._put(name, df), df.schema.jsonValue()
+            tables = {name: {b: p for b, p in m["tables"].get(name, {}).items() if b not in touched} | made.get(name, {}) for name in {*m["tables"], *made}}
+            return m | {"tables": tables, "schemas": m.get("schemas", {}) | kinds}
+
+        self.commits.update(change)
+
+    def _replaced(self, name: str, parts: dict[str, str], new: DataFrame | None, ids: DataFrame) -> DataFrame | None:
+        """What some buckets of a table hold after a change; None if nothing was or comes there."""
+        if not parts:
+            return new
+        left = self._read(name, parts).join(ids, "document_id", "left_anti")
+        return left if new is None else left.unionByName(new, allowMissingColumns=True)
+
+    def _put(self, name: str, df: DataFrame) -> dict[str, str]:
+        """Write a version; the path of each of its buckets."""
+        version = f"{name}/version={uuid.uuid4().hex[:12]}"
+        df.withColumn("bucket", bucket(F.col("document_id"), self.buckets)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder.uri}/{version}")
+        return {n.removeprefix("bucket="): f"{version}/{n}" for n in self.folder.names(version) if n.startswith("bucket=")}
 
     def delete(self, ids: DataFrame) -> None:
         self.write({}, ids)
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows to a log or cache, which documents' changes leave alone."""
-        rows.write.mode("append").parquet(str(self.root / name))
+        rows.write.mode("append").parquet(f"{self.folder.uri}/{name}")
 
     def log(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(str(self.root / name))
+        return self.spark.read.parquet(f"{self.folder.uri}/{name}")
 
     def reset(self) -> None:
         """Empty all tables and index settings; the status log and embedding cache stay."""
-        m = self.manifest
-        self._commit(m | {"tables": {}, "schemas": {}, "settings": {k: v for k, v in m["settings"].items() if not k.startswith("index.")}, "frozen": False})
+        self.commits.update(lambda m: m | {"tables": {}, "schemas": {}, "settings": {k: v for k, v in m["settings"].items() if not k.startswith("index.")}, "frozen": False})
         self.vacuum()
 
     def vacuum(self) -> None:
         """Remove files that no table in force names."""
-        used = {p for parts in self.manifest["tables"].values() for p in parts.values()}
-        for name in TABLES:
-            for version in (self.root / name).glob("*"):
-                if version.is_dir() and not any(p.startswith(f"{name}/{version.name}/") for p in used):
-                    shutil.rmtree(version)
-        live = self.index_parts()
-        for folder in (*self.root.glob("index/segments/*"), *self.root.glob("index/deletes/*")):
-            if str(folder.relative_to(self.root)) not in live:
-                shutil.rmtree(folder)
+        used = {p.rsplit("/", 1)[0] for parts in self.manifest["tables"].values() for p in parts.values()} | set(self.index_parts())
+        for folder in (*TABLES, "index/segments", "index/deletes"):
+            for name in self.folder.names(folder):
+                if f"{folder}/{name}" not in used:
+                    self.folder.remove(f"{folder}/{name}")
+        self.commits.vacuum()
 
     # ------------------------------------------------------------- artifacts
 
@@ -195,11 +206,15 @@ class Store:
         stats = self.stats()
         if not stats["chunks"]:
             raise ValueError("a corpus without chunks can't be frozen")
-        m = self.manifest
-        corpus_id = hashlib.sha1(json.dumps([stats, contract, sorted(str(v) for v in m["tables"].values())], sort_keys=True).encode()).hexdigest()[:20]
-        m |= {"frozen": True, "corpus": {"id": corpus_id, "stats": stats, "contract": contract, "created_at": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")}}
-        self._commit(m)
-        return m["corpus"]
+        corpus: dict = {}
+
+        def change(m: dict) -> dict:
+            corpus_id = hashlib.sha1(json.dumps([stats, contract, sorted(str(v) for v in m["tables"].values())], sort_keys=True).encode()).hexdigest()[:20]
+            corpus.update(id=corpus_id, stats=stats, contract=contract, created_at=dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"))
+            return m | {"frozen": True, "corpus": corpus}
+
+        self.commits.update(change)
+        return corpus
 
     def validate(self, contract: dict | None = None) -> list[str]:
         """What is wrong with a frozen corpus: nothing, if it is sound."""
@@ -208,8 +223,8 @@ class Store:
             wrong.append(f"schema version {m['schema_version']} instead of {SCHEMA_VERSION}")
         if not m["frozen"] or "corpus" not in m:
             return [*wrong, "not frozen"]
-        wrong += [f"missing {p}" for parts in m["tables"].values() for p in parts.values() if not (self.root / p).exists()]
-        wrong += [f"missing {folder}/{p}" for folder, parts in self.index_parts().items() for p in parts if not (self.root / folder / p / "_SUCCESS").exists()]
+        wrong += [f"missing {p}" for parts in m["tables"].values() for p in parts.values() if not self.folder.exists(p)]
+        wrong += [f"missing {folder}/{p}" for folder, parts in self.index_parts().items() for p in parts if not self.folder.exists(f"{folder}/{p}/_SUCCESS")]
         if not wrong and (now := self.stats()) != m["corpus"]["stats"]:
             wrong.append(f"row counts {now} instead of {m['corpus']['stats']}")
         for k, v in (contract or {}).items():
@@ -231,7 +246,8 @@ class Store:
         used = [f for parts in m["tables"].values() for p in parts.values() for f in sorted((self.root / p).rglob("*.parquet"))]
         folders = [*LOGS, "tables", *self.index_parts()]
         beside = [f for d in folders for f in sorted((self.root / d).rglob("*")) if f.is_file() and not f.name.endswith(".crc")]
-        files = [self.root / "manifest.json", *used, *beside]
+        last = self.root / "commits" / f"{self.commits.latest()[0]:020d}.json"
+        files = [last, *used, *beside]
         inventory = {str(f.relative_to(self.root)): _sha256(f) for f in files}
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for f in files:
