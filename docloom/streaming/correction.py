@@ -10,12 +10,18 @@ leaves the raw text in place.
 A row with the label END closes a document at its index: what is still missing before
 it is given up and what waits goes out in order. A row with the label ABORT throws
 away all that waits of its generation; later rows of it are dropped.
+
+With a glossary, names of the corrected texts of a document are counted as they come,
+and the spellings seen often enough go to the corrector with each segment. State does
+not stay for ever: a closed document's is removed some time after it closed, and one
+that hears nothing for long is closed, with what waits for it going out in order.
 """
 
 from __future__ import annotations
 
 import itertools
 import json
+import unicodedata
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -25,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docloom.functions import prompts
+from docloom.functions.names import name_candidates_py
 from docloom.functions.splitters import split_segments_py
 
 Corrector = Callable[[str, str], str]
@@ -58,16 +65,47 @@ def sound(raw: str, new: str) -> bool:
     return bool(new.strip()) and 0.35 <= len(new.strip()) / max(1, len(raw)) <= 3.0 and numbers(raw) <= numbers(new)
 
 
-def correct_text(text: str, previous: str, corrector: Corrector, segment: int = SEGMENT_CHARS, previous_chars: int = PREVIOUS_CHARS) -> tuple[str, str]:
+class Ledger:
+    """Spellings of names in the order they were seen; adding up two in order gives that of both."""
+
+    def __init__(self, counts: dict[str, dict[str, int]] | None = None):
+        self.counts = counts or {}
+        self.changed: set[str] = set()
+
+    def add(self, text: str) -> None:
+        for name in name_candidates_py(text):
+            key = "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c)).replace("đ", "d").replace("Đ", "D").lower()
+            spelled = self.counts.setdefault(key, {})
+            spelled[name] = spelled.get(name, 0) + 1
+            self.changed.add(key)
+
+    def terms(self, min_count: int = 2, limit: int = 20, max_chars: int = 400) -> list[str]:
+        """Names seen often enough, most frequent first, up to the first that breaks a
+        limit; the spelling used most, then the one with most marks, then the first."""
+        out, used = [], 0
+        for key, spelled in sorted(self.counts.items(), key=lambda kv: (-sum(kv[1].values()), kv[0])):
+            if sum(spelled.values()) < min_count or len(out) == limit:
+                break
+            best = max(spelled, key=lambda v: (spelled[v], sum(ord(c) > 127 for c in v)))
+            used += len(best) + 2
+            if used > max_chars:
+                break
+            out.append(best)
+        return out
+
+
+def correct_text(text: str, previous: str, corrector: Corrector, segment: int = SEGMENT_CHARS, previous_chars: int = PREVIOUS_CHARS, ledger: Ledger | None = None) -> tuple[str, str]:
     """(content, status: success, partial or failed): segment by segment with the
-    tail of what went before; one more try without it; then the raw segment."""
+    tail of what went before; one more try without it; then the raw segment. With a
+    ledger the corrector is given its terms as well, and each segment's names join it."""
     out, bad = "", 0
     parts = split_segments_py(text, segment)
     for part in parts:
         tail = tail_py(out or previous, previous_chars)
+        known = () if ledger is None else ("; ".join(ledger.terms()),)
         for context in (tail, ""):
             try:
-                new = corrector(part, context)
+                new = corrector(part, context, *known)
             except Exception:  # a corrector's failure leaves the text as it is
                 continue
             if sound(part, new):
@@ -75,16 +113,52 @@ def correct_text(text: str, previous: str, corrector: Corrector, segment: int =
         else:
             new, bad = part, bad + 1
         out += new
+        if ledger is not None:
+            ledger.add(new)
     return out, "success" if not bad else "failed" if bad == len(parts) else "partial"
 
 
+#: Seconds after which the state of a closed document, and that of a silent one, ends.
+KEEP_SECONDS, IDLE_SECONDS = 3600, 7 * 86_400
+_COLUMNS = ["document_id", "generation", "index", "label", "content", "content_raw", "previous", "status"]
+
+
 class OrderedCorrection(StatefulProcessor):
-    def __init__(self, corrector: Corrector, labels: list[str]):
-        self.corrector, self.labels = corrector, labels
+    def __init__(self, corrector: Corrector, labels: list[str], glossary: bool = False, timers: bool = False, keep_seconds: float = KEEP_SECONDS, idle_seconds: float = IDLE_SECONDS):
+        self.corrector, self.labels, self.glossary, self.timers, self.keep, self.idle = corrector, labels, glossary, timers, keep_seconds, idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "generation int, next int, tail string, dropped long, closed boolean")
         self.waiting = handle.getMapState("waiting", "index int", "row string")
+        self.names = handle.getMapState("names", "key string", "spellings string") if self.glossary else None
+
+    def _ledger(self) -> Ledger | None:
+        if self.names is None:
+            return None
+        return Ledger({k: json.loads(v) for (k,), (v,) in self.names.iterator()} if self.names.exists() else {})
+
+    def _forget(self) -> None:
+        for part in (self.state, self.waiting, self.names):
+            if part is not None:
+                part.clear()
+
+    def _done(self, key: Any, order, generation: int, tail: str) -> tuple[list[tuple], str]:
+        """The rows of some waiting indexes, corrected in turn, and the tail after them."""
+        out, ledger = [], self._ledger()
+        for at in order:
+            label, raw = json.loads(self.waiting.getValue((at,))[0])
+            self.waiting.removeKey((at,))
+            previous = tail
+            content, status = raw, "skipped"
+            if label in self.labels:
+                if (raw or "").strip():
+                    content, status = correct_text(raw, previous, self.corrector, ledger=ledger)
+                tail = tail_py(content or "", PREVIOUS_CHARS)
+            out.append((key[0], generation, at, label, content, raw, previous, status))
+        for name in ledger.changed if ledger else ():
+            self.names.updateValue((name,), (json.dumps(ledger.counts[name], ensure_ascii=False),))
+        return out, tail
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         generation, at, tail, dropped, closed = self.state.get() if self.state.exists() else (0, 0, "", 0, False)
@@ -92,8 +166,8 @@ class OrderedCorrection(StatefulProcessor):
         for frame in rows:
             for r in frame.sort_values(["generation", "index"]).itertuples(index=False):
                 if r.generation > generation:
+                    self._forget()
                     generation, at, tail, closed, end = r.generation, 0, "", False, None
-                    self.waiting.clear()
                 if r.generation < generation or closed:
                     dropped += 1
                 elif r.label == ABORT:
@@ -104,25 +178,31 @@ class OrderedCorrection(StatefulProcessor):
                 elif r.index >= at:  # earlier ones are done already
                     self.waiting.updateValue((int(r.index),), (json.dumps([r.label, r.raw_text]),))
         order = sorted(k for (k,) in self.waiting.keys() if k < end) if end is not None and not closed else itertools.takewhile(lambda k: self.waiting.containsKey((k,)), itertools.count(at))
-        out = []
-        for at in order:
-            label, raw = json.loads(self.waiting.getValue((at,))[0])
-            self.waiting.removeKey((at,))
-            previous = tail
-            content, status = raw, "skipped"
-            if label in self.labels:
-                if (raw or "").strip():
-                    content, status = correct_text(raw, previous, self.corrector)
-                tail = tail_py(content or "", PREVIOUS_CHARS)
-            out.append((key[0], generation, at, label, content, raw, previous, status))
+        out, tail = self._done(key, order, generation, tail)
         if out:
             at = out[-1][2] + 1
         if end is not None and not closed:
             at, closed = max(at, end), True
             self.waiting.clear()
+        if closed and self.names is not None:
+            self.names.clear()
         self.state.update((generation, at, tail, dropped, closed))
+        if self.timers:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * (self.keep if closed else self.idle)))
         if out:
-            yield pd.DataFrame(out, columns=["document_id", "generation", "index", "label", "content", "content_raw", "previous", "status"])
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.state.exists():
+            generation, _, tail, _, closed = self.state.get()
+            if not closed:
+                out, _ = self._done(key, sorted(k for (k,) in self.waiting.keys()), generation, tail)
+        self._forget()
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
@@ -133,8 +213,8 @@ def json_corrector(generate: Callable[[str, str], str], most: int = prompts.MAX_
     an output that must be one JSON object with the one string corrected_text. All
     else raises, which leaves the text as it is."""
 
-    def run(text: str, previous: str) -> str:
-        prompt = prompts.correction_py(text, previous)
+    def run(text: str, previous: str, terms: str = "") -> str:
+        prompt = prompts.correction_py(text, previous, terms)
         if len(prompt) > most:
             raise ValueError("the passage is too long for one prompt")
         out = generate(prompts.CORRECTION_SYSTEM, prompt).strip().removeprefix("```json").removeprefix("```").removesuffix("```")
@@ -166,11 +246,69 @@ def correct_tables(tables: DataFrame, corrector: Corrector) -> DataFrame:
     return tables.withColumn("rows", run("rows"))
 
 
-def correct(components: DataFrame, corrector: Corrector, labels: list[str] | None = None) -> DataFrame:
+def correct(components: DataFrame, corrector: Corrector, labels: list[str] | None = None, glossary: bool = False, keep_seconds: float = KEEP_SECONDS, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
     """Corrected components, each after the one before it. components: INPUT, a
-    stream (with the RocksDB state store) or a batch."""
+    stream (with the RocksDB state store) or a batch. With ``glossary`` the corrector
+    takes the known spellings as a third argument. In a stream a document's state ends
+    ``keep_seconds`` after it is closed or ``idle_seconds`` after its last row; a row of
+    it that comes later begins a new document."""
     _ = components.sparkSession.streams  # a batch needs the coordinator of state stores, too
-    return components.groupBy("document_id").transformWithStateInPandas(OrderedCorrection(corrector, labels or LABELS), OUTPUT, "Append", "None")
+    timers = components.isStreaming
+    made = OrderedCorrection(corrector, labels or LABELS, glossary, timers, keep_seconds, idle_seconds)
+    return components.groupBy("document_id").transformWithStateInPandas(made, OUTPUT, "Append", "ProcessingTime" if timers else "None")
+
+
+CLAIMS = "name string, sha256 string, event_id long, kind string"
+
+
+class _Claims(StatefulProcessor):
+    def __init__(self, lease_seconds: float, timers: bool):
+        self.lease, self.timers = lease_seconds, timers
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "event_id long, done boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        holder, done = self.held.get() if self.held.exists() else (None, False)
+        out = []
+        for r in pd.concat(list(rows)).sort_values("event_id").itertuples(index=False):
+            if r.kind == "claim":
+                out.append((*key, int(r.event_id), holder is None))
+                if holder is None:
+                    holder, done = int(r.event_id), False
+            elif r.kind == "failed":
+                holder, done = None, False
+            elif r.kind == "done" and holder is not None:
+                done = True
+        if holder is None:
+            self.held.clear()
+        else:
+            self.held.update((holder, done))
+        if self.timers:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if holder is not None and not done:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.lease))
+        if out:
+            yield pd.DataFrame(out, columns=["name", "sha256", "event_id", "accepted"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def upload_claims(events: DataFrame, lease_seconds: float = 3600) -> DataFrame:
+    """name, sha256, event_id, accepted of each claim of a stream or batch of upload
+    events (CLAIMS; kind: claim, done or failed, in order of event_id). A claim is accepted
+    if nobody holds the file; a failure releases it, and so does a claim of which a
+    stream hears nothing for ``lease_seconds``."""
+    _ = events.sparkSession.streams
+    made = _Claims(lease_seconds, events.isStreaming)
+    return events.groupBy("name", "sha256").transformWithStateInPandas(made, "name string, sha256 string, event_id long, accepted boolean", "Append", "ProcessingTime" if events.isStreaming else "None")
 
 
 def repeat_uploads(uploads: DataFrame, delay: str = "1 day") -> DataFrame:
