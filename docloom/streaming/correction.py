@@ -12,9 +12,9 @@ it is given up and what waits goes out in order. A row with the label ABORT thro
 away all that waits of its generation; later rows of it are dropped.
 
 With a glossary, names of the corrected texts of a document are counted as they come,
-and the spellings seen often enough go to the corrector with each segment. State does
-not stay for ever: a closed document's is removed some time after it closed, and one
-that hears nothing for long is closed, with what waits for it going out in order.
+and the spellings seen often enough go to the corrector with each segment. State need
+not stay for ever: a closed document's can be removed some time after it closed, and one
+that hears nothing for long be closed, with what waits for it going out in order.
 """
 
 from __future__ import annotations
@@ -118,14 +118,12 @@ def correct_text(text: str, previous: str, corrector: Corrector, segment: int =
     return out, "success" if not bad else "failed" if bad == len(parts) else "partial"
 
 
-#: Seconds after which the state of a closed document, and that of a silent one, ends.
-KEEP_SECONDS, IDLE_SECONDS = 3600, 7 * 86_400
 _COLUMNS = ["document_id", "generation", "index", "label", "content", "content_raw", "previous", "status"]
 
 
 class OrderedCorrection(StatefulProcessor):
-    def __init__(self, corrector: Corrector, labels: list[str], glossary: bool = False, timers: bool = False, keep_seconds: float = KEEP_SECONDS, idle_seconds: float = IDLE_SECONDS):
-        self.corrector, self.labels, self.glossary, self.timers, self.keep, self.idle = corrector, labels, glossary, timers, keep_seconds, idle_seconds
+    def __init__(self, corrector: Corrector, labels: list[str], glossary: bool = False, keep_seconds: float | None = None, idle_seconds: float | None = None):
+        self.corrector, self.labels, self.glossary, self.keep, self.idle = corrector, labels, glossary, keep_seconds, idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -187,10 +185,11 @@ class OrderedCorrection(StatefulProcessor):
         if closed and self.names is not None:
             self.names.clear()
         self.state.update((generation, at, tail, dropped, closed))
-        if self.timers:
+        if self.keep is not None or self.idle is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * (self.keep if closed else self.idle)))
+            if (wait := self.keep if closed else self.idle) is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * wait))
         if out:
             yield pd.DataFrame(out, columns=_COLUMNS)
 
@@ -246,15 +245,17 @@ def correct_tables(tables: DataFrame, corrector: Corrector) -> DataFrame:
     return tables.withColumn("rows", run("rows"))
 
 
-def correct(components: DataFrame, corrector: Corrector, labels: list[str] | None = None, glossary: bool = False, keep_seconds: float = KEEP_SECONDS, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+def correct(components: DataFrame, corrector: Corrector, labels: list[str] | None = None, glossary: bool = False, keep_seconds: float | None = None, idle_seconds: float | None = None) -> DataFrame:
     """Corrected components, each after the one before it. components: INPUT, a
     stream (with the RocksDB state store) or a batch. With ``glossary`` the corrector
-    takes the known spellings as a third argument. In a stream a document's state ends
-    ``keep_seconds`` after it is closed or ``idle_seconds`` after its last row; a row of
-    it that comes later begins a new document."""
+    takes the known spellings as a third argument.
+
+    In a stream that runs on (with them, one of the trigger availableNow does not end) a
+    document's state ends ``keep_seconds`` after it is closed or ``idle_seconds`` after
+    its last row, if these are given; a row of it that comes later begins a new document."""
     _ = components.sparkSession.streams  # a batch needs the coordinator of state stores, too
-    timers = components.isStreaming
-    made = OrderedCorrection(corrector, labels or LABELS, glossary, timers, keep_seconds, idle_seconds)
+    timers = components.isStreaming and (keep_seconds is not None or idle_seconds is not None)
+    made = OrderedCorrection(corrector, labels or LABELS, glossary, *((keep_seconds, idle_seconds) if timers else ()))
     return components.groupBy("document_id").transformWithStateInPandas(made, OUTPUT, "Append", "ProcessingTime" if timers else "None")
 
 
@@ -262,8 +263,8 @@ CLAIMS = "name string, sha256 string, event_id long, kind string"
 
 
 class _Claims(StatefulProcessor):
-    def __init__(self, lease_seconds: float, timers: bool):
-        self.lease, self.timers = lease_seconds, timers
+    def __init__(self, lease_seconds: float | None):
+        self.lease = lease_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -285,7 +286,7 @@ class _Claims(StatefulProcessor):
             self.held.clear()
         else:
             self.held.update((holder, done))
-        if self.timers:
+        if self.lease is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             if holder is not None and not done:
@@ -301,14 +302,15 @@ class _Claims(StatefulProcessor):
         pass
 
 
-def upload_claims(events: DataFrame, lease_seconds: float = 3600) -> DataFrame:
+def upload_claims(events: DataFrame, lease_seconds: float | None = None) -> DataFrame:
     """name, sha256, event_id, accepted of each claim of a stream or batch of upload
     events (CLAIMS; kind: claim, done or failed, in order of event_id). A claim is accepted
-    if nobody holds the file; a failure releases it, and so does a claim of which a
-    stream hears nothing for ``lease_seconds``."""
+    if nobody holds the file; a failure releases it. In a stream that runs on, a claim of
+    which nothing is heard for ``lease_seconds``, if given, is released as well."""
     _ = events.sparkSession.streams
-    made = _Claims(lease_seconds, events.isStreaming)
-    return events.groupBy("name", "sha256").transformWithStateInPandas(made, "name string, sha256 string, event_id long, accepted boolean", "Append", "ProcessingTime" if events.isStreaming else "None")
+    timers = events.isStreaming and lease_seconds is not None
+    made = _Claims(lease_seconds if timers else None)
+    return events.groupBy("name", "sha256").transformWithStateInPandas(made, "name string, sha256 string, event_id long, accepted boolean", "Append", "ProcessingTime" if timers else "None")
 
 
 def repeat_uploads(uploads: DataFrame, delay: str = "1 day") -> DataFrame:
