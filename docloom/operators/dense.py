@@ -13,6 +13,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from docloom.functions import text as T
 
@@ -110,11 +112,15 @@ def _grid(vectors: DataFrame, queries: DataFrame, k: int, block: int, vector_blo
     dealt = lambda df, i, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64(i), F.lit(n)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
     left, right = dealt(vectors, "chunk_id", "v_", down, "q_", across), dealt(queries, "query_id", "q_", across, "v_", down)
 
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
     def cell(some: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(some) or not len(asked):  # a block without rows comes without columns
+            return kinds.empty_table()
         best = _Best(_unit(_matrix(asked["vector"])), k)
         ids = some["chunk_id"].to_numpy()
         x = _matrix(some["vector"])
-        for at in range(0, len(ids) if len(asked) else 0, SLICE_ROWS):
+        for at in range(0, len(ids), SLICE_ROWS):
             best.add(ids[at : at + SLICE_ROWS], x[at : at + SLICE_ROWS])
         i, chunk, score = best.result()
         return pa.table({"query_id": asked["query_id"].take(pa.array(i)), "chunk_id": pa.array(chunk, some.schema.field("chunk_id").type), "score": pa.array(score, pa.float64())})
