@@ -115,7 +115,7 @@ def _grid(vectors: DataFrame, queries: DataFrame, k: int, block: int, vector_blo
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def cell(some: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(some) or not len(asked):  # a block without rows comes without columns
+        if "vector" not in some.column_names or "vector" not in asked.column_names:  # a block without rows comes without columns
             return kinds.empty_table()
         best = _Best(_unit(_matrix(asked["vector"])), k)
         ids = some["chunk_id"].to_numpy()
