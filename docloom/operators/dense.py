@@ -110,14 +110,16 @@ def _grid(vectors: DataFrame, queries: DataFrame, k: int, block: int, vector_blo
     dealt by a hash of the id, so none holds much more than its share."""
     down, across = (max(1, -(-df.count() // size)) for df, size in ((vectors, vector_block), (queries, block)))
     dealt = lambda df, i, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64(i), F.lit(n)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
+    # Another name than the vectors', as both sides may come from one table.
+    queries = queries.withColumnRenamed("vector", "asked_")
     left, right = dealt(vectors, "chunk_id", "v_", down, "q_", across), dealt(queries, "query_id", "q_", across, "v_", down)
 
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
     def cell(some: pa.Table, asked: pa.Table) -> pa.Table:
-        if "vector" not in some.column_names or "vector" not in asked.column_names:  # a block without rows comes without columns
+        if "vector" not in some.column_names or "asked_" not in asked.column_names:  # a block without rows comes without columns
             return kinds.empty_table()
-        best = _Best(_unit(_matrix(asked["vector"])), k)
+        best = _Best(_unit(_matrix(asked["asked_"])), k)
         ids = some["chunk_id"].to_numpy()
         x = _matrix(some["vector"])
         for at in range(0, len(ids), SLICE_ROWS):
