@@ -15,8 +15,8 @@ VISION_SYSTEM = "Mô tả hình bằng JSON {summary, text, values}. Chỉ ghi 
 MAX_CORRECTION_CHARS = 6000
 
 
-def answer(sources: list[str], question: str) -> str:
-    return "NGỮ CẢNH:\n\n" + "\n\n---\n\n".join(sources) + f"\n\nCÂU HỎI:\n{question}"
+def answer_column(sources: Column, question: Column) -> Column:
+    return F.concat(F.lit("NGỮ CẢNH:\n\n"), F.array_join(sources, "\n\n---\n\n"), F.lit("\n\nCÂU HỎI:\n"), question)
 
 
 def correction_py(text: str, previous: str = "", terms: str = "") -> str:

@@ -15,13 +15,14 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.resource import ResourceProfile
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom import schema, scratch
 from docloom.functions import prompts
 from docloom.functions import text as T
-from docloom.operators import bm25, chunking, compute, context, dense, evaluation, graph, profile, retrieval, segments
+from docloom.operators import bm25, chunking, compute, context, dense, evaluation, graph, models, profile, retrieval, segments
 from docloom.plans.config import PipelineConfig
 from docloom.plans.store import Store
 from docloom.sources import files, jsonl, office
@@ -31,6 +32,10 @@ REFUSAL = "Tôi không tìm thấy đủ thông tin trong tài liệu được c
 
 Generator = Callable[[str, str], str]
 Planner = Callable[[str], str]
+#: The columns of an answer, and the fields of a value that was computed for it.
+ANSWER = ["query_id", "query", "answer", "source_ids", "invalid_source_ids", "citations", "citation_valid", "refused", "reason", "unsupported_numbers", "injection", "computed"]
+COMPUTED_FIELDS = ["operation", "block_id", "column", "value", "filters", "label_of_extreme", "rows_used"]
+COMPUTED = "struct<operation:string,block_id:string,column:string,value:double,filters:array<struct<name:string,value:string>>,label_of_extreme:string,rows_used:bigint>"
 PLAN_FILTERS = ["source_file", "sheet_name", "chunk_type"]
 
 
@@ -162,9 +167,10 @@ class IngestionPipeline(_Pipeline):
 class RetrievalAnswerPipeline(_Pipeline):
     """Reads a frozen corpus; with ``frozen=False`` one that still grows."""
 
-    def __init__(self, spark, config=None, embed=None, score=retrieval.token_overlap, generate: Generator = quoting_generator, planner: Planner | None = None, frozen: bool = True):
+    def __init__(self, spark, config=None, embed=None, score=retrieval.token_overlap, generate: Generator = quoting_generator, planner: Planner | None = None, frozen: bool = True, profile: ResourceProfile | None = None):
+        """``generate`` may be a models.PerWorker; ``profile`` is what its stage asks of executors."""
         super().__init__(spark, config, embed)
-        self.score, self.generate, self.planner = score, generate, planner
+        self.score, self.generate, self.planner, self.profile = score, generate, planner, profile
         if frozen and (wrong := self.store.validate({"embedding_model": self.config.retrieval.dense_model})):
             raise PipelineModeError("; ".join(wrong))
         if self.store.setting("index.model") != self.config.retrieval.dense_model:
@@ -245,61 +251,55 @@ class RetrievalAnswerPipeline(_Pipeline):
         hits = retrieval.look_up(retrieval.fuse(rankings, r.fused_top_k, r.rrf_k), chunks).join(q.select("query_id", "query"), "query_id")
         return retrieval.rerank(hits, self.score if r.reranker_enabled else None, top_k or r.rerank_top_k)
 
-    def ask(self, questions: list[str] | DataFrame, filters: dict | None = None) -> list[dict]:
-        """An answer for each question of a bounded batch, with citations and
-        warnings. The batch is retrieved, computed and checked as a whole; only the
-        generator is called question by question."""
-        g, r, q = self.config.guardrails, self.config.retrieval, self._questions(questions)
+    def answers(self, questions: list[str] | DataFrame, filters: dict | None = None) -> DataFrame:
+        """A row for each question (their query_ids differ): query_id, query, answer,
+        source_ids, invalid_source_ids, citations, citation_valid, refused, reason,
+        unsupported_numbers, injection and computed. One plan for any number of
+        questions: sources, prompts, the generator and all checks run on executors.
+        A question without sound hits and without a computed value is refused unasked;
+        where the generator fails, the answer is a refusal that gives the error as reason."""
+        g, r, q = self.config.guardrails, self.config.retrieval, scratch.saved(self._questions(questions).select("query_id", "query"), "questions")
         hits = scratch.saved(self.retrieve(q, filters, boost=True, plans=self.plan(q) if self.planner else None), "hits")
-        seen = q.join(hits.drop("query"), "query_id", "left")
-        gate = {x["query_id"]: x for x in retrieval.confidence(seen, g.min_rerank_score, g.min_rrf_score, r.reranker_enabled, g.enabled).collect()}
-        blocks = self.store.table("blocks")
-        contexts = context.expand(hits, self.store.table("chunks"), self.store.table("edges"), blocks, r.neighbor_chunks, r.max_table_chars_in_context, self.config.generation.max_context_chars)
-        by_query: dict = {}
-        for c in contexts.collect():  # bounded: a few contexts for each question of the batch
-            by_query.setdefault(c["query_id"], []).append(c)
-        computed = {}
+        gate = retrieval.confidence(q.join(hits.drop("query"), "query_id", "left"), g.min_rerank_score, g.min_rrf_score, r.reranker_enabled, g.enabled)
+        blocks, most = self.store.table("blocks"), self.config.generation.max_context_chars
+        found = scratch.saved(context.expand(hits, self.store.table("chunks"), self.store.table("edges"), blocks, r.neighbor_chunks, r.max_table_chars_in_context, most), "contexts")
+        place = F.substring_index("source_id", "_", -1).cast("int")
+        sources = found.select("query_id", place.alias("position"), "source_id", F.col("content").alias("body"), F.col("citation").alias("cite"))
+        asked = q.join(gate, "query_id").withColumn("computed", F.lit(None).cast(COMPUTED))
         if self.config.generation.compute:
             tables = scratch.saved(hits.where("chunk_type in ('table', 'kpi')").select("query_id", F.explode("block_ids").alias("block_id")).distinct(), "tables")
-            for x in compute.compute(q, blocks.join(tables, "block_id", "left_semi"), tables).collect():
-                computed[x["query_id"]] = x
-        out, rows = {}, []
-        for x in q.collect():
-            qid, sum_ = x["query_id"], computed.get(x["query_id"])
-            if not gate[qid]["ok"] and not sum_:
-                out[qid] = {"query_id": qid, "answer": REFUSAL, "citations": [], "refused": True, "reason": gate[qid]["reason"]}
-                continue
-            prompt, known = self._prompt(by_query.get(qid, []), sum_)
-            answer, ids = _parse_answer(self.generate(prompts.ANSWER_SYSTEM, prompts.answer(prompt, x["query"])))
-            rows.append((qid, answer, ids, known, "\n\n".join(prompt), x["query"]))
-            out[qid] = {"reason": gate[qid]["reason"], "computed": sum_.asDict(recursive=True) if sum_ else None}
-        if rows:
-            df = self.spark.createDataFrame(rows, "query_id long, answer string, declared array<string>, known map<string,string>, context string, query string")
-            df = context.answer_sources(df).withColumns({"unsupported_numbers": T.unsupported_numbers("answer", "context"), "injection": T.detect_injection("query")})
-            for x in df.drop("known", "context", "declared").collect():
-                out[x["query_id"]] = x.asDict() | out[x["query_id"]]
-        answers = list(out.values())
+            value = scratch.saved(compute.compute(q, blocks.join(tables, "block_id", "left_semi"), tables), "computed")
+            counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+            shown = F.concat(F.upper("operation"), F.lit("("), "column", F.lit(") = "), T.format_number("value"))
+            name = F.concat(F.lit("SOURCE_"), (F.coalesce("n", F.lit(0)) + 1).cast("string"))
+            sources = sources.unionByName(value.join(counts, "query_id", "left").select("query_id", F.lit(0).alias("position"), name.alias("source_id"), shown.alias("body"), F.concat(F.lit("["), "block_id", F.lit("]")).alias("cite")))
+            asked = q.join(gate, "query_id").join(value.select("query_id", F.struct(*[F.col(c) for c in COMPUTED_FIELDS]).cast(COMPUTED).alias("computed")), "query_id", "left")
+        parts = sources.withColumn("content", F.concat(F.lit("["), "source_id", F.lit("]\ncontent:\n"), "body"))
+        prompt = context.prompt_budget(parts, most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "content", "source_id", "cite"))).alias("parts"))
+        prompt = prompt.select("query_id", F.col("parts.content").alias("parts"), F.map_from_arrays("parts.source_id", "parts.cite").alias("known"))
+        asked = asked.join(prompt, "query_id", "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<string>")))
+        asked = scratch.saved(asked.withColumn("known", F.coalesce("known", F.from_json(F.lit("{}"), "map<string,string>"))), "asked")
+        said = models.outputs(
+            asked.where("ok or computed is not null").select("query_id", F.lit(prompts.ANSWER_SYSTEM).alias("system"), prompts.answer_column(F.col("parts"), F.col("query")).alias("user")),
+            "query_id", ["system", "user"], self.generate, profile=self.profile,
+        )
+        fields = T.parse_json_object("output")
+        text = F.when(fields.isNotNull(), F.coalesce(F.try_variant_get(fields, "$.answer", "string"), F.lit(""))).otherwise(T.strip("output"))
+        ids = F.coalesce(F.transform(F.try_variant_get(fields, "$.source_ids", "array<string>"), lambda i: F.btrim(i, F.lit("[] "))), F.array().cast("array<string>"))
+        out = _checked(asked.join(said, "query_id", "left"), text, ids)
+        return scratch.saved(context.answer_sources(out).select(*ANSWER), "answers")
+
+    def ask(self, questions: list[str] | DataFrame, filters: dict | None = None) -> list[dict]:
+        """answers() of a bounded batch as dicts, by query_id; they are traced."""
+        answers = self.answers(questions, filters)
         self._trace(answers)
-        return answers
-
-    def _prompt(self, found: list, sum_) -> tuple[list[str], dict[str, str]]:
-        """The sources that fit the budget, a computed value first, and their citations."""
-        parts = [(f"SOURCE_{len(found) + 1}", f"{sum_['operation'].upper()}({sum_['column']}) = {sum_['value']:g}", f"[{sum_['block_id']}]")] if sum_ else []
-        parts += [(c["source_id"], c["content"], c["citation"]) for c in found]
-        shown, used, known = [], 0, {}
-        for source, content, cite in parts:
-            part = f"[{source}]\ncontent:\n{content}"
-            used += len(part)
-            if used > self.config.generation.max_context_chars:
-                break
-            shown.append(part)
-            known[source] = cite
-        return shown, known
-
-    def _trace(self, answers: list[dict]) -> None:
-        df = self.spark.createDataFrame([(uuid.uuid4().hex, json.dumps(a, ensure_ascii=False, default=str)) for a in answers], "trace_id string, record string")
-        masked = T.mask_pii("record") if self.config.guardrails.mask_pii else F.col("record")
-        df.select("trace_id", F.lit(dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")).alias("timestamp"), masked.alias("record")).coalesce(1).write.mode("append").json(str(Path(self.config.work_dir).parent / "traces"))
+        return [x.asDict(recursive=True) for x in answers.orderBy("query_id").collect()]
+
+    def _trace(self, answers: DataFrame) -> None:
+        record = F.to_json(F.struct(*answers.columns))
+        masked = T.mask_pii(record) if self.config.guardrails.mask_pii else record
+        now = dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
+        answers.select(F.expr("uuid()").alias("trace_id"), F.lit(now).alias("timestamp"), masked.alias("record")).write.mode("append").json(str(Path(self.config.work_dir).parent / "traces"))
 
     def evaluate(self, dataset: str, ks: tuple[int, ...] = (5, 10), answers: bool = False, report_file: str | None = None) -> dict:
         """Figures over a dataset of JSON lines, without boosts; with ``answers`` each
@@ -319,9 +319,9 @@ class RetrievalAnswerPipeline(_Pipeline):
         return report
 
     def _evaluate_answers(self, items: DataFrame) -> dict:
-        asked = self.ask(items.select("query_id", F.col("question").alias("query")))
-        rows = [(a["query_id"], a["answer"], list(a["citations"] or []), bool(a.get("citation_valid")), len(a.get("unsupported_numbers") or []), bool(a["refused"])) for a in asked]
-        given = self.spark.createDataFrame(rows, "query_id long, answer string, citations array<string>, citation_valid boolean, unsupported int, refused boolean")
+        given = self.answers(items.select("query_id", F.col("question").alias("query")))
+        self._trace(given)
+        given = given.select("query_id", "answer", "citations", "citation_valid", F.size("unsupported_numbers").alias("unsupported"), "refused")
         place = F.col("expected_location")
         judged = items.join(given, "query_id").withColumns(
             {
@@ -347,10 +347,15 @@ def _within(narrow: DataFrame, chunks: DataFrame) -> DataFrame:
     return out
 
 
-def _parse_answer(raw: str) -> tuple[str, list[str]]:
-    """(answer, source ids) of a generator's output: its JSON object, else the text as it is."""
-    try:
-        parsed = json.loads(raw[raw.index("{") : raw.rindex("}") + 1])
-        return str(parsed.get("answer", "")), [str(i).strip("[] ") for i in parsed.get("source_ids") or []]
-    except (ValueError, AttributeError):
-        return raw.strip(), []
+def _checked(said: DataFrame, text: Column, ids: Column) -> DataFrame:
+    """said (query, parts, known, reason, output, error) with answer, declared, reason,
+    injection and unsupported_numbers; text and ids read the generator's output."""
+    none, given = F.array().cast("array<string>"), F.col("output").isNotNull()
+    d = said.withColumns({"answer": F.when(given, text).otherwise(REFUSAL), "declared": F.when(given, ids).otherwise(none)})
+    return d.withColumns(
+        {
+            "reason": F.when(F.col("error").isNotNull(), F.concat(F.lit("generator_failed:"), "error")).otherwise(F.col("reason")),
+            "injection": T.detect_injection("query"),
+            "unsupported_numbers": F.when(given, T.unsupported_numbers("answer", F.array_join("parts", "\n\n"))).otherwise(none),
+        }
+    )
