@@ -79,11 +79,13 @@ def small_batches(spark: SparkSession):
 
 
 def saved(df: DataFrame, what: str, light: bool = False) -> DataFrame:
-    """Cut the lineage: write a table into the shared folder and read it back. A
-    light one (a few numbers a row) is written by fewer tasks, into larger files."""
+    """Cut the lineage: Spark writes a table into the shared folder and reads it back.
+    A light one (a few numbers a row) is written by fewer tasks, into larger files."""
     if light:
         df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 8))
-    return saved_map(df, lambda batches: batches, df.schema, what)
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def saved_map(df: DataFrame, run, schema, what: str, after=None, path: str | None = None) -> DataFrame:

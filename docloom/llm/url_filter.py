@@ -9,8 +9,8 @@ host is blocked where the lower posterior bound of its bad share passes a limit.
 
 Outcomes are an input (``bad``, null where a page has none). outcomes() gives those
 of the query: a page is bad if the quality classifier, fitted on labelled documents,
-finds the text of its article (else all visible text) worse than even, or if a name
-in its host is on a word list; a page without text has no outcome of its own.
+finds the text of its article (else all visible text) worse than even; a page without
+text has no outcome of its own.
 
 Pages are read once, in Python batches. All the rest is DataFrame work: counts by
 host are pre-aggregated, so that a hot host is a row per task, and only blocked hosts
@@ -46,9 +46,6 @@ RULES = [
     ("block", "net/fr/"),
 ]
 
-#: Names of hosts that mark a page as bad.
-WORDS = ["ads", "adserver", "adult", "bets", "betting", "casino", "escort", "gambling", "lottery", "malware", "phishing", "pills", "poker", "porn", "spam", "torrent", "viagra", "warez", "xxx"]
-
 #: Suffixes of two names under which domains are registered; a parameter.
 LONG_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ne.jp", "com.br", "com.mx", "com.ar", "co.in", "co.kr", "co.za", "com.cn", "com.tr", "com.tw"]
 
@@ -132,17 +129,16 @@ def main_text(html: str | None) -> str:
 SEEN = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("bad", pa.int32())])
 
 
-def outcomes(pages: DataFrame, forest: quality.Forest, words: list[str] = WORDS, good: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def outcomes(pages: DataFrame, forest: quality.Forest, good: float = 0.5, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A written table of page_id, host, path and bad (1 or 0; null without text)."""
-    url, names = pages[url_col].cast("string"), set(words)
+    url = pages[url_col].cast("string")
     slim = pages.select(pages[id_col].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), pages[html_col].cast("string").alias("html"))
 
     def judge(batches):
         for b in common.slices(batches):
             texts = list(map(main_text, b["html"].to_pylist()))
             low = forest.score(np.array([quality.statistics(t) for t in texts], float)) < good
-            named = [not names.isdisjoint(re.split("[^0-9a-z]+", h)) for h in b["host"].to_pylist()]
-            bad = [1 if n else int(x) if t else None for n, x, t in zip(named, low, texts, strict=True)]
+            bad = [int(x) if t else None for x, t in zip(low, texts, strict=True)]
             yield common.record(SEEN, page_id=b["page_id"], host=b["host"], path=b["path"], bad=bad)
 
     return common.saved_map(slim, judge, SEEN, "seen")

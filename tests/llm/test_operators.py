@@ -668,13 +668,12 @@ def test_urls(spark):
     clash = {c: F.lit("clash") for c in ("host", "n", "bad", "path", "fit", "domain", "suffix", "by_host", "rule", "verdict")}
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(clash)
     got = rows_of(url_filter.judge(url_filter.outcomes(pages, Plain())))
-    named = [not set(url_filter.WORDS).isdisjoint(plain_url(u)[0].replace("-", ".").split(".")) for _, u, _ in rows]
-    bad = [1 if n else None if not h else int(len(url_filter.main_text(h).split()) <= 3) for n, (_, _, h) in zip(named, rows, strict=True)]
+    bad = [int(len(url_filter.main_text(h).split()) <= 3) if h else None for _, _, h in rows]
     assert got == plain_verdicts([(i, u) for i, u, _ in rows], bad)
     assert {v for *_, rule, v in got if rule is None} == {"allow", "block"}
     empty = pages.limit(0)
     assert url_filter.judge(url_filter.outcomes(empty, Plain())).count() == 0
-    nothing = url_filter.judge(url_filter.outcomes(pages.where("html is null"), Plain(), words=[]))
+    nothing = url_filter.judge(url_filter.outcomes(pages.where("html is null"), Plain()))
     assert nothing.where("rule is null and verdict = 'block'").count() == 0
 
 
@@ -696,14 +695,19 @@ def test_main_text_of_long_pages(part):
     assert time.time() - begin < 10
 
 
+def test_main_text_of_long_names():
+    begin = time.time()
+    assert url_filter.main_text("<" + "a" * 1_000_000) == "<" + "a" * 1_000_000
+    assert time.time() - begin < 1
+
+
 def test_op10(spark):
     """The whole query by brute force: scores of main texts, then rules and reputations in plain Python."""
     forest = quality.train(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
     texts = [url_filter.main_text(p.html) for p in pages]
     low = [walk(forest, np.array(quality.statistics(t))) < 0.5 for t in texts]
-    named = [not set(url_filter.WORDS).isdisjoint(plain_url(p.url)[0].replace("-", ".").split(".")) for p in pages]
-    bad = [1 if n else int(x) if t else None for n, x, t in zip(named, low, texts, strict=True)]
+    bad = [int(x) if t else None for x, t in zip(low, texts, strict=True)]
     assert rows_of(url_filter.op10_url_filter(spark, SF)) == plain_verdicts([(p.page_id, p.url) for p in pages], bad)
 
 
