@@ -109,7 +109,8 @@ def test_hard_rows(spark, rows):
 
 def test_oracles(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         got = registry.queries()[name](spark, SF)
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
