@@ -15,10 +15,12 @@
    Where a bucket still holds heads of several classes, the pairs between its
    classes are verified as well. Small buckets give all these pairs. Large ones
    give a star of another head in each of TURNS turns, which joins most classes
-   with linear work. What stays mixed is then dealt into blocks of bounded size,
-   and each pair of blocks of a bucket goes to a task that tests all pairs of heads
-   of different classes and fitting sizes. So all candidates are tested or in one
-   class, and only links and block members, never pairs of heads, are rows.
+   with linear work. Of what stays mixed, two heads of different classes can only
+   be similar if they share one of their rarest shared shingles (meetings()); heads
+   meet there, a group that holds too much for a task is dealt into blocks, and each
+   pair of blocks of a group goes to a task that tests its heads of different
+   classes and fitting sizes. So all candidates are tested, in one class or too far
+   apart, and only links and members of groups, never pairs of heads, are rows.
 
 The similarity of sequences a and b is m / (|a| + |b| - m) with m the length of
 the common subsequence: Jaccard's, for shingles that stand in the same order.
@@ -37,14 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from docloom.llm import common
 
 K, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 2
-#: A bucket of up to SMALL heads gives all pairs between its classes, a larger one a star each turn and then blocks.
+#: A bucket of up to SMALL heads gives all pairs between its classes, a larger one a star each turn and then meetings.
 SMALL, TURNS = 16, 2
 #: Shingles that a block holds on average; a head counts as LIGHTEST at least.
 BLOCK, LIGHTEST = 40_000, 100
@@ -105,6 +107,13 @@ def occurrences(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(s: np.ndarray) -> np.ndarray:
+    """Shingles mixed with their occurrence number: those of one text are distinct, and
+    two texts have as many in common as their multisets of shingles."""
+    with np.errstate(over="ignore"):
+        return s ^ (occurrences(s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) if len(s) else s
+
+
 def order_minhash(s: np.ndarray, samples: int) -> np.ndarray:
     """A hash of each sampling's two least labelled shingles, in text order."""
     with np.errstate(over="ignore"):
@@ -361,9 +370,7 @@ def block_links(x: list[np.ndarray], y: list[np.ndarray] | None, x_labels: list[
     if not len(every):
         return []
     # Equal shingles of one text count by their occurrence, so they can't match twice.
-    with np.errstate(over="ignore"):
-        marked = lambda s: s ^ (occurrences(s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) if len(s) else s
-        mx, my = [marked(s) for s in x], [marked(s) for s in y]
+    mx, my = [labelled(s) for s in x], [labelled(s) for s in y]
     ny = np.array([len(s) for s in y])
     flat = np.concatenate(my)
     order = np.argsort(flat, kind="stable")
@@ -396,6 +403,38 @@ def block_links(x: list[np.ndarray], y: list[np.ndarray] | None, x_labels: list[
     return out
 
 
+def meetings(mixed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, head, size, label): groups of heads of mixed (head, size, label), such
+    that any two of different labels whose similarity reaches the threshold share one.
+
+    Texts of m and n shingles that are similar have t / (1 + t) * (m + n) of them in
+    common, and n >= t * m, hence t * m at least. Shingles of one label can't be among
+    these, so a head with fewer others than t * m meets nobody. Of those with more, the
+    rarest of all but t * m - 1 are kept: the rarest common one of two similar heads is
+    kept by both. Groups with the same members are one. Rows are linear in shingles."""
+    shared = pa.schema([("head", pa.int64()), ("bucket", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in common.slices(batches):
+            yield common.record(shared, head=b["row_key"], bucket=[labelled(np.frombuffer(s, np.uint64)).view(np.int64) for s in b["seq"].to_pylist()])
+
+    heads = common.saved(mixed.select("head", "size", "label").distinct(), "meeting", light=True)
+    mine = seqs.join(heads.select(F.col("head").alias("row_key")), "row_key").select("row_key", "seq")
+    held = common.map_arrow(mine, run, shared).select("head", F.explode("bucket").alias("bucket")).join(heads, "head")
+    held = common.saved(held, "held")
+    labels = lambda df: df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    wide = common.saved(labels(held).where("low <> high").select("bucket", "n"), "wide")
+    held = held.join(wide, "bucket")
+    needed = F.greatest(F.lit(1), F.ceil(F.col("size") * threshold - 1e-9))
+    at, every = Window.partitionBy("head").orderBy("n", "bucket"), Window.partitionBy("head")
+    held = held.withColumns({"at": F.row_number().over(at), "of": F.count(F.lit(1)).over(every)}).where(F.col("at") <= F.col("of") - needed + 1)
+    held = common.saved(held.select("bucket", "head", "size", "label"), "kept")
+    members = [F.bit_xor(F.xxhash64("head")).alias("x"), F.bit_xor(F.xxhash64("head", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("n")]
+    groups = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), *members).where("low <> high")
+    groups = common.saved(groups.groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "groups", light=True)
+    return held.join(groups, "bucket")
+
+
 def blocks(mixed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between the labels of each bucket of mixed (bucket, head, size,
     label), from all pairs of heads of different labels and fitting sizes.
@@ -465,7 +504,7 @@ def classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, n_bands:
         mixed = placed.join(mixed, "bucket")
         few, many = mixed.where("not large").drop("large"), common.saved(mixed.where("large").drop("large"), "many", light=True)
         if turn > TURNS:  # all small buckets are done since the first turn
-            fresh = blocks(many, seqs, threshold)
+            fresh = blocks(common.saved(meetings(many, seqs, threshold), "meetings"), seqs, threshold)
         else:
             lead = many.groupBy("bucket").agg(F.min_by(F.struct("head", "size", "label"), F.xxhash64("head", "bucket", F.lit(turn))).alias("lead")).select("bucket", "lead.*")
             lead = common.saved(lead, "lead", light=True)

@@ -303,6 +303,40 @@ def test_near_classes_of_thousands_of_copies(spark):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_meetings_lose_no_similar_pair(spark):
+    """Unlike texts with a common middle, some of them with a near copy: the copies meet,
+    and what does not reach the threshold hardly meets at all."""
+    rng = np.random.default_rng(11)
+    middle, rows = [f"m{i}" for i in range(60)], []
+    for k in range(400):
+        w = [f"a{k}x{i}" for i in range(25)] + middle + [f"b{rng.integers(40)}y{i}" for i in range(25)]
+        rows.append(w)
+        if k % 4 == 0:
+            w = list(w)
+            w[int(rng.integers(len(w)))] = "edit"
+            rows.append(w[int(rng.integers(3)) :] + ["m1 m2 m3 m4 m5 m6"] * (k % 3))
+    seq = [near_dedup.shingles(" ".join(w)) for w in rows]
+    mixed = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(seq)], "head long, size long, label long")
+    seqs = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(seq)], "row_key long, seq binary")
+    met: dict[int, set[int]] = {}
+    for r in near_dedup.meetings(mixed, seqs, 0.8).collect():
+        met.setdefault(r.bucket, set()).add(r["head"])
+    pairs = {(a, b) for g in met.values() for a in g for b in g if a < b}
+    similar = {(a, b) for a in range(len(seq)) for b in range(a + 1, len(seq)) if near_dedup.similarity(seq[a], seq[b]) >= 0.8}
+    assert len(similar) > 80 and similar <= pairs
+    assert len(pairs) < len(seq) ** 2 / 20
+    links = {(r.a, r.b) for r in near_dedup.blocks(near_dedup.meetings(mixed, seqs, 0.8), seqs, 0.8).collect()}
+
+    def parts(pairs):
+        of = list(range(len(seq)))
+        for a, b in sorted(pairs):
+            of = [of[a] if x == of[b] else x for x in of]
+        return [min(i for i, y in enumerate(of) if y == x) for x in of]
+
+    assert links <= similar and parts(links) == parts(similar)
+    assert near_dedup.meetings(mixed.limit(0), seqs, 0.8).isEmpty()
+
+
 def test_near_dedup_of_hard_rows(spark):
     docs = helpers.docs(spark)
     got = near_dedup.classes(docs).collect()
