@@ -15,12 +15,13 @@
    Where a bucket still holds heads of several classes, the pairs between its
    classes are verified as well. Small buckets give all these pairs. Large ones
    give a star of another head in each of TURNS turns, which joins most classes
-   with linear work. Of what stays mixed, two heads of different classes can only
-   be similar if they share one of their rarest shared shingles (meetings()); heads
-   meet there, a group that holds too much for a task is dealt into blocks, and each
-   pair of blocks of a group goes to a task that tests its heads of different
-   classes and fitting sizes. So all candidates are tested, in one class or too far
-   apart, and only links and members of groups, never pairs of heads, are rows.
+   with linear work. What stays mixed is then dealt into blocks of bounded size,
+   and each pair of blocks of a bucket goes to a task that tests its heads of
+   different classes and fitting sizes. In buckets of over FEW_BLOCKS blocks heads
+   first meet in groups: two of different classes can only be similar if they share
+   one of their rarest shared shingles (meetings()), and each such group is dealt
+   into blocks in place of the bucket. So all candidates are tested, in one class or
+   too far apart, and only links and members of groups, never pairs of heads, are rows.
 
 The similarity of sequences a and b is m / (|a| + |b| - m) with m the length of
 the common subsequence: Jaccard's, for shingles that stand in the same order.
@@ -50,6 +51,8 @@ K, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 2
 SMALL, TURNS = 16, 2
 #: Shingles that a block holds on average; a head counts as LIGHTEST at least.
 BLOCK, LIGHTEST = 40_000, 100
+#: Blocks of a bucket up to which all their pairs are tested, which copies a head once for each; above, heads meet by shingles.
+FEW_BLOCKS = 8
 #: Words whose hashes a worker keeps; a full cache starts anew.
 CACHE_WORDS = 300_000
 _WORDS = re.compile(r"\w+").findall
@@ -430,9 +433,20 @@ def meetings(mixed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     held = held.withColumns({"at": F.row_number().over(at), "of": F.count(F.lit(1)).over(every)}).where(F.col("at") <= F.col("of") - needed + 1)
     held = common.saved(held.select("bucket", "head", "size", "label"), "kept")
     members = [F.bit_xor(F.xxhash64("head")).alias("x"), F.bit_xor(F.xxhash64("head", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("n")]
-    groups = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), *members).where("low <> high")
-    groups = common.saved(groups.groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "groups", light=True)
-    return held.join(groups, "bucket")
+    several = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), *members).where("low <> high")
+    several = common.saved(several.groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "several", light=True)
+    return held.join(several, "bucket")
+
+
+def groups(mixed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
+    """mixed (bucket, head, size, label) with the meetings of its heads in place of each bucket of over FEW_BLOCKS blocks."""
+    crowded = mixed.groupBy("bucket").agg(F.sum(F.greatest("size", F.lit(LIGHTEST))).alias("w")).where(F.col("w") > FEW_BLOCKS * BLOCK).select("bucket")
+    crowded = common.saved(crowded, "crowded", light=True)
+    if crowded.isEmpty():
+        return mixed
+    rest = mixed.join(crowded, "bucket", "left_anti").select("bucket", "head", "size", "label")
+    met = meetings(mixed.join(crowded, "bucket"), seqs, threshold).select("bucket", "head", "size", "label")
+    return common.saved(rest.unionByName(met), "meetings", light=True)
 
 
 def blocks(mixed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
@@ -504,7 +518,7 @@ def classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, n_bands:
         mixed = placed.join(mixed, "bucket")
         few, many = mixed.where("not large").drop("large"), common.saved(mixed.where("large").drop("large"), "many", light=True)
         if turn > TURNS:  # all small buckets are done since the first turn
-            fresh = blocks(common.saved(meetings(many, seqs, threshold), "meetings"), seqs, threshold)
+            fresh = blocks(groups(many, seqs, threshold), seqs, threshold)
         else:
             lead = many.groupBy("bucket").agg(F.min_by(F.struct("head", "size", "label"), F.xxhash64("head", "bucket", F.lit(turn))).alias("lead")).select("bucket", "lead.*")
             lead = common.saved(lead, "lead", light=True)

@@ -268,10 +268,12 @@ def test_near_classes_equal_brute_force(spark, sf):
     assert all(r.class_size == sizes[r.class_id] for r in got.values())
 
 
-def test_near_classes_of_thousands_of_copies(spark):
+@pytest.mark.parametrize("few_blocks", [0, near_dedup.FEW_BLOCKS])
+def test_near_classes_of_thousands_of_copies(spark, monkeypatch, few_blocks):
     """Copies of one text, each with two edits of its own out of many: two are
     similar only if they share an edit (or nearly), so classes are many and small
     in buckets of hundreds."""
+    monkeypatch.setattr(near_dedup, "FEW_BLOCKS", few_blocks)
     rng = np.random.default_rng(7)
     base = [f"w{i}" for i in range(100)]
     rows = []
