@@ -415,16 +415,15 @@ def meetings(mixed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     these, so a head with fewer others than t * m meets nobody. Of those with more, the
     rarest of all but t * m - 1 are kept: the rarest common one of two similar heads is
     kept by both. Groups with the same members are one. Rows are linear in shingles."""
-    shared = pa.schema([("head", pa.int64()), ("bucket", pa.list_(pa.int64()))])
+    shared = pa.schema([("head", pa.int64()), ("size", pa.int64()), ("label", pa.int64()), ("bucket", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in common.slices(batches):
-            yield common.record(shared, head=b["row_key"], bucket=[labelled(np.frombuffer(s, np.uint64)).view(np.int64) for s in b["seq"].to_pylist()])
+            yield common.record(shared, head=b["head"], size=b["size"], label=b["label"], bucket=[labelled(np.frombuffer(s, np.uint64)).view(np.int64) for s in b["seq"].to_pylist()])
 
     heads = common.saved(mixed.select("head", "size", "label").distinct(), "meeting", light=True)
-    mine = seqs.join(heads.select(F.col("head").alias("row_key")), "row_key").select("row_key", "seq")
-    held = common.map_arrow(mine, run, shared).select("head", F.explode("bucket").alias("bucket")).join(heads, "head")
-    held = common.saved(held, "held")
+    mine = heads.join(seqs.select(F.col("row_key").alias("head"), "seq"), "head").select("head", "size", "label", "seq")
+    held = common.saved(common.map_arrow(mine, run, shared).select("head", "size", "label", F.explode("bucket").alias("bucket")), "held")
     labels = lambda df: df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
     wide = common.saved(labels(held).where("low <> high").select("bucket", "n"), "wide")
     held = held.join(wide, "bucket")
