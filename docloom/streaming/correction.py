@@ -97,15 +97,15 @@ class Ledger:
 def correct_text(text: str, previous: str, corrector: Corrector, segment: int = SEGMENT_CHARS, previous_chars: int = PREVIOUS_CHARS, ledger: Ledger | None = None) -> tuple[str, str]:
     """(content, status: success, partial or failed): segment by segment with the
     tail of what went before; one more try without it; then the raw segment. With a
-    ledger the corrector is given its terms as well, and each segment's names join it."""
+    ledger the first try is given its terms as well, and each segment's names join it."""
     out, bad = "", 0
     parts = split_segments_py(text, segment)
     for part in parts:
         tail = tail_py(out or previous, previous_chars)
-        known = () if ledger is None else ("; ".join(ledger.terms()),)
-        for context in (tail, ""):
+        tries = [(tail,), ("",)] if ledger is None else [(tail, "; ".join(ledger.terms())), ("", "")]
+        for context in tries:
             try:
-                new = corrector(part, context, *known)
+                new = corrector(part, *context)
             except Exception:  # a corrector's failure leaves the text as it is
                 continue
             if sound(part, new):

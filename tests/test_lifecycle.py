@@ -45,6 +45,20 @@ def test_glossary_of_a_document(spark):
     assert again["a", 0, 2] == "mới <>"
 
 
+def test_second_try_goes_without_context_and_terms():
+    calls = []
+
+    def corrector(text, previous, terms):
+        calls.append((previous, terms))
+        raise ValueError
+
+    ledger = correction.Ledger()
+    for _ in range(2):
+        ledger.add("theo Nguyễn Văn An")
+    assert correction.correct_text("abc", "trước", corrector, ledger=ledger) == ("abc", "failed")
+    assert calls == [("trước", "Nguyễn Văn An"), ("", "")]
+
+
 def run(spark, tmp_path, stream, seconds=60):
     """Start a stream into memory of files, until its state is empty and stays so."""
     with _rocksdb(spark):
