@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom import scratch
 from docloom.operators import chunking, context, graph, layout, profile
 from docloom.plans import fixtures
-from docloom.plans.queries_text import read, values_sql
+from docloom.plans.queries_text import by_order, read, values_sql
 from docloom.plans.registry import query
 from docloom.streaming import correction
 
@@ -84,8 +84,8 @@ def _orders(spark, sf_dir):
     that names the table of the line before (the first line's its own)."""
     from pyspark.sql import Window
 
-    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))
-    b = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"), line.alias("n"), F.col("l_partkey").cast("string").alias("part"), F.col("l_suppkey").cast("string").alias("supp"), F.col("l_returnflag").alias("mode"))
+    line = F.row_number().over(Window.partitionBy("document_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))
+    b = by_order(spark, sf_dir).select("document_id", line.alias("n"), F.col("l_partkey").cast("string").alias("part"), F.col("l_suppkey").cast("string").alias("supp"), F.col("l_returnflag").alias("mode"))
     number, before = F.col("n").cast("string"), F.greatest(F.lit(1), F.col("n") - 1).cast("string")
     kinds = F.array(
         F.struct(F.lit("caption").alias("block_type"), F.lit("c").alias("k"), F.lit(0).alias("at"), F.concat(F.lit("Bảng "), number, F.lit(": part "), "part").alias("content"), F.lit(None).cast("array<array<string>>").alias("rows")),

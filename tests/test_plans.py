@@ -42,3 +42,13 @@ def test_related_edges_need_no_nested_loop(spark):
 def test_top_k_is_cut_before_the_shuffle(spark):
     p = plan(catalog.queries()["bm25_topk"](spark, SF))
     assert "WindowGroupLimit" in p
+
+
+def test_blocks_dealt_by_document_are_not_dealt_again(spark):
+    """One exchange of the lines for the blocks, one for their captions, one of finished chunks for their ordinals."""
+    assert plan(catalog.queries()["chunks_of_orders"](spark, SF)).count("Exchange hashpartitioning") == 3
+
+
+def test_derivations_stand_beside_their_origin(spark):
+    p = plan(catalog.queries()["derived_lines"](spark, SF))
+    assert "Join" not in p and p.count("Exchange hashpartitioning") == 1
