@@ -52,3 +52,8 @@ def test_blocks_dealt_by_document_are_not_dealt_again(spark):
 def test_derivations_stand_beside_their_origin(spark):
     p = plan(catalog.queries()["derived_lines"](spark, SF))
     assert "Join" not in p and p.count("Exchange hashpartitioning") == 1
+
+
+def test_contexts_of_many_queries_go_through_a_task_at_once(spark):
+    p = plan(catalog.queries()["budgeted_contexts"](spark, SF))
+    assert "MapInArrow" in p and "FlatMapGroups" not in p
