@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -53,6 +53,8 @@ SMALL, TURNS = 16, 2
 BLOCK, LIGHTEST = 40_000, 100
 #: Blocks of a bucket up to which all their pairs are tested, which copies a head once for each; above, heads meet by shingles.
 FEW_BLOCKS = 8
+#: Counters of shingles, as powers of two: at least, at most; and how many a task sends at a time.
+LEAST_BITS, MOST_BITS, COUNTERS = 16, 22, 100_000
 #: Words whose hashes a worker keeps; a full cache starts anew.
 CACHE_WORDS = 300_000
 _WORDS = re.compile(r"\w+").findall
@@ -406,6 +408,37 @@ def block_links(x: list[np.ndarray], y: list[np.ndarray] | None, x_labels: list[
     return out
 
 
+def slot(s: np.ndarray, bits: int) -> np.ndarray:
+    """The counters of labelled shingles among 2 ** bits."""
+    with np.errstate(over="ignore"):
+        return ((s * _MUL) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def counted(mine: DataFrame, bits: int) -> str:
+    """The folder of a written table (slot, n) of the counters of shingles in mine (head, label,
+    seq) that heads of different labels have: n, how many heads. A task sends its counters."""
+    out = pa.schema([("slot", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        n, low, high = np.zeros(1 << bits, np.int32), None, None
+        for b in common.slices(batches):
+            if low is None:
+                low, high = np.full(1 << bits, 2**63 - 1, np.int64), np.full(1 << bits, -(2**63), np.int64)
+            for label, raw in zip(b["label"].to_pylist(), b["seq"].to_pylist(), strict=True):
+                at = slot(labelled(np.frombuffer(raw, np.uint64)), bits)
+                n[at] += 1
+                low[at], high[at] = np.minimum(low[at], label), np.maximum(high[at], label)
+        used = np.flatnonzero(n)
+        for i in range(0, len(used), COUNTERS):
+            at = used[i : i + COUNTERS]
+            yield common.record(out, slot=at, n=n[at], low=low[at], high=high[at])
+
+    every = common.map_arrow(mine.select("label", "seq"), run, out).groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    path = common.scratch_path(mine.sparkSession, "counters")
+    every.where("low <> high").select("slot", "n").write.parquet(path)
+    return path
+
+
 def meetings(mixed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     """(bucket, head, size, label): groups of heads of mixed (head, size, label), such
     that any two of different labels whose similarity reaches the threshold share one.
@@ -414,23 +447,36 @@ def meetings(mixed: DataFrame, seqs: DataFrame, threshold: float) -> DataFrame:
     common, and n >= t * m, hence t * m at least. Shingles of one label can't be among
     these, so a head with fewer others than t * m meets nobody. Of those with more, the
     rarest of all but t * m - 1 are kept: the rarest common one of two similar heads is
-    kept by both. Groups with the same members are one. Rows are linear in shingles."""
+    kept by both. Any order that all heads share serves, so how rare a shingle is comes from
+    counters that others may share, which every task reads; only kept ones are dealt out.
+    Groups with the same members are one. Rows are linear in shingles."""
     shared = pa.schema([("head", pa.int64()), ("size", pa.int64()), ("label", pa.int64()), ("bucket", pa.list_(pa.int64()))])
+    heads = common.saved(mixed.select("head", "size", "label").distinct(), "meeting", light=True)
+    total = heads.agg(F.sum("size")).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (2 * total).bit_length()))
+    mine = common.saved(heads.join(seqs.select(F.col("row_key").alias("head"), "seq"), "head").select("head", "size", "label", "seq"), "meeting")
+    path = counted(mine, bits)
 
     def run(batches: Iterator[pa.RecordBatch]):
+        found = None
         for b in common.slices(batches):
-            yield common.record(shared, head=b["head"], size=b["size"], label=b["label"], bucket=[labelled(np.frombuffer(s, np.uint64)).view(np.int64) for s in b["seq"].to_pylist()])
-
-    heads = common.saved(mixed.select("head", "size", "label").distinct(), "meeting", light=True)
-    mine = heads.join(seqs.select(F.col("row_key").alias("head"), "seq"), "head").select("head", "size", "label", "seq")
-    held = common.saved(common.map_arrow(mine, run, shared).select("head", "size", "label", F.explode("bucket").alias("bucket")), "held")
-    labels = lambda df: df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    wide = common.saved(labels(held).where("low <> high").select("bucket", "n"), "wide")
-    held = held.join(wide, "bucket")
-    needed = F.greatest(F.lit(1), F.ceil(F.col("size") * threshold - 1e-9))
-    at, every = Window.partitionBy("head").orderBy("n", "bucket"), Window.partitionBy("head")
-    held = held.withColumns({"at": F.row_number().over(at), "of": F.count(F.lit(1)).over(every)}).where(F.col("at") <= F.col("of") - needed + 1)
-    held = common.saved(held.select("bucket", "head", "size", "label"), "kept")
+            if found is None:
+                found = common.read_side(path, ["slot", "n"])
+                slots, n = (found[c].to_numpy() if found is not None else np.zeros(0, np.int64) for c in ("slot", "n"))
+                order = np.argsort(slots)
+                slots, n = np.append(slots[order], 1 << bits), np.append(n[order], 0)
+            kept = []
+            for size, raw in zip(b["size"].to_pylist(), b["seq"].to_pylist(), strict=True):
+                s = labelled(np.frombuffer(raw, np.uint64))
+                at = slot(s, bits)
+                place = np.searchsorted(slots, at)
+                wide = slots[place] == at
+                s, often = s[wide], n[place[wide]]
+                keep = max(0, len(s) - max(1, int(np.ceil(size * threshold - 1e-9))) + 1)
+                kept.append(s[np.lexsort((s, often))[:keep]].view(np.int64))
+            yield common.record(shared, head=b["head"], size=b["size"], label=b["label"], bucket=kept)
+
+    held = common.saved(common.map_arrow(mine, run, shared).select(F.explode("bucket").alias("bucket"), "head", "size", "label"), "kept")
     members = [F.bit_xor(F.xxhash64("head")).alias("x"), F.bit_xor(F.xxhash64("head", F.lit(1))).alias("y"), F.count(F.lit(1)).alias("n")]
     several = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), *members).where("low <> high")
     several = common.saved(several.groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "several", light=True)

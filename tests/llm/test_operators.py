@@ -339,6 +339,36 @@ def test_meetings_lose_no_similar_pair(spark):
     assert near_dedup.meetings(mixed.limit(0), seqs, 0.8).isEmpty()
 
 
+def _made_by_joins(spark, before: int) -> int:
+    """Rows that the joins of all executions after the first ``before`` have made."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    every = store.executionsList()
+    for i in range(before, every.size()):
+        k = every.apply(i).executionId()
+        nodes, values = store.planGraph(k).allNodes(), store.executionMetrics(k)
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            for m in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and (v := values.get(m.accumulatorId())).isDefined():
+                    total += int(v.get().replace(",", ""))
+    return total
+
+
+def test_meetings_join_kept_shingles_only(spark):
+    """Heads that share most shingles: those that rarity leaves out pass through no join."""
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    seq = []
+    for _ in range(60):
+        s = base.copy()
+        s[rng.integers(0, 1000, 150)] = rng.integers(0, 2**63, 150, dtype=np.uint64)
+        seq.append(s)
+    mixed = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(seq)], "head long, size long, label long")
+    seqs = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(seq)], "row_key long, seq binary")
+    before = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    assert near_dedup.meetings(mixed, seqs, 0.8).count()
+    assert _made_by_joins(spark, before) < 0.25 * sum(map(len, seq))
+
+
 def test_near_dedup_of_hard_rows(spark):
     docs = helpers.docs(spark)
     got = near_dedup.classes(docs).collect()
