@@ -135,7 +135,11 @@ def _rankings(spark, sf_dir):
     sparse = bm25.search(_index(spark, sf_dir), _questions(spark, sf_dir), 30).select("query_id", F.lit("sparse").alias("kind"), "chunk_id", "rank")
     q = _questions(spark, sf_dir).select("query_id", F.length("query").alias("n"))
     near = F.abs(F.col("n_chars") - F.col("n"))
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "n_chars").join(F.broadcast(q), how="cross")
+    # Documents of equal length tie for every query, so only the least 30 ids of each length can be among the best.
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "n_chars")
+    d = d.withColumn("at", F.row_number().over(Window.partitionBy("n_chars").orderBy("chunk_id"))).where("at <= 30").drop("at")
+    d = scratch.saved(d, "near")
+    d = d.repartition(d.count() * q.count() // bm25.SCORED + 1, "chunk_id").join(F.broadcast(q), how="cross")
     d = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(near, "chunk_id"))).where("rank <= 30").select("query_id", F.lit("dense").alias("kind"), "chunk_id", "rank")
     return sparse.unionByName(d)
 
