@@ -3,8 +3,8 @@
 Generators of high recall propose spans: the base kinds (email, ip, card, phone) with
 their checks, and loose forms (spelled-out addresses, numbers without a country code,
 identity numbers, bank accounts, IPv6). A candidate's format and the text around it
-give its features. Trees, fitted on the driver from a bounded sample, score the loose
-candidates; a threshold for each generator, set on candidates held out from fitting,
+give its features. Trees, fitted on all labelled candidates by passes over their counts, score
+the loose candidates; a threshold for each generator, set on candidates held out from fitting,
 selects those to redact. Base spans that pass their check always stay.
 
 No one has labelled candidates, so labels come from a distance: a loose candidate
@@ -31,12 +31,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom import scratch
 from docloom.functions.text import let
-from docloom.llm import common, quality
+from docloom.llm import boosting, common, quality
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _LABEL = "[A-Za-z0-9-]"
@@ -86,6 +87,8 @@ EXAMPLES = [
 ]
 
 CONTEXT = 40
+#: Scores from 0 to 1 are told apart by so many steps where thresholds are set.
+STEPS = 10_000
 
 
 def _matches(text: Column, g: int, pattern: str, gate: str) -> Column:
@@ -218,30 +221,40 @@ def _examples(spark: SparkSession) -> DataFrame:
     return found.select("g", _vector(_features(*map(F.col, ("g", "m", "before", "after")))).alias("f"), "label")
 
 
-def fit(found: DataFrame, max_rows: int = 20_000, repeat: int = 10, precision: float = 0.9, doubtful: float = 0.8, trees: int = 40, leaves: int = 6) -> Model:
-    """Fit on at most ``max_rows`` labelled candidates (those with the least hash of
-    their features, half of each label), and on each worked example ``repeat`` times.
-    A third of the candidates is held out: a generator's threshold is the least score,
-    of a half at least, from which on a share of ``precision`` of those held out is
-    personal data; with fewer than twenty held out, or none so good, it is ``doubtful``."""
-    labelled = found.where("label is not null").select("g", "f", F.col("label").cast("int").alias("label"))
-    some = [labelled.where(F.col("label") == y).orderBy(F.xxhash64("f"), "f").limit(max_rows // 2) for y in (0, 1)]
-    rows = some[0].unionByName(some[1]).withColumn("held", F.pmod(F.xxhash64("f", F.lit(7)), F.lit(3)) == 0).collect()  # at most max_rows
-    given = [(r["f"], r["label"]) for r in _examples(found.sparkSession).collect()] * repeat
-    use = sorted(given + [(r["f"], r["label"]) for r in rows if not r["held"]])
-    forest = quality.fit(np.array([x for x, _ in use], float), np.array([y for _, y in use], float), trees=trees, leaves=leaves, rate=0.2, least=5)
+def fit(found: DataFrame, repeat: int = 10, share: int = 20_000, precision: float = 0.9, doubtful: float = 0.8, trees: int = 40, leaves: int = 6) -> Model:
+    """Fit on all labelled candidates but a third, and on each worked example ``repeat``
+    times (with more than ``share`` candidates more often, so that it keeps its share).
+    The third, by a hash of the features, is held out: a generator's threshold is the
+    least score, of a half at least and in steps of 1 / STEPS, from which on a share of
+    ``precision`` of those held out is personal data; with fewer than twenty held out,
+    or none so good, it is ``doubtful``."""
+    labelled = found.where("label is not null").select("f", F.col("label").cast("int").alias("label"), F.lit(1).alias("weight"))
+    rows = labelled.withColumn("held", F.pmod(F.xxhash64("f", F.lit(7)), F.lit(3)) == 0)
+    times = repeat * max(1.0, labelled.count() / share)
+    given = _examples(found.sparkSession).select("f", "label", F.lit(round(times)).alias("weight"), F.lit(False).alias("held"))
+    counted = boosting.counted(rows.unionByName(given), "held")
+    forest, by_bins = boosting.fit(counted.where("not held"), len(NAMES), trees=trees, leaves=leaves, rate=0.2, least=5)
+
+    def scored(batches):
+        total = np.zeros((2, len(KINDS) * (STEPS + 1)), np.int64)
+        for x, ones, n in boosting.batches_of(batches):
+            at = x[:, 0] * (STEPS + 1) + np.floor(by_bins.score(x) * STEPS).astype(np.int64)
+            for t, v in zip(total, (ones, n), strict=True):
+                np.add.at(t, at, v)
+        at = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_pydict({"at": at, "ones": total[0][at], "n": total[1][at]})
+
+    held = np.zeros((2, len(KINDS) * (STEPS + 1)))
+    for r in boosting.summed(counted.where("held"), scored, ["ones", "n"]):
+        held[:, r["at"]] = r["ones"], r["n"]
     thresholds = []
-    for g in range(len(KINDS)):
-        held = [r for r in rows if r["held"] and r["g"] == g]
+    for g, (ones, n) in enumerate(held.reshape(2, len(KINDS), STEPS + 1).transpose(1, 0, 2)):
         limit = doubtful
-        if g >= BASE and len(held) >= 20:
-            score = forest.score(np.array([r["f"] for r in held], float))
-            order = np.argsort(-score, kind="stable")
-            right = np.cumsum([held[i]["label"] for i in order])
-            good = (right + 1) / (np.arange(len(held)) + 3) >= precision
-            last = np.append(np.diff(score[order]) != 0, True)  # the last of equal scores
-            if len(at := np.flatnonzero(good & last & (score[order] >= 0.5))):
-                limit = float(score[order][at[-1]])
+        if g >= BASE and n.sum() >= 20:
+            right, every = (np.cumsum(v[::-1])[::-1] for v in (ones, n))
+            good = (n > 0) & ((right + 1) / (every + 2) >= precision)
+            if len(at := np.flatnonzero(good[STEPS // 2 :])):
+                limit = (STEPS // 2 + int(at[0])) / STEPS
         thresholds.append(limit)
     return Model(forest, thresholds)
 

@@ -105,11 +105,15 @@ class Forest:
         """Probability of label 1 for rows of statistics."""
         if not len(self.roots):
             return np.full(len(x), 1 / (1 + np.exp(-self.base)))
+        return 1 / (1 + np.exp(-(self.base + self.value[self.ends(x)].sum(axis=1))))
+
+    def ends(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each tree that a row ends in."""
         node = np.broadcast_to(self.roots, (len(x), len(self.roots)))
         row = np.arange(len(x))[:, None]
         for _ in range(self.depth):
             node = np.where(x[row, self.feature[node]] <= self.threshold[node], self.left[node], self.right[node])
-        return 1 / (1 + np.exp(-(self.base + self.value[node].sum(axis=1))))
+        return node
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 120, leaves: int = 15, rate: float = 0.1, bins: int = 64, least: int = 8, l2: float = 1.0) -> Forest:

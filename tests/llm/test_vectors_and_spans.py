@@ -289,3 +289,20 @@ def test_queries_go_along_the_graph():
         want = np.argsort(((x[:, None] - c[None]) ** 2).sum(axis=2), axis=1)[:, :k]
         found = np.mean([len(set(a.tolist()) & set(b.tolist())) / k for a, b in zip(near, want, strict=True)])
         assert found > 0.95 and (np.diff(d, axis=1) >= 0).all()
+
+
+def test_personal_data_is_fitted_on_all_candidates(spark):
+    """Many copies of two rows do not hide a third one, and thresholds count all that is held out."""
+    row = lambda **v: [float({"kind": 5, **v}.get(n, 0)) for n in personal_data.NAMES]
+    kinds = [row(length=10 + i, digits=i % 7, cue_0=1) for i in range(40)]
+    df = spark.createDataFrame([(f,) for f in kinds], "f array<double>").select("f", F.xxhash64("f").alias("h"), (F.pmod(F.xxhash64("f", F.lit(7)), F.lit(3)) == 0).alias("held"))
+    order = sorted(df.collect(), key=lambda r: r.h)
+    flood, rare = next(r for r in order if not r.held), [r for r in order if not r.held][-1]
+    other, least = row(length=30), [r for r in order if r.held][:2]
+    few = [(flood.f, 1, 11_000), (other, 0, 30_000), (rare.f, 0, 4_000), (least[0].f, 1, 11_000), (least[1].f, 0, 9_000)]
+    found = spark.createDataFrame([(5, f, y, n) for f, y, n in few], "g int, f array<double>, label int, n int").select("g", "f", "label", F.explode(F.sequence(F.lit(1), "n")))
+    model = personal_data.fit(found.drop("col"))
+    score = {tuple(r.f): r.s for r in found.select("f").distinct().withColumn("s", model.score()).collect()}
+    assert score[tuple(flood.f)] > 0.8 and score[tuple(other)] < 0.2 and score[tuple(rare.f)] < 0.2
+    again = personal_data.fit(found.drop("col").repartition(7))
+    assert again.thresholds == model.thresholds and (again.forest.value == model.forest.value).all()
