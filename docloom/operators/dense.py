@@ -83,13 +83,16 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Vectors that are compared with a block of queries at a time.
 SLICE_ROWS = 1024
+#: Queries of a cell, at least; of these SLICE_ROWS are scored at a time.
+CELL_QUERIES = 16_384
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 30, block: int = 4096, vector_block: int = 65_536) -> DataFrame:
     """query_id, chunk_id, score, rank: exact cosine search of all queries
     (query_id, vector) over all vectors (chunk_id, vector), ties by chunk_id; rows
     without a vector take no part. Up to ``block`` queries go to the tasks that read
-    the vectors, which are not shuffled then. More are dealt into blocks of that size,
+    the vectors, which are not shuffled then. More are dealt into blocks of that size or of
+    CELL_QUERIES, whichever is more, as each block of queries has a copy of all vectors;
     vectors into blocks of ``vector_block``, and each pair of blocks meets in a cell of
     its own. A task or cell keeps its k best for each query, so what is merged grows
     with queries and blocks, not with pairs. For large corpora use an approximate index."""
@@ -100,7 +103,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 30, block: int = 409
     if len(rows) <= block:
         found = vectors.mapInPandas(_scan([r["query_id"] for r in rows], _unit(np.array([r["vector"] for r in rows], np.float64)), k), schema) if rows else vectors.limit(0).mapInPandas(lambda batches: iter(()), schema)
     else:
-        found = _grid(vectors, queries, k, block, vector_block, schema)
+        found = _grid(vectors, queries, k, max(block, CELL_QUERIES), vector_block, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "chunk_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -119,13 +122,15 @@ def _grid(vectors: DataFrame, queries: DataFrame, k: int, block: int, vector_blo
     def cell(some: pa.Table, asked: pa.Table) -> pa.Table:
         if "vector" not in some.column_names or "asked_" not in asked.column_names:  # a block without rows comes without columns
             return kinds.empty_table()
-        best = _Best(_unit(_matrix(asked["asked_"])), k)
-        ids = some["chunk_id"].to_numpy()
-        x = _matrix(some["vector"])
-        for at in range(0, len(ids), SLICE_ROWS):
-            best.add(ids[at : at + SLICE_ROWS], x[at : at + SLICE_ROWS])
-        i, chunk, score = best.result()
-        return pa.table({"query_id": asked["query_id"].take(pa.array(i)), "chunk_id": pa.array(chunk, some.schema.field("chunk_id").type), "score": pa.array(score, pa.float64())})
+        q, ids, x = _unit(_matrix(asked["asked_"])), some["chunk_id"].to_numpy(), _matrix(some["vector"])
+        out = []
+        for a in range(0, len(q), SLICE_ROWS):
+            best = _Best(q[a : a + SLICE_ROWS], k)
+            for at in range(0, len(ids), SLICE_ROWS):
+                best.add(ids[at : at + SLICE_ROWS], x[at : at + SLICE_ROWS])
+            i, chunk, score = best.result()
+            out.append(pa.table({"query_id": asked["query_id"].take(pa.array(a + i)), "chunk_id": pa.array(chunk, some.schema.field("chunk_id").type), "score": pa.array(score, pa.float64())}))
+        return pa.concat_tables(out)
 
     return left.groupBy("v_", "q_").cogroup(right.groupBy("v_", "q_")).applyInArrow(cell, schema)
 
