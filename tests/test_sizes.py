@@ -1,7 +1,9 @@
 """What steps hold and deal out: no more copies, and no larger batches, than they need."""
 
 import numpy as np
+import pyarrow as pa
 
+from docloom.functions import splitters
 from docloom.operators import dense
 
 
@@ -19,3 +21,10 @@ def test_vectors_are_not_copied_for_few_queries(spark):
     want = np.argsort(-(u @ u.T).round(12), axis=1, kind="stable")[:, :3]
     got = {(r.query_id, r["rank"]): r.chunk_id for r in hits.collect()}
     assert got == {(i, k + 1): int(j) for i, row in enumerate(want) for k, j in enumerate(row)}
+
+
+def test_texts_are_split_few_at_a_time():
+    run = splitters._each(lambda t: [t]).func
+    out = list(run(iter([pa.array(["x" * 400_000, None, "y"] * 400)])))
+    assert sum(map(len, out)) == 1200 and max(map(len, out)) <= 9
+    assert len(list(run(iter([pa.array([""] * 1000)])))) == 4
