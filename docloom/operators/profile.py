@@ -63,7 +63,10 @@ def conflicts(entries: DataFrame) -> DataFrame:
 
 def bigrams(blocks: DataFrame, limit: int = 12, least: int = 3) -> DataFrame:
     """(document_id, rank, term, n): most frequent pairs of neighbouring words of a
-    block, stop-words and single letters aside; ties by first appearance in order of the term."""
+    block, stop-words and single letters aside; ties by first appearance in order of the term.
+    Blocks are dealt by document before they are cut, so texts are shuffled, not their pairs."""
+    parts = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks.select("document_id", "content").repartition(parts, "document_id")
     words = F.transform(F.regexp_extract_all("content", F.lit(r"(\p{L}+)"), F.lit(1)), F.lower)
     b = blocks.select("document_id", words.alias("w")).where(F.size("w") > 1)
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))

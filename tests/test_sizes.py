@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from docloom.functions import splitters
-from docloom.operators import dense
+from docloom.operators import dense, profile
 
 
 def _plan(df):
@@ -28,3 +28,10 @@ def test_texts_are_split_few_at_a_time():
     out = list(run(iter([pa.array(["x" * 400_000, None, "y"] * 400)])))
     assert sum(map(len, out)) == 1200 and max(map(len, out)) <= 9
     assert len(list(run(iter([pa.array([""] * 1000)])))) == 4
+
+
+def test_pairs_of_words_are_counted_where_their_texts_are(spark):
+    b = spark.createDataFrame([("d", "trời mưa ướt trời mưa ướt"), ("d", "trời mưa"), ("e", "x y")], "document_id string, content string").repartition(2)
+    found = profile.bigrams(b, least=2)
+    assert _plan(found).count("Exchange hashpartitioning") == 1
+    assert [(r.document_id, r.term, r.n) for r in found.orderBy("rank").collect()] == [("d", "trời mưa", 3), ("d", "mưa ướt", 2)]
