@@ -139,7 +139,8 @@ SELECT d AS query_id, block_id, row_number() OVER (PARTITION BY d ORDER BY kind,
 def related_of_orders(spark, sf_dir):
     """What belongs to the first table of each order, rendered."""
     blocks = _orders(spark, sf_dir)
-    edges, full = graph.build(blocks)
-    hits = full.where("block_id like '%/t1'").select(F.col("document_id").alias("query_id"), F.col("block_id").alias("chunk_id"), F.array("block_id").alias("block_ids"))
-    r = context.related_blocks(hits, edges, full)
+    edges, _ = graph.build(blocks)
+    # What is shown of a block is as it came, so the blocks with their captions and references need not be made.
+    hits = blocks.where("block_id like '%/t1'").select(F.col("document_id").alias("query_id"), F.col("block_id").alias("chunk_id"), F.array("block_id").alias("block_ids"))
+    r = context.related_blocks(hits, edges, blocks)
     return r.select("query_id", "block_id", F.col("place").cast("long").alias("place"), "rendered")

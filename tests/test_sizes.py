@@ -2,9 +2,13 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from docloom import scratch
 from docloom.functions import splitters
-from docloom.operators import dense, profile
+from docloom.operators import context, dense, profile, segments
+from docloom.plans import catalog, queries_text
+from tests.conftest import SF
 
 
 def _plan(df):
@@ -23,7 +27,7 @@ def test_vectors_are_not_copied_for_few_queries(spark):
     assert got == {(i, k + 1): int(j) for i, row in enumerate(want) for k, j in enumerate(row)}
 
 
-def test_texts_are_split_few_at_a_time():
+def test_texts_are_split_few_at_a_time(spark):
     run = splitters._each(lambda t: [t]).func
     out = list(run(iter([pa.array(["x" * 400_000, None, "y"] * 400)])))
     assert sum(map(len, out)) == 1200 and max(map(len, out)) <= 9
@@ -35,3 +39,41 @@ def test_pairs_of_words_are_counted_where_their_texts_are(spark):
     found = profile.bigrams(b, least=2)
     assert _plan(found).count("Exchange hashpartitioning") == 1
     assert [(r.document_id, r.term, r.n) for r in found.orderBy("rank").collect()] == [("d", "trời mưa", 3), ("d", "mưa ướt", 2)]
+
+
+def test_lines_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(queries_text, "LINES", 100)
+    lines = queries_text.by_order(spark, SF)
+    assert lines.rdd.getNumPartitions() == -(-lines.count() // 100)
+
+
+def test_related_blocks_read_edges_once(spark):
+    edges = spark.createDataFrame([("t", "c", "captioned_by", "d"), ("t", "x", "referenced_by", "d"), ("y", "t", "continues", "d")], "source_id string, target_id string, relation_type string, document_id string")
+    blocks = spark.createDataFrame([("d", b, "text", b, i) for i, b in enumerate("tcxy")], "document_id string, block_id string, block_type string, content string, reading_order int")
+    blocks = blocks.selectExpr("*", "1 as page", "cast(null as string) as sheet_name", "cast(null as string) as cell_range")
+    hits = spark.createDataFrame([(1, "k", ["t"])], "query_id long, chunk_id string, block_ids array<string>")
+    found = context.related_blocks(hits, edges, blocks)
+    assert _plan(found).count("Scan ExistingRDD[source_id") == 1
+    assert [(r.place, r.block_id) for r in found.orderBy("place").collect()] == [(1, "c"), (2, "x"), (3, "y")]
+
+
+def test_blocks_of_filled_chunks_stay_where_they_are(spark, monkeypatch):
+    saved, made = scratch.saved, []
+    monkeypatch.setattr(scratch, "saved", lambda df, what: made.append(what) or saved(df, what))
+    catalog.queries()["filled_chunks"](spark, SF)
+    assert not made
+
+
+def test_scores_of_live_chunks_are_not_shuffled(spark):
+    chunks = spark.createDataFrame([(i, i, f"a b{i % 3}") for i in range(60)], "document_id long, chunk_id long, text string")
+    index = segments.SegmentedIndex(spark, scratch.path(spark, "index")).add(chunks, F.col("text")).delete(chunks.where("document_id < 7"))
+    q = scratch.saved(spark.createDataFrame([(1, "b1", 1.0, 20), (2, "b2", 1.0, 20)], "query_id long, term string, w double, df long"), "q")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = index._scores(q)
+        assert "hashpartitioning(seg" not in _plan(found)
+        assert {(r.query_id, r.chunk_id) for r in found.collect()} == {(k, i) for i in range(7, 60) for k in (1, 2) if i % 3 == k}
+    finally:
+        spark.conf.set(key, before)
