@@ -138,17 +138,15 @@ _FILLED = f"""{_BLOCKS}, f AS (SELECT d, n, 0 AS g, length(t) AS used FROM l WHE
 c AS (SELECT d, g, count(*) AS n_blocks, string_agg(t, chr(10) || chr(10) ORDER BY n) AS content FROM f JOIN l USING (d, n) GROUP BY d, g)"""
 
 
-def _filled(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, blocks, chunks) of the lines without their derivations."""
-    edges, full = graph.build(_lines(spark, sf_dir).withColumn("derived_from", F.lit(None).cast("string")).drop("flag"))
-    full = scratch.saved(full, "lines")
-    return edges, full, chunking.chunk(full, text_chars=FILL)
+def _filled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(edges, blocks) of the lines without their derivations."""
+    return graph.build(_lines(spark, sf_dir).withColumn("derived_from", F.lit(None).cast("string")).drop("flag"))
 
 
 @query("filled_chunks", f"WITH RECURSIVE {_FILLED} SELECT d AS document_id, CAST(g AS BIGINT) AS ordinal, n_blocks, md5(content) AS content FROM c")
 def filled_chunks(spark, sf_dir):
     """An order's lines in chunks of at most 120 characters, each filled before the next begins."""
-    _, _, chunks = _filled(spark, sf_dir)
+    chunks = chunking.chunk(_filled(spark, sf_dir)[1], text_chars=FILL)
     return chunks.select("document_id", F.col("ordinal").cast("long").alias("ordinal"), F.size("block_ids").cast("long").alias("n_blocks"), F.md5(F.col("content").cast("binary")).alias("content"))
 
 
@@ -160,8 +158,9 @@ SELECT d AS query_id, 'SOURCE_' || row_number() OVER (PARTITION BY d ORDER BY g)
 )
 def budgeted_contexts(spark, sf_dir):
     """Of the chunks of each order, best last: those that still fit into 200 characters, in order of the text."""
-    edges, full, chunks = _filled(spark, sf_dir)
-    chunks = scratch.saved(chunks, "chunks")
+    edges, full = _filled(spark, sf_dir)
+    full = scratch.saved(full, "lines")
+    chunks = scratch.saved(chunking.chunk(full, text_chars=FILL), "chunks")
     hits = chunks.select(F.col("document_id").alias("query_id"), "chunk_id", (F.lit(1_000_000) - F.col("ordinal")).alias("rank"))
     found = context.expand(hits, chunks, edges, full, neighbours=0, budget=ROOM)
     return found.select("query_id", "source_id", F.md5(F.col("content").cast("binary")).alias("content"), "citation")
