@@ -15,11 +15,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Lines that a task has on average, beyond which there are more tasks.
+LINES = 40_000
+
+
 def by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its order as document_id, dealt out once by it. Each line becomes
-    several blocks, which windows sort where they are, hence four times the usual partitions."""
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return read(spark, sf_dir, "lineitem").withColumn("document_id", F.col("l_orderkey").cast("string")).repartition(parts, "document_id")
+    several blocks, which windows sort where they are, hence four times the usual
+    partitions, and more for a large table: what a task sorts does not grow with it."""
+    lines = read(spark, sf_dir, "lineitem")
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))
+    return lines.withColumn("document_id", F.col("l_orderkey").cast("string")).repartition(parts, "document_id")
 
 
 @query(
