@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from docloom import scratch
 from docloom.functions import text as T
-from docloom.operators.bm25 import EPSILON, K1, B
+from docloom.operators.bm25 import EPSILON, INDEXED, K1, B, dealt
 
 #: So many segments of one size class become one; classes are powers of it.
 FANOUT = 4
@@ -53,8 +53,11 @@ class SegmentedIndex:
 
     def add(self, chunks: DataFrame, text: Column, vectors: DataFrame | None = None) -> SegmentedIndex:
         """The index with chunks (document_id, chunk_id; ids that are not live in it)
-        as one more segment, and with merges where they are due. vectors: document_id, chunk_id, vector."""
-        tokens = chunks.select("document_id", "chunk_id", T.tokenize(text).alias("tokens"))
+        as one more segment, and with merges where they are due. vectors: document_id, chunk_id, vector.
+        Texts are dealt by chunk, INDEXED characters a task, and their terms counted where they are cut."""
+        texts = chunks.select("document_id", "chunk_id", text.alias("text"))
+        texts = texts.repartition(int(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // INDEXED + 1, "chunk_id")
+        tokens = texts.select("document_id", "chunk_id", T.tokenize("text").alias("tokens"))
         tokens = tokens.withColumn("dl", F.size("tokens")).select("document_id", "chunk_id", "dl", F.explode_outer("tokens").alias("term"))
         forward = tokens.groupBy("document_id", "chunk_id", "dl", "term").agg(F.count("term").alias("tf"))
         new = self._write(forward, vectors)
@@ -200,11 +203,11 @@ class SegmentedIndex:
         if allowed is not None or chunks is not None or (q.agg(F.sum("df")).first()[0] or 0) < worth:
             return self._best(self._scores(q, allowed, chunks), k)
         plan = scratch.saved(self.plan(q, k), "plan")
-        whole = plan.where("not pruned").select("query_id", "term", "w")
+        whole = plan.where("not pruned").select("query_id", "term", "w", "df")
         some = plan.where("pruned")
         if some.isEmpty():
             return self._best(self._scores(whole), k)
-        likely = self._scores(some.where("essential").select("query_id", "term", "w"))
+        likely = self._scores(some.where("essential").select("query_id", "term", "w", "df"))
         rest = some.where("not essential").groupBy("query_id").agg(F.sum("bound").alias("rest"))
         limit = some.select("query_id", "least").distinct().join(rest, "query_id", "left")
         likely = likely.join(limit, "query_id").where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("least") - 1e-9).select("seg", "query_id", "chunk_id", "score")
@@ -221,7 +224,7 @@ class SegmentedIndex:
         rare = Window.partitionBy("query_id").orderBy("df", "term")
         # The rarest terms, of so many postings at most, and the rarest at any rate.
         seeds = q.withColumns({"seen": F.sum("df").over(rare), "at": F.row_number().over(rare)}).where((F.col("seen") <= first * k) | (F.col("at") == 1))
-        near = self._best(self._scores(seeds.select("query_id", "term", "w")), 2 * k, "seg")
+        near = self._best(self._scores(seeds.select("query_id", "term", "w", "df")), 2 * k, "seg")
         others = q.join(seeds.select("query_id", "term"), ["query_id", "term"], "left_anti").select("query_id", "term", "w")
         full = self._best(self._completed(near.select("seg", "query_id", "chunk_id", "score"), others), k)
         least = full.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
@@ -236,15 +239,20 @@ class SegmentedIndex:
 
     def _scores(self, q: DataFrame, allowed: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
         """seg, query_id, chunk_id, score of all live chunks with a term of q (query_id,
-        term, w). Postings are dealt by chunk before they meet the queries: where these are
-        small enough to be broadcast, nothing of the product of both is shuffled."""
+        term, w, df). Postings are dealt by chunk, and lose the dead, before they meet the
+        queries: nothing of the product of both is shuffled, and a task scores few chunks."""
+        n, q = dealt(q)
         hits = self._tables("postings").join(q.select("term").distinct(), "term", "left_semi")
         if chunks is not None:
             hits = hits.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-        hits = hits.repartition("chunk_id").join(q, "term")
+        hits, dead = hits.repartition(n, "chunk_id"), self._deletes("chunks")
+        if dead is not None:
+            by_chunk = dead.repartition(n, "chunk_id").groupBy("chunk_id").agg(F.collect_set("seg").alias("dead"))
+            hits = hits.join(by_chunk, "chunk_id", "left").where("dead is null or not array_contains(dead, seg)").drop("dead")
+        hits = hits.join(q.drop("df"), "term")
         if allowed is not None:
             hits = hits.join(allowed, ["query_id", "chunk_id"], "left_semi")
-        return self.alive(hits.groupBy("seg", "query_id", "chunk_id").agg(F.sum(self._part()).alias("score")).where("score > 0"))
+        return hits.groupBy("seg", "query_id", "chunk_id").agg(F.sum(self._part()).alias("score")).where("score > 0")
 
     def _completed(self, found: DataFrame, others: DataFrame) -> DataFrame:
         """found (seg, query_id, chunk_id, score) with the shares of others (query_id, term, w) added."""
