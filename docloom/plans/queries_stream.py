@@ -37,14 +37,13 @@ def upload_claims(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "done").otherwise("claim")
     rows = e.select(F.concat(F.lit("user "), "user_id").alias("name"), F.lit("hash").alias("sha256"), "event_id", kind.alias("kind"))
-    # Files are read in the order of their time, so each part must be done before the next begins.
+    # Each part is written by all tasks and is a micro-batch of a run that goes on where the last one ended.
     cut = [r[0] for r in [rows.agg(F.expr("percentile_approx(event_id, array(0.4, 0.7))")).first()]][0] or [0, 0]
     for part in (F.col("event_id") <= cut[0], (F.col("event_id") > cut[0]) & (F.col("event_id") <= cut[1]), F.col("event_id") > cut[1]):
-        rows.where(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(correction.CLAIMS).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    out = correction.upload_claims(stream)
-    with _rocksdb(spark):
-        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        out = correction.upload_claims(spark.readStream.schema(correction.CLAIMS).parquet(f"{base}/in"))
+        with _rocksdb(spark):
+            out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out").drop("sha256")
 
 

@@ -77,3 +77,8 @@ def test_scores_of_live_chunks_are_not_shuffled(spark):
         assert {(r.query_id, r.chunk_id) for r in found.collect()} == {(k, i) for i in range(7, 60) for k in (1, 2) if i % 3 == k}
     finally:
         spark.conf.set(key, before)
+
+
+def test_claims_are_not_written_by_one_task(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", None)
+    assert catalog.queries()["upload_claims"](spark, SF).count() > 0
