@@ -2,15 +2,17 @@
 
 Trees see a value only by its bin, and bins are the same for all features, so equal rows
 of bins are counted once and what is fitted on is a written table of them. A level of a
-tree is one pass: tasks walk the trees made so far in numpy and send sums by leaf,
-feature and bin, which Spark adds up; the driver has these sums only. Sums are whole
-numbers, so their order does not matter and a fit repeats exactly.
+tree is one aggregation of DataFrame functions: the growing tree is a Column that gives
+a row its leaf, and rows are summed up by leaf, feature and bin; the driver has these
+sums only. What the trees made so far say of a row is a column of the table. Sums are
+whole numbers, so their order does not matter and a fit repeats exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ from docloom.llm.quality import Forest
 #: Upper ends of bins, for features that are counts.
 EDGES = np.array([*range(48), 52, 56, 60, 64, 72, 80, 96, 112, 128, 160, 192, 256, 384, 512, 1024], float)
 BINS = len(EDGES) + 1
-#: Different rows that a task has on average, and those that it takes at a time.
-ROWS, SLICE = 100_000, 8192
+#: Different rows that a task has on average. So many need no shuffle for a level's sums.
+ROWS = 20_000
+#: After so many trees what they say is written, so that plans stay short.
+TREES = 8
 #: Gradients are counted in units of one by this.
 UNIT = 2**20
 
@@ -35,53 +39,49 @@ def bins(f: Column) -> Column:
 def counted(rows: DataFrame, *keys: str) -> DataFrame:
     """x, keys, ones, n: how many rows (f, label, weight) of the same bins there are, and those of label 1."""
     some = rows.select(bins(F.col("f")).alias("x"), *keys, (F.col("label") * F.col("weight")).cast("long").alias("one"), F.col("weight").cast("long").alias("weight"))
-    out = scratch.saved(some.groupBy("x", *keys).agg(F.sum("one").alias("ones"), F.sum("weight").alias("n")), "counted")
-    return out.repartition(out.count() // ROWS + 1, "x")
+    return scratch.saved(some.groupBy("x", *keys).agg(F.sum("one").alias("ones"), F.sum("weight").alias("n")), "counted")
+
+
+def walked(t: Forest, root: int, told: Callable[[int], str], x: str = "x") -> str:
+    """What is told of the leaf of one tree in which a row of features x ends, as SQL."""
+    if t.left[root] == root:
+        return told(root)
+    yes, no = (walked(t, int(to[root]), told, x) for to in (t.left, t.right))
+    return f"CASE WHEN {x}[{int(t.feature[root])}] <= {float(t.threshold[root])!r}D THEN {yes} ELSE {no} END"
+
+
+def margin(t: Forest, before: str, x: str = "x") -> str:
+    """What a forest adds to what there was before, as SQL."""
+    return " + ".join([before, *(walked(t, int(r), lambda k: f"{float(t.value[k])!r}D", x) for r in t.roots)])
 
 
-def batches_of(batches):
-    """(bins, ones, n) of some rows at a time."""
-    for b in batches:
-        for at in range(0, len(b), SLICE):
-            part = b.slice(at, SLICE)
-            x = part["x"].flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
-            yield x, part["ones"].to_numpy(zero_copy_only=False), part["n"].to_numpy(zero_copy_only=False)
+def probability(margin: str) -> str:
+    return f"1 / (1 + exp(-({margin})))"
 
 
-def summed(rows: DataFrame, run, names: list[str]) -> list:
-    """The sums by place of what tasks make of x, ones, n."""
-    schema = "at long, " + ", ".join(f"{n} long" for n in names)
-    return rows.select("x", "ones", "n").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(n).alias(n) for n in names]).collect()
+def score(t: Forest, x: str = "x") -> Column:
+    """The probability of label 1 that all trees give to a row of features x."""
+    return F.expr(probability(margin(t, f"{t.base!r}D", x)))
 
 
-def _sums(rows: DataFrame, done: Forest, tree: Forest, leaves: list[int], features: int) -> np.ndarray:
-    """Gradients, curvatures and rows by leaf, feature and bin, of the leaves of a growing tree."""
+def _sums(rows: DataFrame, before: str, tree: Forest, leaves: list[int], features: int) -> np.ndarray:
+    """Gradients, curvatures and rows by leaf, feature and bin, of the leaves of a growing
+    tree. rows: x, ones, n, and what the margin before it is made of."""
     shape = (len(leaves), features, BINS)
-    offset = np.arange(features) * BINS
-
-    def run(batches):
-        total = np.zeros((3, *shape), np.int64)
-        for x, ones, n in batches_of(batches):
-            p, end = done.score(x), tree.ends(x)[:, 0]
-            values = np.rint((p * n - ones) * UNIT), np.rint(p * (1 - p) * n * UNIT), n
-            for i, leaf in enumerate(leaves):
-                here = end == leaf
-                flat = (x[here] + offset).ravel()
-                for j, v in enumerate(values):
-                    total[j, i] += np.bincount(flat, np.repeat(v[here], features), features * BINS).reshape(features, BINS).astype(np.int64)
-        at = np.flatnonzero(total[2])
-        yield pa.RecordBatch.from_pydict({"at": at, **{k: total[j].ravel()[at] for j, k in enumerate("ghn")}})
-
-    out = np.zeros((3, int(np.prod(shape))))
-    for r in summed(rows, run, ["g", "h", "n"]):
-        out[:, r["at"]] = r["g"] / UNIT, r["h"] / UNIT, r["n"]
-    return out.reshape(3, *shape)
+    end = walked(tree, int(tree.roots[0]), lambda k: str(leaves.index(k)) if k in leaves else "CAST(NULL AS int)")
+    here = rows.selectExpr("x", "n", "ones", f"{probability(before)} AS p", f"{end} AS leaf").where("leaf IS NOT NULL")
+    g, h = (f"CAST(rint({v} * {UNIT}) AS long)" for v in ("(p * n - ones)", "(p * (1 - p) * n)"))
+    each = here.selectExpr("leaf", "n", f"{g} AS g", f"{h} AS h", "posexplode(x) AS (feature, bin)")
+    out = np.zeros((3, *shape))
+    for leaf, feature, b, *sums in each.groupBy("leaf", "feature", "bin").agg(*[F.sum(k) for k in "ghn"]).collect():
+        out[:, leaf, feature, b] = sums
+    return out / np.array([UNIT, UNIT, 1]).reshape(3, 1, 1, 1)
 
 
 def fit(rows: DataFrame, features: int, trees: int, leaves: int, rate: float, least: int, l2: float = 1.0) -> tuple[Forest, Forest]:
     """(forest over features, forest over bins). rows: counted(). Trees grow level by
     level; of the leaves of a level those of most gain are cut, up to ``leaves`` in all."""
-    n, ones = (int(v or 0) for v in rows.agg(F.sum("n"), F.sum("ones")).first())
+    n, ones, different = (int(v or 0) for v in rows.agg(F.sum("n"), F.sum("ones"), F.count("*")).first())
     base = float(np.log((ones + 1) / (n - ones + 1)))
     feature, cut, left, right, value, roots, deepest = [], [], [], [], [], [], 1
 
@@ -95,11 +95,15 @@ def fit(rows: DataFrame, features: int, trees: int, leaves: int, rate: float, le
         whole = np.array
         return Forest(whole(feature, int), whole(thresholds, float), whole(left, int), whole(right, int), whole(value, float), whole(of, int), deepest, base)
 
-    for _ in range(trees if 0 < ones < n else 0):
-        done, root = forest(roots, cut), node()
+    before, tasks = f"{base!r}D", different // ROWS + 1
+    for made in range(trees if 0 < ones < n else 0):
+        if made % TREES == 0:
+            rows = scratch.saved(rows.selectExpr("x", "ones", "n", f"{before} AS margin").coalesce(tasks), "margins").coalesce(tasks)
+            before = "margin"
+        root = node()
         level, size, depth = [root], 1, 0
         while level and size < leaves:
-            sums = np.cumsum(_sums(rows, done, forest([root], cut), level, features), axis=3)
+            sums = np.cumsum(_sums(rows, before, forest([root], cut), level, features), axis=3)
             g, h, m = sums
             gt, ht, mt = (s[:, :, -1:] for s in sums)
             gain = g**2 / (h + l2) + (gt - g) ** 2 / (ht - h + l2) - gt**2 / (ht + l2)
@@ -123,5 +127,6 @@ def fit(rows: DataFrame, features: int, trees: int, leaves: int, rate: float, le
         if size == 1:
             break
         roots.append(root)
+        before = margin(forest([root], cut), before)
     ends = [*EDGES, np.inf]
     return forest(roots, [ends[min(c, BINS - 1)] for c in cut]), forest(roots, cut)

@@ -3,7 +3,7 @@
 Generators of high recall propose spans: the base kinds (email, ip, card, phone) with
 their checks, and loose forms (spelled-out addresses, numbers without a country code,
 identity numbers, bank accounts, IPv6). A candidate's format and the text around it
-give its features. Trees, fitted on all labelled candidates by passes over their counts, score
+give its features. Trees, fitted on all labelled candidates by aggregations of their counts, score
 the loose candidates; a threshold for each generator, set on candidates held out from fitting,
 selects those to redact. Base spans that pass their check always stay.
 
@@ -28,10 +28,8 @@ gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -198,15 +196,7 @@ class Model:
 
     def score(self) -> Column:
         """The probability that a candidate with features f is personal data."""
-        t = self.forest
-
-        def node(k: int) -> Column:
-            if t.left[k] == k:
-                return F.lit(float(t.value[k]))
-            return F.when(F.col("f")[int(t.feature[k])] <= float(t.threshold[k]), node(int(t.left[k]))).otherwise(node(int(t.right[k])))
-
-        margin = reduce(Column.__add__, [node(int(r)) for r in t.roots], F.lit(float(t.base)))
-        return 1 / (1 + F.exp(-margin))
+        return boosting.score(self.forest, "f")
 
     def picked(self) -> Column:
         """Whether a candidate is to be redacted."""
@@ -235,20 +225,12 @@ def fit(found: DataFrame, repeat: int = 10, share: int = 20_000, precision: floa
     counted = boosting.counted(rows.unionByName(given), "held")
     forest, by_bins = boosting.fit(counted.where("not held"), len(NAMES), trees=trees, leaves=leaves, rate=0.2, least=5)
 
-    def scored(batches):
-        total = np.zeros((2, len(KINDS) * (STEPS + 1)), np.int64)
-        for x, ones, n in boosting.batches_of(batches):
-            at = x[:, 0] * (STEPS + 1) + np.floor(by_bins.score(x) * STEPS).astype(np.int64)
-            for t, v in zip(total, (ones, n), strict=True):
-                np.add.at(t, at, v)
-        at = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_pydict({"at": at, "ones": total[0][at], "n": total[1][at]})
-
-    held = np.zeros((2, len(KINDS) * (STEPS + 1)))
-    for r in boosting.summed(counted.where("held"), scored, ["ones", "n"]):
-        held[:, r["at"]] = r["ones"], r["n"]
+    step = F.floor(boosting.score(by_bins) * STEPS).cast("int")
+    held = np.zeros((2, len(KINDS), STEPS + 1))
+    for r in counted.where("held").groupBy(F.col("x")[NAMES.index("kind")].alias("g"), step.alias("step")).agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect():
+        held[:, r["g"], r["step"]] = r["ones"], r["n"]
     thresholds = []
-    for g, (ones, n) in enumerate(held.reshape(2, len(KINDS), STEPS + 1).transpose(1, 0, 2)):
+    for g, (ones, n) in enumerate(held.transpose(1, 0, 2)):
         limit = doubtful
         if g >= BASE and n.sum() >= 20:
             right, every = (np.cumsum(v[::-1])[::-1] for v in (ones, n))

@@ -306,3 +306,25 @@ def test_personal_data_is_fitted_on_all_candidates(spark):
     assert score[tuple(flood.f)] > 0.8 and score[tuple(other)] < 0.2 and score[tuple(rare.f)] < 0.2
     again = personal_data.fit(found.drop("col").repartition(7))
     assert again.thresholds == model.thresholds and (again.forest.value == model.forest.value).all()
+
+
+def test_fitting_stays_in_the_jvm(spark, monkeypatch):
+    """No pass of a fit runs Python in tasks, and the sums of few rows need no shuffle."""
+    from docloom.llm import boosting
+
+    kinds = [([float({"kind": 5, "length": i}.get(n, i % 3)) for n in personal_data.NAMES], i % 2) for i in range(40)]
+    found = spark.createDataFrame([(f, y) for f, y in kinds], "f array<double>, label int").select("f", "label").localCheckpoint()
+    plans, frame = [], type(found)
+    real = frame.collect
+
+    def collect(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return real(self)
+
+    monkeypatch.setattr(frame, "collect", collect)
+    counted = boosting.counted(found.withColumn("weight", F.lit(5)))
+    assert len(boosting.fit(counted, len(personal_data.NAMES), trees=3, leaves=3, rate=0.2, least=5)[0].roots) == 3
+    sums = [p for p in plans if "feature" in p]
+    assert len(sums) >= 6 and not any("Exchange" in p for p in sums)
+    personal_data.fit(found, trees=1)
+    assert not any(re.search("Python|Pandas|Arrow", p) for p in plans)
