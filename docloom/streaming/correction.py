@@ -141,12 +141,19 @@ class OrderedCorrection(StatefulProcessor):
             if part is not None:
                 part.clear()
 
-    def _done(self, key: Any, order, generation: int, tail: str) -> tuple[list[tuple], str]:
-        """The rows of some waiting indexes, corrected in turn, and the tail after them."""
+    def _done(self, key: Any, order, generation: int, tail: str, fresh: dict[int, tuple], stored: bool = True) -> tuple[list[tuple], str]:
+        """The rows of some indexes, corrected in turn, up to the first that is not there, and
+        the tail after them. They are taken out of fresh, and of the state if some are stored."""
         out, ledger = [], self._ledger()
         for at in order:
-            label, raw = json.loads(self.waiting.getValue((at,))[0])
-            self.waiting.removeKey((at,))
+            if (row := fresh.pop(at, None)) is None:
+                if not stored or (held := self.waiting.getValue((at,))) is None:
+                    break
+                row = json.loads(held[0])
+                self.waiting.removeKey((at,))
+            elif stored and self.waiting.containsKey((at,)):  # an earlier one of the same index
+                self.waiting.removeKey((at,))
+            label, raw = row
             previous = tail
             content, status = raw, "skipped"
             if label in self.labels:
@@ -159,29 +166,37 @@ class OrderedCorrection(StatefulProcessor):
         return out, tail
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        generation, at, tail, dropped, closed = self.state.get() if self.state.exists() else (0, 0, "", 0, False)
-        end = None
+        known = self.state.get() if self.state.exists() else None
+        generation, at, tail, dropped, closed = known or (0, 0, "", 0, False)
+        # Rows whose turn it is never go through the state; only what has to wait is stored.
+        end, fresh, stored = None, {}, known is not None and self.waiting.exists()
         for frame in rows:
-            for r in frame.sort_values(["generation", "index"]).itertuples(index=False):
+            for r in (frame.sort_values(["generation", "index"]) if len(frame) > 1 else frame).itertuples(index=False):
                 if r.generation > generation:
-                    self._forget()
+                    if known is not None:
+                        self._forget()
+                    fresh, stored = {}, False
                     generation, at, tail, closed, end = r.generation, 0, "", False, None
                 if r.generation < generation or closed:
                     dropped += 1
                 elif r.label == ABORT:
-                    closed = True
+                    closed, fresh, stored = True, {}, False
                     self.waiting.clear()
                 elif r.label == END:
                     end = int(r.index)
                 elif r.index >= at:  # earlier ones are done already
-                    self.waiting.updateValue((int(r.index),), (json.dumps([r.label, r.raw_text]),))
-        order = sorted(k for (k,) in self.waiting.keys() if k < end) if end is not None and not closed else itertools.takewhile(lambda k: self.waiting.containsKey((k,)), itertools.count(at))
-        out, tail = self._done(key, order, generation, tail)
+                    fresh[int(r.index)] = r.label, r.raw_text
+        order = itertools.count(at)
+        if end is not None and not closed:
+            order = sorted(k for k in {*fresh, *(k for (k,) in (self.waiting.keys() if stored else ()))} if k < end)
+        out, tail = self._done(key, order, generation, tail, fresh, stored)
         if out:
             at = out[-1][2] + 1
         if end is not None and not closed:
-            at, closed = max(at, end), True
+            at, closed, fresh = max(at, end), True, {}
             self.waiting.clear()
+        for k, row in fresh.items():
+            self.waiting.updateValue((k,), (json.dumps(row),))
         if closed and self.names is not None:
             self.names.clear()
         self.state.update((generation, at, tail, dropped, closed))
@@ -198,7 +213,7 @@ class OrderedCorrection(StatefulProcessor):
         if self.state.exists():
             generation, _, tail, _, closed = self.state.get()
             if not closed:
-                out, _ = self._done(key, sorted(k for (k,) in self.waiting.keys()), generation, tail)
+                out, _ = self._done(key, sorted(k for (k,) in self.waiting.keys()), generation, tail, {})
         self._forget()
         if out:
             yield pd.DataFrame(out, columns=_COLUMNS)

@@ -104,3 +104,51 @@ def test_failed_uploads_can_come_again(spark, tmp_path):
 @pytest.mark.parametrize("rows", [[], [("x", 1, 0, "text", None)]])
 def test_nothing_to_correct(spark, rows):
     assert correction.correct(spark.createDataFrame(rows, correction.INPUT), lambda *a: "", glossary=True).count() == len(rows)
+
+
+def test_rows_in_turn_stay_out_of_the_state():
+    """Only rows that have to wait are stored; batches of any cut give the same rows."""
+    import random
+
+    import pandas as pd
+
+    class Map(dict):
+        puts = 0
+        keys = lambda self: iter([(k,) for k in dict.keys(self)])
+        exists = lambda self: len(self) > 0
+        containsKey = lambda self, k: k[0] in self
+        getValue = lambda self, k: self.get(k[0])
+        removeKey = lambda self, k: self.pop(k[0])
+
+        def updateValue(self, k, v):
+            self.puts += 1
+            self[k[0]] = v
+
+    class Value(list):
+        exists = lambda self: len(self) > 0
+        get = lambda self: self[0]
+
+        def update(self, v):
+            self[:] = [v]
+
+    class Handle:
+        getValueState = lambda self, *_: Value()
+        getMapState = lambda self, *_: Map()
+
+    def run(batches):
+        made = correction.OrderedCorrection(lambda text, previous: text.upper(), correction.LABELS)
+        made.init(Handle())
+        out = [f for b in batches for f in made.handleInputRows(("a",), iter([pd.DataFrame(b, columns=["document_id", "generation", "index", "label", "raw_text"])]), None)]
+        assert not made.waiting
+        return [tuple(r) for f in out for r in f.itertuples(index=False)], made.waiting.puts
+
+    rows = [("a", 1, i, "text", f"turn number {i}.") for i in range(6)]
+    want, puts = run([rows])
+    assert [r[2] for r in want] == list(range(6)) and puts == 0
+    assert run([rows[3:], rows[:3]]) == (want, 3)
+    assert run([rows[2:], rows[2:4], rows]) == (want, 6)  # what comes again counts once
+    for seed in range(20):
+        mixed = random.Random(seed).sample(rows, 6)
+        assert run([[r] for r in mixed])[0] == want
+    end = ("a", 1, 6, correction.END, None)
+    assert [r[2] for r in run([rows[4:], [rows[1], end]])[0]] == [1, 4, 5]
