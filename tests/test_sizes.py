@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from docloom import scratch
 from docloom.functions import splitters
-from docloom.operators import context, dense, profile, segments
-from docloom.plans import catalog, queries_text
+from docloom.operators import chunking, context, dense, graph, profile, segments
+from docloom.plans import catalog, fixtures, queries_text
 from tests.conftest import SF
 
 
@@ -82,3 +82,34 @@ def test_scores_of_live_chunks_are_not_shuffled(spark):
 def test_claims_are_not_written_by_one_task(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "coalesce", None)
     assert catalog.queries()["upload_claims"](spark, SF).count() > 0
+
+
+def test_chunks_are_made_in_one_pass_over_blocks_in_order(spark):
+    p = _plan(catalog.queries()["chunks_of_orders"](spark, SF))
+    assert p.count("MapInArrow") == 1 and p.count("ArrowEvalPython") == 1  # the second: choice of captions
+    assert "posexplode" not in p
+
+
+def test_runs_go_on_over_batches(spark):
+    """Runs of several blocks, long texts, empty ones, tables and visuals; two rows a batch."""
+    blank = dict.fromkeys(f.name for f in spark.createDataFrame([], fixtures.BLOCK_SCHEMA).schema.fields)
+    texts = ["a", " b ", "", "c" * 30, "word " * 20, "d", None, "TABLE", "e", "f" * 25, "g" * 25, " \u3000", "IMAGE " * 12, "IMAGE", "h"]
+    rows = []
+    for d in ("x", "y"):
+        for i, text in enumerate(texts):
+            kind = "table" if text == "TABLE" else "image" if text and text.startswith("IMAGE") else "text"
+            rows.append(blank | {"document_id": d, "block_id": f"{d}{i:02}", "block_type": kind, "content": text, "source_file": d, "section_path": [], "page": i // 20, "reading_order": i, "rows": [["a|b", "c  d\n"], ["1"]] if kind == "table" else None})
+    _, full = graph.build(spark.createDataFrame([tuple(r.values()) for r in rows], fixtures.BLOCK_SCHEMA))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 2)
+    try:
+        chunks = chunking.chunk(full, text_chars=40, visual_chars=50).orderBy("document_id", "ordinal").collect()
+    finally:
+        spark.conf.set(key, before)
+    want = [("a\n\n b\n\n" + "c" * 30, [0, 1, 2, 3]), *((p, [4]) for p in splitters.split_text_py(texts[4], 40)), ("d", [5, 6]), ("| a\\|b | c d |\n| --- | --- |\n| 1 |  |", [7])]
+    want += [("e\n\n" + "f" * 25, [8, 9]), ("g" * 25, [10, 11])]
+    shown = [(r.content, [int(b[1:]) for b in r.block_ids]) for r in chunks if r.document_id == "x"]
+    assert shown[: len(want)] == want and sorted({b for _, ids in shown[len(want) :] for b in ids}) == [12, 13, 14]
+    assert [r.ordinal for r in chunks if r.document_id == "y"] == list(range(len(shown)))
+    assert [r.chunk_type for r in chunks].index("table") == [b for _, b in want].index([7]) and (chunks[0].page_start, chunks[0].page_end) == (0, 0)
