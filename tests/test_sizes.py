@@ -113,3 +113,24 @@ def test_runs_go_on_over_batches(spark):
     assert shown[: len(want)] == want and sorted({b for _, ids in shown[len(want) :] for b in ids}) == [12, 13, 14]
     assert [r.ordinal for r in chunks if r.document_id == "y"] == list(range(len(shown)))
     assert [r.chunk_type for r in chunks].index("table") == [b for _, b in want].index([7]) and (chunks[0].page_start, chunks[0].page_end) == (0, 0)
+
+
+def test_blocks_and_texts_of_contexts_are_not_kept_and_dealt_again(spark, monkeypatch):
+    saved, made = scratch.saved, []
+    monkeypatch.setattr(scratch, "saved", lambda df, what: made.append(what) or saved(df, what))
+    p = _plan(catalog.queries()["budgeted_contexts"](spark, SF))
+    assert "lines" not in made and "collect_list(struct(ordinal" not in p
+    assert "LeftOuter" not in p  # hits beside their related blocks and tables
+
+
+def test_related_blocks_and_tables_stand_beside_their_hits(spark):
+    kinds = "document_id string, source_file string, section_path array<string>, sheet_name string, cell_range string, chunk_type string, content string, block_ids array<string>, page_start int, page_end int, table_file string, ordinal int, chunk_id string"
+    chunks = spark.createDataFrame([("d", "f", [], None, None, "table", "preview", ["t"], 1, 1, "t.xlsx", 0, "k"), ("d", "f", [], None, None, "text", "text", ["x"], 2, 2, None, 1, "m")], kinds)
+    blocks = spark.createDataFrame([("d", "t", "table", "c", 1, [["a"], ["1"]]), ("d", "c", "caption", "named", 0, None), ("d", "x", "text", "text", 2, None)], "document_id string, block_id string, block_type string, content string, reading_order int, rows array<array<string>>")
+    blocks = blocks.selectExpr("*", "1 as page", "cast(null as string) as sheet_name", "cast(null as string) as cell_range")
+    edges = spark.createDataFrame([("t", "c", "captioned_by", "d")], "source_id string, target_id string, relation_type string, document_id string")
+    hits = spark.createDataFrame([(q, k, r) for q in (1, 2) for r, k in enumerate("km")], "query_id long, chunk_id string, rank int")
+    for n in (0, 1):
+        found = context.expand(hits.where("query_id = 1 or chunk_id = 'k'"), chunks, edges, blocks, neighbours=n).orderBy("query_id", "source_id").collect()
+        table = "| a |\n| --- |\n| 1 |\n\n[RELATED CAPTION – caption, trang 1]\nnamed"
+        assert [(r.query_id, r.chunk_id, r.content) for r in found] == [(1, "k", table), (1, "m", "text"), (2, "k", table)]
